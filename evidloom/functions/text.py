@@ -57,7 +57,7 @@ def title_key(value: Column) -> Column:
 
 def author_list(values: Column) -> Column:
     """trimmed names, blank ones dropped, letter case kept."""
-    return F.filter(F.transform(values, F.trim), lambda a: a != "")
+    return F.filter(F.transform(values, lambda a: F.trim(a)), lambda a: a != "")
 
 
 def find_anchor(text: Column, anchor: Column) -> Column:

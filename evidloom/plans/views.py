@@ -121,6 +121,35 @@ SELECT c_custkey AS reference_entry_id, 'semantic_scholar' AS provider, 3 AS pro
        CAST(1991 + c_custkey % 30 AS INT) AS year, concat('Journal of ', c_mktsegment) AS venue,
        CAST(NULL AS STRING) AS doi, CAST(NULL AS STRING) AS arxiv
 FROM customer WHERE c_mktsegment <> 'MACHINERY'
+""",
+    "v_crossref_replies": """
+SELECT c_custkey AS reply_id, concat('{"status":"', CASE WHEN c_acctbal >= 0 THEN 'ok' ELSE 'error' END,
+  '","message":{"items":[{"title":["Work ', CAST(c_custkey AS STRING), '  On ', c_mktsegment, '"],"author":[{"family":"Writer ',
+  CAST(c_custkey % 17 AS STRING), '","given":"Kim"},{"family":"Group ', CAST(c_nationkey AS STRING),
+  '"}],"issued":{"date-parts":[[', CAST(1990 + c_custkey % 30 AS STRING), ',5]]},"container-title":["Journal of ', c_mktsegment,
+  '"],"DOI":"10.1000/AB', CAST(c_custkey AS STRING), '"},{"DOI":"10.1000/second"}]}}') AS reply
+FROM customer
+""",
+    "v_openalex_records": """
+SELECT c_custkey AS reply_id, concat('{"id":"https://openalex.org/W', CAST(c_custkey AS STRING), '","title":"Work ',
+  CAST(c_custkey AS STRING), '","publication_year":', CAST(1990 + c_custkey % 30 AS STRING),
+  ',"authorships":[{"author":{"display_name":"Kim Writer ', CAST(c_custkey % 17 AS STRING), '"}},{"author":{}}],',
+  CASE WHEN c_custkey % 5 = 0 THEN '"primary_location":null,' ELSE concat('"primary_location":{"source":{"display_name":"Journal of ', c_mktsegment, '"}},') END,
+  '"doi":"https://doi.org/10.1000/', CAST(c_custkey AS STRING), '"}') AS reply
+FROM customer
+""",
+    "v_scholar_records": """
+SELECT c_custkey AS reply_id, concat('{"paperId":"p', CAST(c_custkey AS STRING), '","title":"', CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('Work ', CAST(c_custkey AS STRING)) END,
+  '","year":', CAST(1990 + c_custkey % 30 AS STRING), ',"venue":"Conf ', c_mktsegment, '","authors":[{"name":"Kim Writer ', CAST(c_custkey % 17 AS STRING), '"}],"externalIds":{',
+  CASE WHEN c_custkey % 2 = 0 THEN concat('"DOI":"10.1000/', CAST(c_custkey AS STRING), '"') ELSE concat('"ArXiv":"2101.', CAST(c_custkey AS STRING), '"') END, '}}') AS reply
+FROM customer
+""",
+    "v_open_access_records": """
+SELECT page_id AS reply_id, concat('{"doi":"10.1000/', CAST(page_id AS STRING), '","is_oa":', CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END,
+  CASE WHEN page_id % 4 < 3 THEN concat(',"best_oa_location":{"url":"', url, '",',
+    CASE WHEN page_id % 3 = 0 THEN concat('"url_for_pdf":"', url, '.pdf",') ELSE '' END,
+    '"host_type":"', CASE WHEN page_id % 5 = 0 THEN 'publisher' ELSE 'repository' END, '","license":"cc-by","version":"v1","is_best":true}') ELSE '' END, '}') AS reply
+FROM pages
 """,
     "v_annotations_a": _annotations("o_custkey % 9 + 1", "o_custkey % 5 + 1",
                                     "NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"),
