@@ -45,19 +45,27 @@ def normalise(text: Column) -> Column:
     return F.when(ascii_only, fast).otherwise(_normalise_unicode(F.when(~ascii_only, text)))
 
 
+# Unicode white space plus the separator controls that the rules also strip.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
+def strip(value: Column) -> Column:
+    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def doi(value: Column) -> Column:
     """trimmed, lower-cased DOI without one resolver or scheme prefix."""
-    return F.regexp_replace(F.lower(F.trim(value)), r"^(https?://doi\.org/|doi:)", "")
+    return F.regexp_replace(F.lower(strip(value)), r"^(https?://doi\.org/|doi:)", "")
 
 
 def title_key(value: Column) -> Column:
     """trimmed, lower-cased, whitespace runs as one space."""
-    return F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
+    return F.regexp_replace(F.lower(strip(value)), SPACE, " ")
 
 
 def author_list(values: Column) -> Column:
     """trimmed names, blank ones dropped, letter case kept."""
-    return F.filter(F.transform(values, lambda a: F.trim(a)), lambda a: a != "")
+    return F.filter(F.transform(values, lambda a: strip(a)), lambda a: a != "")
 
 
 def find_anchor(text: Column, anchor: Column) -> Column:

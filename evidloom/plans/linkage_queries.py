@@ -87,15 +87,17 @@ def f3(v):
     return v("v_candidates").select("provider_record_id", T.doi(F.col("doi")).alias("doi"))
 
 
-@query("f4_title_author_normalise", r"""
-SELECT doc_id, md5(regexp_replace(lower(trim(substring(text, 1, 200))), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS title_hash,
-       len(list_filter(list_transform(string_split(text, '.'), lambda a: trim(a)), lambda a: a <> '')) AS n_names
-FROM documents WHERE lang = 'en'""")
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("f4_title_author_normalise", f"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '^{_WS}|{_WS}$', '', 'g'), '{_WS}', ' ', 'g')) AS title_hash,
+       len(list_filter(string_split(text, '.'), lambda a: regexp_replace(a, '{_WS}', '', 'g') <> '')) AS n_names
+FROM documents""")
 def f4(v):
-    # the opening 200 characters stand in for a title; the name list is built from the whole text
-    docs = v("documents").where("lang = 'en'")
-    return docs.select(
-        "doc_id", F.md5(T.title_key(F.substring("text", 1, 200))).alias("title_hash"),
+    # the rules run on whole texts here: the text as a title, its parts between dots as names
+    return v("documents").select(
+        "doc_id", F.md5(T.title_key(F.col("text"))).alias("title_hash"),
         F.size(T.author_list(F.split("text", r"\."))).cast("bigint").alias("n_names"))
 
 
