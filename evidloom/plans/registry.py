@@ -32,7 +32,7 @@ class Inputs:
         if name not in self._loaded:
             if name in views.VIEWS:
                 text = views.spark_text(name)
-                for t in views.TABLES:
+                for t in [*views.TABLES, *views.needed(text)]:
                     if f"FROM {t}" in text or f"JOIN {t}" in text:
                         self(t).createOrReplaceTempView(t)
                 self._loaded[name] = self.spark.sql(text)

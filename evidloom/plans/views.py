@@ -150,6 +150,29 @@ SELECT page_id AS reply_id, concat('{"doi":"10.1000/', CAST(page_id AS STRING),
     CASE WHEN page_id % 3 = 0 THEN concat('"url_for_pdf":"', url, '.pdf",') ELSE '' END,
     '"host_type":"', CASE WHEN page_id % 5 = 0 THEN 'publisher' ELSE 'repository' END, '","license":"cc-by","version":"v1","is_best":true}') ELSE '' END, '}') AS reply
 FROM pages
+""",
+    "v_papers": """
+SELECT n AS path, lang, text, concat('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div xml:id="sec', n, '"><head>Part ', n, '</head><p>', body,
+  ' <ref type="bibr" target="#b', n, ' #c', n, '"', xy, '>[', n, ']</ref> end.</p></div></body><back><listBibl><biblStruct xml:id="b', n, '"', xy,
+  '><analytic><title level="a">Cited ', n, '</title><author><persName><forename>Kim</forename> <surname>Writer ', n,
+  '</surname></persName></author></analytic><monogr><title level="j">Journal ', n, '</title><imprint><date type="published" when="2020-05"/></imprint></monogr><idno type="DOI">10.1/',
+  n, '</idno></biblStruct></listBibl></back></text>', CASE WHEN lang = 'es' THEN '' ELSE '</TEI>' END) AS content
+FROM (SELECT CAST(doc_id AS STRING) AS n, lang, text, CASE WHEN lang = 'de' THEN '' ELSE ' coords="3,10.0,20.0"' END AS xy,
+             replace(replace(text, '&', '&amp;'), '<', '&lt;') AS body FROM documents)
+""",
+    "v_envelopes": """
+SELECT event_id, concat('{"schema_version":"', CASE WHEN event_id % 20 = 19 THEN '2.0' ELSE '1.0' END, '","event_id":"', CAST(event_id AS STRING),
+  '","event_type":"', CASE event_type WHEN 'signup' THEN 'document.source.registered' WHEN 'view' THEN 'document.parsed' WHEN 'click' THEN 'document.parsing.limited'
+     WHEN 'error' THEN 'document.parsing.failed' ELSE 'custom.unknown' END,
+  '","occurred_at":"2024-01-01T00:00:00Z","trace_id":"t",', CASE WHEN event_id % 17 = 0 THEN '' ELSE '"workspace_id":"ws",' END,
+  '"aggregate_type":"source_asset","aggregate_id":"', CAST(user_id AS STRING), '","idempotency_key":"k', CAST(event_id AS STRING), '","producer":"p","extra":1,"payload":{',
+  CASE event_type WHEN 'error' THEN '"failure_reason":"x"' WHEN 'view' THEN '"parsed_document_id":"d","parser_version":"v","quality_grade":"a"'
+     ELSE '"parsed_document_id":"d"' END, '}}') AS envelope, ts
+FROM events
+""",
+    "v_parse_events": """
+SELECT event_id, aggregate_id, occurred_at, event_type, substring('abcd', k % 4 + 1, 1) AS quality_grade, concat('reason-', CAST(k % 7 AS STRING)) AS reason
+FROM v_outbox
 """,
     "v_annotations_a": _annotations("o_custkey % 9 + 1", "o_custkey % 5 + 1",
                                     "NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"),
@@ -290,15 +313,23 @@ def duck_text(name: str) -> str:
     return text if isinstance(text, str) else text[1]
 
 
+def needed(text: str) -> list[str]:
+    """Views a text mentions, each after the views it is built from."""
+    out: list[str] = []
+    for name in VIEWS:
+        if re.search(rf"\b{name}\b", text):
+            out += [v for v in [*needed(duck_text(name)), name] if v not in out]
+    return out
+
+
 def with_views(sql: str) -> str:
     """Prefix DuckDB SQL with the views it mentions, as common table expressions."""
-    used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+    body = sql.strip()
+    used = needed(body)
     if not used:
-        return sql.strip()
+        return body
     ctes = ",\n".join(f"{v} AS ({duck_text(v).strip()})" for v in used)
-    body = sql.strip()
-    if re.match(r"(?i)with\s+recursive\b", body):
-        return f"WITH RECURSIVE {ctes},\n{body[len('with recursive'):].strip()}"
-    if re.match(r"(?i)with\b", body):
-        return f"WITH {ctes},\n{body[4:].strip()}"
+    for head, start in (("WITH RECURSIVE", "with recursive"), ("WITH", "with")):
+        if re.match(rf"(?i){start}\b", body):
+            return f"{head} {ctes},\n{body[len(start):].strip()}"
     return f"WITH {ctes}\n{body}"
