@@ -26,36 +26,26 @@ def first_wins(candidates: DataFrame) -> DataFrame:
 def provider_agreement(candidates: DataFrame) -> DataFrame:
     """Share of the reference's candidates with the same DOI or the same lower title.
 
-    |same doi or same title| = |same doi| + |same title| - |both|, each a grouped count joined
-    back; no candidate is compared with another one.
+    |same doi or same title| = |same doi| + |same title| - |both|.  Every candidate asks for its
+    group sizes with signed lookup keys: one grouped count, one join, one sum - no candidate is
+    compared with another one, and the keys of a large reference spread over the cluster.
     """
-    rows = candidates.withColumn("title_low", F.lower("title")).withColumn(
-        "doi_key", F.when(F.col("doi") != "", F.col("doi"))
-    )
-    # sizes of the three groupings in one aggregate over distinct (doi, title) of a reference
-    both = rows.groupBy(REF, "doi_key", "title_low").agg(F.count(F.lit(1)).alias("n_both"))
-    by_doi = both.groupBy(REF, "doi_key").agg(F.sum("n_both").alias("n_doi"))
-    by_title = both.groupBy(REF, "title_low").agg(F.sum("n_both").alias("n_title"))
-    total = both.groupBy(REF).agg(F.sum("n_both").alias("n_all"))
-    r = both.alias("r")
-    stats = (
-        r.join(by_title.alias("t"), [REF, "title_low"])
-        .join(total.alias("a"), REF)
-        .join(by_doi.alias("d"),
-              (F.col(f"r.{REF}") == F.col(f"d.{REF}")) & F.col("r.doi_key").eqNullSafe(F.col("d.doi_key")))
-        .select(
-            F.col(f"r.{REF}").alias("s_ref"), F.col("r.doi_key").alias("s_doi"),
-            F.col("title_low").alias("s_title"),
-            (F.when(F.col("r.doi_key").isNull(), F.col("n_title"))
-             .otherwise(F.col("n_doi") + F.col("n_title") - F.col("n_both")) / F.col("n_all"))
-            .alias("provider_agreement"),
-        )
-    )
-    return rows.join(
-        stats,
-        (F.col(REF) == F.col("s_ref")) & (F.col("title_low") == F.col("s_title"))
-        & F.col("doi_key").eqNullSafe(F.col("s_doi")),
-    ).drop("s_ref", "s_doi", "s_title", "title_low", "doi_key")
+    row_id = [REF, "provider", "provider_record_id"]
+    doi, title = F.when(F.col("doi") != "", F.col("doi")), F.lower("title")
+    ask = lambda kind, sign, doi_part, title_part: F.struct(
+        F.lit(kind).alias("kind"), F.lit(sign).alias("sign"),
+        F.coalesce(doi_part, F.lit("")).alias("k1"), F.coalesce(title_part, F.lit("")).alias("k2"))
+    none = F.lit("")
+    wanted = F.array_compact(F.array(
+        ask("all", 0, none, none), ask("title", 1, none, title),
+        F.when(doi.isNotNull(), ask("doi", 1, doi, none)),
+        F.when(doi.isNotNull(), ask("both", -1, doi, title))))
+    keys = candidates.select(*row_id, F.explode(wanted).alias("q")).select(*row_id, "q.*")
+    sizes = keys.groupBy(REF, "kind", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    agreed = keys.join(sizes, [REF, "kind", "k1", "k2"]).groupBy(*row_id).agg(
+        (F.sum(F.col("sign") * F.col("n")) / F.max(F.when(F.col("kind") == "all", F.col("n"))))
+        .alias("provider_agreement"))
+    return candidates.join(agreed, row_id)
 
 
 def resolution_features(references: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -190,24 +180,22 @@ def title_candidates(references: DataFrame, works: DataFrame, threshold: float =
         F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda s: s.g).alias("grams")
     )
     keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("t", "n", "grams", F.slice("grams", F.lit(1), keep).alias("pre")).select(
-        "t", "n", "grams", F.explode("pre").alias("g")
+    prefix = ranked.select("t", "n", F.slice("grams", F.lit(1), keep).alias("pre")).select(
+        "t", "n", F.explode("pre").alias("g")
     )
     left = prefix.join(rt.select(F.col("rt").alias("t")).distinct(), "t", "left_semi").select(
-        F.col("t").alias("rt"), F.col("n").alias("rn"), F.col("grams").alias("rg"), "g")
+        F.col("t").alias("rt"), F.col("n").alias("rn"), "g")
     right = prefix.join(wt.select(F.col("wt").alias("t")).distinct(), "t", "left_semi").select(
-        F.col("t").alias("wt"), F.col("n").alias("wn"), F.col("grams").alias("wg"), "g")
+        F.col("t").alias("wt"), F.col("n").alias("wn"), "g")
+    # only titles and sizes meet here; a pair is verified once, with its arrays joined back
     pairs = left.join(right, "g").where(
-        (F.least("rn", "wn") >= F.greatest("rn", "wn") * F.lit(threshold) - 1e-9)
-        # a pair is emitted only by its first shared prefix member
-        & (F.element_at(F.array_intersect(
-            F.slice("rg", F.lit(1), (F.col("rn") - F.ceil(F.col("rn") * F.lit(threshold) - 1e-9) + 1).cast("int")),
-            F.slice("wg", F.lit(1), (F.col("wn") - F.ceil(F.col("wn") * F.lit(threshold) - 1e-9) + 1).cast("int")),
-        ), 1) == F.col("g"))
-    )
+        F.least("rn", "wn") >= F.greatest("rn", "wn") * F.lit(threshold) - 1e-9
+    ).select("rt", "wt").distinct()
+    arrays = lambda side: ranked.select(F.col("t").alias(f"{side}t"), F.col("grams").alias(f"{side}g"))
+    pairs = pairs.join(arrays("r"), "rt").join(arrays("w"), "wt")
     shared = F.size(F.array_intersect("rg", "wg"))
     scored = pairs.select(
-        "rt", "wt", F.round(shared / (F.col("rn") + F.col("wn") - shared), 6).alias("similarity")
+        "rt", "wt", F.round(shared / (F.size("rg") + F.size("wg") - shared), 6).alias("similarity")
     ).where(F.col("similarity") >= threshold)
     best = top_rows(
         scored.join(wt, "wt"), ["rt", "provider"],

@@ -9,6 +9,7 @@ from evidloom.functions import linkage as L
 from evidloom.functions import text as T
 from evidloom.operators import resolution as R
 from evidloom.plans.registry import query
+from evidloom.session import through_table
 from evidloom.sources import providers as P
 
 REF = "reference_entry_id"
@@ -268,29 +269,37 @@ def a1(v):
     return R.resolution_summary(_decisions(v).join(owners, REF), ["document_id"])
 
 
-def _works(v):
-    return _candidates(v).select("provider", "provider_record_id", "title", "doi", "arxiv")
+_GRAMS = """list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substring(concat('  ', {0}, ' '), i, 3)))"""
 
 
-_GRAMS = """list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substring(concat('  ', {0}, ' '), i, 3)))"""
+def _key(column: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({column}), '^{_WS}|{_WS}$', '', 'g'), '{_WS}', ' ', 'g')"
 
 
 @query("j2_candidate_generation", f"""
-WITH w AS (SELECT provider, provider_record_id, title, {DOI.format('doi')} AS doi FROM v_candidates),
-ex AS (SELECT r.reference_entry_id, w.provider, w.provider_record_id FROM v_references r JOIN w ON lower(r.doi) = w.doi),
-rt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT lower(title) AS t FROM v_references)),
-wt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT lower(title) AS t FROM w)),
+WITH r AS (SELECT page_id AS reference_entry_id, doi, {_key('title')} AS t FROM v_titles),
+w AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'crossref' ELSE 'openalex' END AS provider, concat('w', CAST(page_id AS VARCHAR)) AS provider_record_id,
+      doi, {_key('heading')} AS t FROM v_titles),
+ex AS (SELECT r.reference_entry_id, w.provider, w.provider_record_id FROM r JOIN w ON r.doi = w.doi),
+rt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT t FROM r WHERE t <> '')),
+wt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT t FROM w WHERE t <> '')),
 sim AS (SELECT rt.t AS rt, wt.t AS wt, round(len(list_intersect(rt.g, wt.g))::DOUBLE / (len(rt.g) + len(wt.g) - len(list_intersect(rt.g, wt.g))), 6) AS s
-        FROM rt, wt WHERE least(len(rt.g), len(wt.g)) >= 0.9 * greatest(len(rt.g), len(wt.g)) AND s >= 0.9),
+        FROM rt, wt WHERE least(len(rt.g), len(wt.g)) >= 0.6 * greatest(len(rt.g), len(wt.g)) AND s >= 0.6),
 ti AS (SELECT * FROM (SELECT r.reference_entry_id, w.provider, w.provider_record_id, s, row_number() OVER (
          PARTITION BY r.reference_entry_id, w.provider ORDER BY s DESC, w.provider_record_id) AS rank
-       FROM v_references r JOIN sim ON lower(r.title) = sim.rt JOIN w ON lower(w.title) = sim.wt) WHERE rank <= 5)
+       FROM r JOIN sim ON r.t = sim.rt JOIN w ON w.t = sim.wt) WHERE rank <= 5)
 SELECT reference_entry_id, provider, provider_record_id, 'doi' AS match, NULL::DOUBLE AS similarity FROM ex
 UNION ALL
 SELECT reference_entry_id, provider, provider_record_id, 'title', s FROM ti
 WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.reference_entry_id = ti.reference_entry_id AND ex.provider = ti.provider)""")
 def j2(v):
-    return R.generate_candidates(v("v_references"), _works(v), threshold=0.9).select(
+    none = F.lit(None).cast("string").alias("arxiv")
+    references = v("v_titles").select(F.col("page_id").alias(REF), "title", "doi", none)
+    works = v("v_titles").select(
+        F.when(F.col("page_id") % 2 == 0, "crossref").otherwise("openalex").alias("provider"),
+        F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("provider_record_id"),
+        F.col("heading").alias("title"), "doi", none)
+    return R.generate_candidates(references, works, threshold=0.6).select(
         REF, "provider", "provider_record_id", "match", "similarity")
 
 
@@ -389,7 +398,9 @@ FROM ac GROUP BY document_id""")
 def k1(v):
     refs = v("v_references")
     candidates = R.first_wins(_candidates(v))
-    decisions = R.decide(refs, R.identity_score(R.resolution_features(refs, candidates)))
+    # the decisions feed four results below, so they are computed once
+    decisions = through_table(
+        R.decide(refs, R.identity_score(R.resolution_features(refs, candidates))), "decisions")
     chosen = R.selected_versions(decisions, candidates)
     # acquisition: the fetch result is an input column; here every open copy was fetched
     place = F.expr("CAST(reference_entry_id % 4 AS INT)")
@@ -406,6 +417,7 @@ def k1(v):
         "work_version_id", "access_level")
     level = chosen.select(REF, "work_version_id").join(outcome, "work_version_id").select(REF, "access_level")
     rows = decisions.join(level, REF, "left").join(refs.select(REF, "document_id"), REF)
+    rows = through_table(rows, "resolved")
     limits = R.limitation_rows(rows).join(refs.select(REF, "document_id"), REF)
     return (
         R.resolution_summary(rows, ["document_id"])

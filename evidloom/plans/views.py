@@ -263,6 +263,11 @@ SELECT event_id AS feedback_id, user_id, concat('ws', CAST(user_id % 5 AS STRING
             WHEN 'error' THEN 'explanation' ELSE 'overall' END AS category,
        concat('key-', CAST(event_id % 4000 AS STRING)) AS idempotency_key
 FROM events
+""",
+    "v_titles": """
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading,
+       CASE WHEN page_id % 3 = 0 THEN concat('10.1000/', CAST(page_id AS STRING)) END AS doi
+FROM pages
 """,
     "v_priority_refs": """
 SELECT c_custkey AS reference_entry_id,
