@@ -9,6 +9,7 @@ from evidloom import vocab
 from evidloom.functions import linkage as L
 from evidloom.functions import text as T
 from evidloom.operators.skew import attach_groups, top_rows
+from evidloom.session import through_table
 
 REF = "reference_entry_id"
 
@@ -179,6 +180,8 @@ def title_candidates(references: DataFrame, works: DataFrame, threshold: float =
     ranked = grams.join(freq, "g").groupBy("t", "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda s: s.g).alias("grams")
     )
+    # both prefixes and both verification sides read it, so it is computed once
+    ranked = through_table(ranked, "title-grams")
     keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
     prefix = ranked.select("t", "n", F.slice("grams", F.lit(1), keep).alias("pre")).select(
         "t", "n", F.explode("pre").alias("g")

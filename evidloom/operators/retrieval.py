@@ -29,7 +29,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     toks = queries.select("query_id", T.tokens(F.col("text")).alias("toks"))
     return (
         toks.select("query_id", F.size(F.array_distinct("toks")).alias("nq"), "toks")
-        .select("query_id", "nq", F.explode("toks").alias("term"))
+        .select("query_id", "nq", F.explode_outer("toks").alias("term"))
+        .where("term IS NOT NULL")
         .groupBy("query_id", "nq", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -49,13 +50,25 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
     Terms are counted per chunk first, so the exchange carries one row per (chunk, term) at most
     and one per term after the map-side combine.
     """
-    toks = chunks.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    toks = by_chunk(chunks).select(
+        "chunk_id", F.explode_outer(T.tokens(F.col("text"))).alias("term")
+    ).where("term IS NOT NULL")
     return (
         toks.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     )
 
 
+def by_chunk(chunks: DataFrame) -> DataFrame:
+    """The text table hashed by chunk id: one exchange that every later step of a plan reuses.
+
+    Tokens are exploded with the outer form throughout.  The inner form makes the optimizer add
+    a non-empty filter next to the scan, which would tokenise every text once more before the
+    exchange.
+    """
+    return chunks.select("chunk_id", "text").repartition("chunk_id")
+
+
 def query_postings(chunks: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
     """(chunk_id, dl, nd, term, tf) for terms that occur in some query.
 
@@ -64,13 +77,12 @@ def query_postings(chunks: DataFrame, terms: DataFrame, small: bool | None = Non
     small = fits(terms) if small is None else small
     vocabulary = terms.select("term").distinct()
     words = (
-        chunks.select("chunk_id", "text")
-        .repartition("chunk_id")
+        by_chunk(chunks)
         .select("chunk_id", T.tokens(F.col("text")).alias("toks"))
         # lengths are taken below the explode: beside it they would be recomputed per word
         .select("chunk_id", F.size("toks").alias("dl"),
                 F.size(F.array_distinct("toks")).alias("nd"), "toks")
-        .select("chunk_id", "dl", "nd", F.explode("toks").alias("term"))
+        .select("chunk_id", "dl", "nd", F.explode_outer("toks").alias("term"))
     )
     if small:
         words = words.join(F.broadcast(vocabulary), "term", "left_semi")
@@ -90,18 +102,24 @@ def score_pairs(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     # the weighted terms below are a subset of these rows, so one check covers both broadcasts
     small = fits(terms)
     posts = query_postings(chunks, terms, small)
-    size = corpus_size(chunks)
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = chunks.agg(F.count(F.lit(1))).scalar()
+    avg_len = corpus_size(by_chunk(chunks)).select("avg_len").scalar()
+    # one row per chunk and distinct term, without counting terms inside the chunk first
+    words = by_chunk(chunks).select(
+        F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    wanted = terms.select("term").distinct()
+    df = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
     weighted = terms.join(df, "term").withColumn(
         "idf",
-        F.log(1 + (size.select("n_docs").scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)),
+        F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)),
     )
     norm_len = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1e-9))
     gain = (
         F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1)
         / (F.col("tf") + F.lit(k1) * norm_len)
     )
-    posts = posts.withColumn("avg_len", size.select("avg_len").scalar())
+    posts = posts.withColumn("avg_len", avg_len)
     joined = posts.join(F.broadcast(weighted), "term") if small else salted_join(
         posts, weighted, ["term"], ["chunk_id"]
     )

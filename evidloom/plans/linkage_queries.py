@@ -284,7 +284,7 @@ ex AS (SELECT r.reference_entry_id, w.provider, w.provider_record_id FROM r JOIN
 rt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT t FROM r WHERE t <> '')),
 wt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT t FROM w WHERE t <> '')),
 sim AS (SELECT rt.t AS rt, wt.t AS wt, round(len(list_intersect(rt.g, wt.g))::DOUBLE / (len(rt.g) + len(wt.g) - len(list_intersect(rt.g, wt.g))), 6) AS s
-        FROM rt, wt WHERE least(len(rt.g), len(wt.g)) >= 0.6 * greatest(len(rt.g), len(wt.g)) AND s >= 0.6),
+        FROM rt, wt WHERE least(len(rt.g), len(wt.g)) >= 0.8 * greatest(len(rt.g), len(wt.g)) AND s >= 0.8),
 ti AS (SELECT * FROM (SELECT r.reference_entry_id, w.provider, w.provider_record_id, s, row_number() OVER (
          PARTITION BY r.reference_entry_id, w.provider ORDER BY s DESC, w.provider_record_id) AS rank
        FROM r JOIN sim ON r.t = sim.rt JOIN w ON w.t = sim.wt) WHERE rank <= 5)
@@ -299,7 +299,7 @@ def j2(v):
         F.when(F.col("page_id") % 2 == 0, "crossref").otherwise("openalex").alias("provider"),
         F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("provider_record_id"),
         F.col("heading").alias("title"), "doi", none)
-    return R.generate_candidates(references, works, threshold=0.6).select(
+    return R.generate_candidates(references, works, threshold=0.8).select(
         REF, "provider", "provider_record_id", "match", "similarity")
 
 
