@@ -258,10 +258,10 @@ def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, digits: int
         c_blocks = max(1, math.ceil(chunks.count() / CHUNK_BLOCK))
         left = queries.withColumn(
             "qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))
-        ).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("bigint"))
+        ).withColumn("cb", F.explode(F.expr(f"sequence(0L, {c_blocks - 1}L)")))
         right = chunks.withColumn(
             "cb", F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks))
-        ).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint"))
+        ).withColumn("qb", F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")))
 
         def meet(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
             if qs.empty or cs.empty:
