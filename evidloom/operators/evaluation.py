@@ -64,7 +64,7 @@ def cohens_kappa(pairs: DataFrame, dimensions: list[str],
     )
     rows = totals.join(chance, "dimension", "left").fillna(0.0, ["products"])
     wanted = pairs.sparkSession.createDataFrame([(d,) for d in dimensions], "dimension string")
-    rows = F.broadcast(wanted).join(rows, "dimension", "left")
+    rows = wanted.join(rows, "dimension", "left")
     n = F.col("cases").cast("double")
     po, pe = F.col("agree") / n, F.col("products") / (n * n)
     kappa = (
@@ -269,7 +269,7 @@ def evaluate_rubric(metrics: DataFrame, synthetic_only: Column | None = None,
         rubric or vocab.RUBRIC, "metric string, kind string, operator string, threshold double"
     )
     synthetic = synthetic_only if synthetic_only is not None else F.lit(False)
-    rows = F.broadcast(rules).join(metrics, "metric", "left")
+    rows = rules.join(metrics, "metric", "left")
     v, t, op = F.col("value"), F.col("threshold"), F.col("operator")
     holds = (
         F.when(op == "eq", v == t).when(op == "gte", v >= t).when(op == "lte", v <= t)

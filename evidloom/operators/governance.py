@@ -233,7 +233,7 @@ def constraint_report(rows: DataFrame, rules: dict[str, Column], key: str, sampl
         F.array_join(F.array_sort(F.collect_list(F.col(key))), ",").alias("sample_keys"))
     names = rows.sparkSession.createDataFrame([(n,) for n in rules], "rule string")
     return (
-        F.broadcast(names).join(counts, "rule", "left").join(first, "rule", "left")
+        names.join(counts, "rule", "left").join(first, "rule", "left")
         .select("rule", F.coalesce("violations", F.lit(0)).alias("violations"), "sample_keys"))
 
 

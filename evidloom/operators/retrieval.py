@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom.functions import text as T
@@ -278,7 +278,9 @@ def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, digits: int
 def vector_pair_scores(pairs: DataFrame, chunk_vectors: DataFrame,
                        query_vectors: DataFrame) -> DataFrame:
     """Cosine of given (query_id, chunk_id) pairs."""
-    side, small = broadcast_if_small(query_vectors.select("query_id", F.col("vector").alias("qv")))
+    # a vector is far wider than a term row, so the row bound is lower
+    side, _ = broadcast_if_small(
+        query_vectors.select("query_id", F.col("vector").alias("qv")), 8 * QUERY_BLOCK)
     scored = pairs.join(chunk_vectors.withColumnRenamed("vector", "cv"), "chunk_id").join(
         side, "query_id"
     )
@@ -345,8 +347,9 @@ def approximate_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, bucket:
         F.col("datasetA.vector").alias("vector"),
         F.round(V.dot(F.col("datasetA.vector"), F.col("datasetB.qv")), 6).alias("score"),
     )
-    # the (k)-best distinct vectors suffice: every one of them stands for at least one chunk
-    best = top_rows(cand, ["query_id"], [F.desc("score"), F.asc("vkey")], 4 * k, "pos").drop("pos")
+    # every distinct vector stands for at least one chunk; equal scores at the border all stay
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    best = cand.distinct().withColumn("pos", F.rank().over(place)).where(F.col("pos") <= k).drop("pos")
     rows = best.join(copies.select("vkey", "vector", "chunk_id"), ["vkey", "vector"])
     return top_rows(rows.select("query_id", "chunk_id", "score"), ["query_id"],
                     [F.desc("score"), F.asc("chunk_id")], k)

@@ -9,6 +9,7 @@ from evidloom import vocab
 from evidloom.functions import text as T
 from evidloom.operators import governance as G
 from evidloom.operators import retrieval as R
+from evidloom.operators.skew import lead_rows
 from evidloom.plans.registry import query
 
 _ST = ", ".join(f"coalesce({s}, 1.0::DOUBLE)" for s in vocab.STAGES)
@@ -361,12 +362,10 @@ w(id, root) AS (SELECT id, id FROM h WHERE nxt = id UNION SELECT h.id, w.root FR
 SELECT id, 'several_current_rows' AS problem FROM h JOIN c USING (aggregate_id) WHERE nxt IS NULL AND n > 1
 UNION ALL SELECT DISTINCT id, 'pointer_cycle' FROM w""")
 def d6(v):
-    from pyspark.sql import Window
-
-    following = F.lead("event_id").over(Window.partitionBy("aggregate_id").orderBy("event_id"))
-    history = v("v_outbox").select(
+    rows = lead_rows(v("v_outbox"), ["aggregate_id"], ["event_id"], F.floor(F.col("event_id") / 1000), ["event_id"])
+    history = rows.select(
         F.col("event_id").alias("id"), F.col("aggregate_id").alias("reference_entry_id"),
-        F.when(F.col("k") == 7, F.col("event_id")).when(F.col("k") < 50, following).alias("superseded_by_id"))
+        F.when(F.col("k") == 7, F.col("event_id")).when(F.col("k") < 50, F.col("next.event_id")).alias("superseded_by_id"))
     return G.supersession_problems(history)
 
 
