@@ -41,7 +41,7 @@ def provider_agreement(candidates: DataFrame) -> DataFrame:
         ask("all", 0, none, none), ask("title", 1, none, title),
         F.when(doi.isNotNull(), ask("doi", 1, doi, none)),
         F.when(doi.isNotNull(), ask("both", -1, doi, title))))
-    keys = candidates.select(*row_id, F.explode(wanted).alias("q")).select(*row_id, "q.*")
+    keys = candidates.select(*row_id, F.explode_outer(wanted).alias("q")).select(*row_id, "q.*")
     sizes = keys.groupBy(REF, "kind", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
     agreed = keys.join(sizes, [REF, "kind", "k1", "k2"]).groupBy(*row_id).agg(
         (F.sum(F.col("sign") * F.col("n")) / F.max(F.when(F.col("kind") == "all", F.col("n"))))
@@ -172,13 +172,14 @@ def title_candidates(references: DataFrame, works: DataFrame, threshold: float =
         rt.select(F.col("rt").alias("t")).union(wt.select(F.col("wt").alias("t"))).distinct()
         .select("t", _trigrams(F.col("t")).alias("grams"))
     )
+    # outer explode: the inner form would build every trigram array twice (non-empty filter)
     grams = titles.select("t", F.size("grams").alias("n"), "grams").select(
-        "t", "n", F.explode("grams").alias("g")
-    )
+        "t", "n", F.explode_outer("grams").alias("g")
+    ).where("g IS NOT NULL")
     freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
     # a title has one entry per distinct trigram, so the list is bounded by its own length
     ranked = grams.join(freq, "g").groupBy("t", "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda s: s.g).alias("grams")
+        F.transform(F.sort_array(F.collect_list(F.struct("f", "g"))), lambda s: s.g).alias("grams")
     )
     # both prefixes and both verification sides read it, so it is computed once
     ranked = through_table(ranked, "title-grams")
