@@ -36,6 +36,10 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # the cluster default means 200 state stores per stateful operator on one machine
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
 
 
 def shared_dir(spark: SparkSession) -> str:
