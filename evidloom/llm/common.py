@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.session import new_table_path
+from evidloom.session import new_table_path, tune
 
 # The white space and the letters that word and line keys fold.
 SPACE = " \t\n\x0b\x0c\r"
@@ -16,6 +18,18 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 _OTHER_CASE = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ready(spark: SparkSession) -> None:
+    """Session settings; Python workers find this package, and take long texts in small batches."""
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.
 

@@ -18,8 +18,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import ascii_lower, delete_path, spread, strip_space, write_table
-from evidloom.session import new_table_path, tune
+from evidloom.llm.common import ascii_lower, delete_path, ready, spread, strip_space, write_table
+from evidloom.session import new_table_path
 
 KEY = ["__h1", "__h2"]
 
@@ -94,7 +94,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     their lines except in the largest ``doc_id`` that holds them.
     """
     spark = docs.sparkSession
-    tune(spark)
+    ready(spark)
     content = F.coalesce(F.col("text"), F.lit(""))
     known = docs.select("doc_id", content.alias("text")).where(F.col("doc_id").isNotNull())
     cuts = known.agg(F.percentile_approx(

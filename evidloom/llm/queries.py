@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import documents, table
+from evidloom.llm.common import documents, ready, table
 from evidloom.llm.line_dedup import drop_repeated_lines
-from evidloom.session import tune
+from evidloom.llm.mixture_pack import mixture_pack
+from evidloom.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None):
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tune(spark)
+            ready(spark)
             return build(spark, sf_dir)
 
         QUERIES[name] = run
@@ -55,3 +56,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op5_mixture_pack")
+def op5_mixture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return mixture_pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"))
