@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidloom.llm.common import documents, ready, table
+from evidloom.llm.decontaminate import find_leaks
 from evidloom.llm.line_dedup import drop_repeated_lines
 from evidloom.llm.mixture_pack import mixture_pack
+from evidloom.llm.near_dup import near_duplicates
 from evidloom.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +74,14 @@ def op5_mixture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return mixture_pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op1_near_dup")
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "n_windows", "start", "similarity")
