@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import documents, ready, table
+from evidloom.llm.common import crc_mod, documents, ready, table
 from evidloom.llm.decontaminate import find_leaks
 from evidloom.llm.line_dedup import drop_repeated_lines
 from evidloom.llm.mixture_pack import mixture_pack
 from evidloom.llm.near_dup import near_duplicates
+from evidloom.llm.quality_rank import fit_ranking, score_quality
 from evidloom.llm.token_counts import count_tokens
+from evidloom.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +87,19 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "n_windows", "start", "similarity")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score_toxicity(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_quality_rank")
+def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_ranking(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score_quality(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")

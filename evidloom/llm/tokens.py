@@ -33,7 +33,7 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Cache(dict):
+class WordCache(dict):
     """Word to value; computes what is missing and keeps it unless the word is very long."""
 
     def __init__(self, compute) -> None:
@@ -91,7 +91,7 @@ class WordCounter:
         self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.byte_char = _byte_characters()
         self.whole = self._prove()
-        self.cache = _Cache(self._count_word)
+        self.cache = WordCache(self._count_word)
 
     def _merged(self, piece: str) -> int:
         return len(self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_char)))
