@@ -13,6 +13,7 @@ from evidloom.llm.line_dedup import drop_repeated_lines
 from evidloom.llm.mixture_pack import mixture_pack
 from evidloom.llm.near_dup import near_duplicates
 from evidloom.llm.quality_rank import fit_ranking, score_quality
+from evidloom.llm.quality_rules import quality_rules
 from evidloom.llm.token_counts import count_tokens
 from evidloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -103,3 +104,10 @@ def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_ranking(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return score_quality(docs, model).select(
         "doc_id", (crc_mod(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return quality_rules(docs, docs.join(good, "doc_id", "left_semi"))
