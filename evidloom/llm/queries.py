@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidloom.llm.chat import format_preferences, preference_turns
 from evidloom.llm.common import crc_mod, documents, ready, table
 from evidloom.llm.decontaminate import find_leaks
 from evidloom.llm.line_dedup import drop_repeated_lines
@@ -15,6 +16,7 @@ from evidloom.llm.near_dup import near_duplicates
 from evidloom.llm.quality_rank import fit_ranking, score_quality
 from evidloom.llm.quality_rules import quality_rules
 from evidloom.llm.token_counts import count_tokens
+from evidloom.llm.token_output import pack_matrix
 from evidloom.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +113,47 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     return quality_rules(docs, docs.join(good, "doc_id", "left_semi"))
+
+
+@query("op3_token_matrix")
+def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_matrix(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                       public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id=50256, pad_id=50256)
+
+
+OP4_SQL = """
+WITH last AS (
+  SELECT conv_id, max_by(text, (turn, text)) AS answer, max(turn) AS turn
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+t AS (
+  SELECT c.conv_id, c.turn, coalesce(c.role, '') AS role, coalesce(c.text, '') AS chosen,
+         CASE WHEN c.turn = l.turn AND c.role = 'assistant' THEN coalesce(o.answer, '')
+              ELSE coalesce(c.text, '') END AS rejected
+  FROM conversations c LEFT JOIN last l ON l.conv_id = c.conv_id
+  LEFT JOIN last o ON o.conv_id = xor(c.conv_id, 1)),
+d AS (SELECT conv_id, min(turn) FILTER (chosen <> rejected) AS first FROM t GROUP BY conv_id),
+r AS (
+  SELECT t.conv_id, t.turn, t.role, d.first IS NULL OR t.turn < d.first AS shared,
+         '<|im_start|>' || t.role || chr(10) || chosen || '<|im_end|>' || chr(10) AS c,
+         '<|im_start|>' || t.role || chr(10) || rejected || '<|im_end|>' || chr(10) AS j
+  FROM t JOIN d ON d.conv_id = t.conv_id),
+p AS (
+  SELECT *, sum(length(c)) OVER w AS c_end, sum(length(j)) OVER w AS j_end, length(role) + 13 AS head
+  FROM r WINDOW w AS (PARTITION BY conv_id, shared ORDER BY turn))
+SELECT conv_id AS pair_id, count(*) FILTER (shared) AS n_prompt_turns,
+       coalesce(string_agg(c, '' ORDER BY turn) FILTER (shared), '') AS prompt,
+       coalesce(string_agg(c, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+       coalesce(string_agg(j, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected,
+       coalesce(string_agg((c_end - length(c) + head)::VARCHAR || '-' || c_end::VARCHAR, ',' ORDER BY turn)
+                FILTER (NOT shared AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((j_end - length(j) + head)::VARCHAR || '-' || j_end::VARCHAR, ',' ORDER BY turn)
+                FILTER (NOT shared AND role = 'assistant'), '') AS rejected_mask
+FROM p GROUP BY conv_id
+"""
+
+
+@query("op4_preference_format", OP4_SQL)
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(preference_turns(table(spark, sf_dir, "conversations")))
