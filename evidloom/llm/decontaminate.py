@@ -141,7 +141,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: in
     windows = None
     for k in sizes:
         own = spots.where(F.col("k") == k)
-        held = texts.join(own.select(*ROW).distinct(), ROW, "left_semi")
+        # the same join at every size: what is looked up grows with the corpus
+        held = texts.join(own.select(*ROW).distinct().hint("merge"), ROW, "left_semi")
         held = held.select("doc_id", *ROW, _word_hashes(F.col("text")).alias("words"))
         held = held.select("doc_id", *ROW, _shingles(k).alias("all"), F.size("words").alias("n"))
         cutout = held.join(own, ROW).select(
