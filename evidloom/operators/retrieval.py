@@ -1,7 +1,7 @@
 """Batched evidence retrieval.
 
-All lexical operators share one exchange: chunk rows are hashed by chunk id once, after which
-term counting and per-chunk scoring are local.  Only a per-query top-k leaves the partitions.
+Texts are tokenised where they are scanned and never cross an exchange: only counts of terms that some
+query asks for move, and a per-query top-k.
 """
 
 from __future__ import annotations
@@ -47,26 +47,16 @@ def corpus_size(chunks: DataFrame) -> DataFrame:
 def term_statistics(chunks: DataFrame) -> DataFrame:
     """Document frequency and total frequency per term.
 
-    Terms are counted per chunk first, so the exchange carries one row per (chunk, term) at most
-    and one per term after the map-side combine.
+    Each chunk adds one row per word and one per distinct word, which are summed on the map side, so
+    the exchange carries one row per term and task.
     """
-    toks = by_chunk(chunks).select(
-        "chunk_id", F.explode_outer(T.tokens(F.col("text"))).alias("term")
-    ).where("term IS NOT NULL")
-    return (
-        toks.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    )
-
-
-def by_chunk(chunks: DataFrame) -> DataFrame:
-    """The text table hashed by chunk id: one exchange that every later step of a plan reuses.
-
-    Tokens are exploded with the outer form throughout.  The inner form makes the optimizer add
-    a non-empty filter next to the scan, which would tokenise every text once more before the
-    exchange.
-    """
-    return chunks.select("chunk_id", "text").repartition("chunk_id")
+    toks = chunks.select(T.tokens(F.col("text")).alias("toks"))
+    tagged = F.concat(
+        F.transform("toks", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
+        F.transform(F.array_distinct("toks"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))))
+    rows = toks.select(F.explode_outer(tagged).alias("e")).select("e.*").where("term IS NOT NULL")
+    return rows.groupBy("term").agg(
+        F.sum("first").alias("df"), F.count_if(F.col("first") == 0).alias("cf"))
 
 
 def query_postings(chunks: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
@@ -77,8 +67,7 @@ def query_postings(chunks: DataFrame, terms: DataFrame, small: bool | None = Non
     small = fits(terms) if small is None else small
     vocabulary = terms.select("term").distinct()
     words = (
-        by_chunk(chunks)
-        .select("chunk_id", T.tokens(F.col("text")).alias("toks"))
+        chunks.select("chunk_id", T.tokens(F.col("text")).alias("toks"))
         # lengths are taken below the explode: beside it they would be recomputed per word
         .select("chunk_id", F.size("toks").alias("dl"),
                 F.size(F.array_distinct("toks")).alias("nd"), "toks")
@@ -103,9 +92,9 @@ def score_pairs(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     small = fits(terms)
     posts = query_postings(chunks, terms, small)
     n_docs = chunks.agg(F.count(F.lit(1))).scalar()
-    avg_len = corpus_size(by_chunk(chunks)).select("avg_len").scalar()
+    avg_len = corpus_size(chunks).select("avg_len").scalar()
     # one row per chunk and distinct term, without counting terms inside the chunk first
-    words = by_chunk(chunks).select(
+    words = chunks.select(
         F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
     df = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(
@@ -171,28 +160,18 @@ def hashed_embedding(rows: DataFrame, id_col: str, dim: int = 64,
                      digits: int | None = None) -> DataFrame:
     """(id, vector) - tokens hashed into ``dim`` buckets, weight 1 + ln(count), unit length.
 
-    A bucket is the first four bytes of sha256(token), big-endian, modulo ``dim``.  Each distinct
-    token of a row is hashed once.  Rows without tokens give zeros.
+    A bucket is the first four bytes of sha256(token), big-endian, modulo ``dim``.  Buckets are counted
+    on the map side into one row per id.  Rows without tokens give zeros.
     """
-    counted = (
-        rows.select(id_col, "text").repartition(id_col)
-        .select(id_col, F.explode_outer(T.tokens(F.col("text"))).alias("term"))
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    )
+    words = rows.select(id_col, F.explode_outer(T.tokens(F.col("text"))).alias("term"))
     bucket = F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("bigint") % dim
-    weights = (
-        counted.withColumn("bucket", F.when(F.col("term").isNotNull(), bucket))
-        .groupBy(id_col, "bucket").agg(F.sum("n").alias("n"))
-        .withColumn("w", 1 + F.log("n"))
-    )
-    # at most ``dim`` entries per id reach the map
-    entries = F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "w")))
-    dense = weights.groupBy(id_col).agg(
-        F.map_from_entries(entries).alias("m"),
-        F.sqrt(F.sum(F.when(F.col("bucket").isNotNull(), F.col("w") * F.col("w")))).alias("len"),
-    )
-    value = lambda i: F.coalesce(F.element_at("m", i.cast("bigint")) / F.col("len"), F.lit(0.0))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
+    counts = words.select(id_col, bucket.alias("bucket")).groupBy(id_col).agg(
+        *[F.count_if(F.col("bucket") == i).alias(f"n{i}") for i in range(dim)])
+    weights = F.array(*[
+        F.when(F.col(f"n{i}") > 0, 1 + F.log(f"n{i}")).otherwise(F.lit(0.0)) for i in range(dim)])
+    dense = counts.select(id_col, weights.alias("w"))
+    dense = dense.withColumn("len", F.sqrt(F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x * x)))
+    vector = F.transform("w", lambda x: F.coalesce(x / F.nullif("len", F.lit(0.0)), F.lit(0.0)))
     if digits is not None:
         vector = F.transform(vector, lambda x: F.round(x, digits))
     return dense.select(id_col, vector.alias("vector"))
