@@ -7,10 +7,12 @@ permutations give every coordinate, and a shingle's coordinates are one slice of
 
 Equal sets are collapsed first.  Candidates share a band of ``rows`` coordinates.  Only links that may
 join two components are verified: first each document against one pivot of its buckets, twice more
-against up to ``pivots`` others, and at last all pairs of a bucket that are still in different components
-and whose bit sketches may reach the threshold.  Every candidate pair is thus either verified, inside one
-component, or ruled out by size or sketch (more than six standard deviations off the threshold).  A
-pair at the threshold shares no band with a chance of (1 - t^rows)^bands, 1.3e-6 with the defaults.
+against up to ``pivots`` others.  At last all pairs of a bucket that are still in different components are
+compared by the low bytes of ``length`` coordinates, in blocks of rows inside tasks, and only those that may
+reach the threshold come out, once each, for verification.  Every candidate pair is thus either
+verified, inside one component, or ruled out by size or by an estimate more than 4.5 standard
+deviations below the threshold.  A pair at the threshold shares no band with a chance of
+(1 - t^rows)^bands, 1.3e-6 with the defaults.
 
 Defined cases: null or empty text and text without words have an empty set and link with nothing; rows
 with equal ``doc_id`` are one document; a row without ``doc_id`` links with nothing, has no component and is
@@ -19,6 +21,7 @@ kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import delete_path, ready, write_table
+from evidloom.llm.common import delete_path, ready, spread, write_table
+from evidloom.session import new_table_path
 
 SLOT_BITS = 20
+BAND_BITS = 6
+# Rows of a bucket that one task compares with as many others.
+BLOCK = 2000
 BATCH_WORDS = 400_000
 
 
@@ -70,18 +77,20 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
 
 
 class Circulant:
-    """Signatures, band keys and bit sketches of shingle sets."""
+    """Signatures of ``length`` coordinates and band keys (band number in the low bits) of shingle sets."""
 
-    def __init__(self, bands: int, rows: int, seed: int = 11) -> None:
+    def __init__(self, bands: int, rows: int, length: int, seed: int = 11) -> None:
+        if bands > 1 << BAND_BITS or bands * rows > length:
+            raise ValueError("at most 64 bands, and no more coordinates than the signature has")
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.k = bands, rows, bands * rows
+        self.bands, self.rows, self.k = bands, rows, length
         slots = 1 << SLOT_BITS
         second = rng.permutation(slots).astype(np.uint32)
         circle = np.concatenate([second, second[:self.k]])
         self.slices = np.lib.stride_tricks.sliding_window_view(circle, self.k)
         self.first = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
         self.weight = rng.integers(1 << 62, size=rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
+        self.number = np.arange(bands, dtype=np.uint64)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         slot = ((shingles * self.first) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -91,37 +100,31 @@ class Circulant:
         return out
 
     def keys(self, signature: np.ndarray) -> np.ndarray:
-        wide = signature.astype(np.uint64).reshape(self.bands, self.rows)
-        return _mix((wide * self.weight).sum(axis=1, dtype=np.uint64) + self.salt)
+        wide = signature[:self.bands * self.rows].astype(np.uint64).reshape(self.bands, self.rows)
+        return (_mix((wide * self.weight).sum(axis=1, dtype=np.uint64)) << np.uint64(BAND_BITS)) | self.number
 
-    def sketch(self, signature: np.ndarray) -> np.ndarray:
-        """Four words of low signature bits."""
-        bits = np.zeros(256, dtype=np.uint8)
-        bits[:min(256, self.k)] = signature[:256] & 1
-        return np.packbits(bits).view(np.int64)
 
-
-def _sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``id, n, h1, h2`` (the set's size and hash), band ``keys`` and ``bits``."""
+def _sketches(docs: DataFrame, size: int, bands: int, rows: int, length: int) -> DataFrame:
+    """``id, n, h1, h2`` (the set's size and hash), band ``keys`` and the signature's low bytes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Circulant(bands, rows)
+        hasher = Circulant(bands, rows, length)
         for batch in batches:
-            n, h1, h2, keys, bits = [], [], [], [], []
+            n, h1, h2, keys, low = [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), size):
                 n.append(len(s))
                 h1.append(int(_mix(s).sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(_mix(s * np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64).view(np.int64)))
                 signature = hasher.signature(s) if len(s) else None
                 keys.append(hasher.keys(signature).view(np.int64) if len(s) else [])
-                bits.append(hasher.sketch(signature) if len(s) else [])
+                low.append((signature & 255).astype(np.uint8).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["id", "n", "h1", "h2", "keys", "bits"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                names=["id", "n", "h1", "h2", "keys", "low_bytes"])
 
     return docs.mapInArrow(
-        sketch, "id long, n long, h1 long, h2 long, keys array<bigint>, bits array<bigint>")
+        sketch, "id long, n long, h1 long, h2 long, keys array<bigint>, low_bytes binary")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -167,60 +170,104 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     return labels.union(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), path
 
 
+def _close_pairs(rows: DataFrame, bands: int, width: int, length: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that may reach the threshold.
+
+    ``rows``: ``key, i, j, id, c, n, low_bytes``, dealt and sorted by (key, i, j): blocks ``i`` and ``j`` of one bucket.
+    A pair comes out of the first band that it shares only.
+    """
+    t = percent / 100
+    least = int(np.ceil(length * (t - 4.5 * (t * (1 - t) / length) ** 0.5)))
+
+    def compare(key: int, i: int, j: int, part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids, c, n, low, block = (part[x] for x in ("id", "c", "n", "low", "block"))
+        band = key & ((1 << BAND_BITS) - 1)
+        largest = np.bincount(np.unique(c, return_inverse=True)[1])
+        main = np.unique(c)[largest.argmax()]
+        left, right = [], []
+        # members of the largest component need no comparison among themselves
+        for x in np.flatnonzero(c != main):
+            other = (c != c[x]) & ((c == main) | (ids > ids[x])) & ((i == j) | (block != block[x]))
+            other &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            equal = low[at] == low[x]
+            near = equal.sum(axis=1) >= least
+            if not near.any():
+                continue
+            at, equal = at[near], equal[near]
+            shared = equal[:, :bands * width].reshape(len(at), bands, width).all(axis=2)
+            at = at[shared.argmax(axis=1) == band]
+            left.append(np.minimum(ids[at], ids[x]))
+            right.append(np.maximum(ids[at], ids[x]))
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "block", "id", "c", "n")}
+            part["low"] = np.frombuffer(b"".join(batch.column("low_bytes").to_pylist()), dtype=np.uint8).reshape(-1, length)
+            if held is not None:
+                part = {x: np.concatenate([held[x], part[x]]) for x in part}
+            change = np.flatnonzero((np.diff(part["key"]) != 0) | (np.diff(part["i"]) != 0) | (np.diff(part["j"]) != 0)) + 1
+            yield from finish(part, [0, *change.tolist()])
+            last = int(change[-1]) if len(change) else 0
+            held = {x: v[last:] for x, v in part.items()}
+        if held is not None:
+            yield from finish(held, [0, len(held["key"])])
+
+    def finish(part: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
+        found = [compare(int(part["key"][lo]), int(part["i"][lo]), int(part["j"][lo]), {x: v[lo:hi] for x, v in part.items()})
+                 for lo, hi in zip(edges, edges[1:], strict=False) if hi - lo > 1]
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(scan, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 50, rows: int = 5,
-                    pivots: int = 8) -> DataFrame:
+                    length: int = 512, pivots: int = 8) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sketches, _ = write_table(_sketches(texts, size, bands, rows), "sketches")
+    sketches, _ = write_table(_sketches(texts, size, bands, rows, length), "sketches")
     filled = sketches.where("n > 0 AND id IS NOT NULL")
     groups = filled.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     firsts = filled.join(
         groups, (filled.h1 == groups.h1) & (filled.h2 == groups.h2) & (filled.id == groups.rep), "left_semi")
-    bucketed = firsts.select("id", "n", F.explode("keys").alias("key"))
+    bucketed = firsts.select("id", F.explode("keys").alias("key"))
     shared = bucketed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members, _ = write_table(bucketed.join(shared.select("key", "low"), "key"), "band_members")
-    facts = firsts.select("id", "n", "bits").dropDuplicates(["id"])
-    spread = percent / 100
-    flips = (1 - spread) / 2 * min(256, bands * rows)
-    most = int(flips + 6.5 * (flips * (1 + spread) / 2) ** 0.5)
-
-    def close(x: str, y: str):
-        """Sizes and sketches of two sides that may reach the threshold."""
-        differ = sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseXOR(F.col(f"{y}_bits")[i])) for i in range(4)), F.lit(0))
-        low, high = F.least(f"{x}_n", f"{y}_n"), F.greatest(f"{x}_n", f"{y}_n")
-        return (low * 100 >= high * percent) & (differ <= most)
-
-    def side(frame: DataFrame, x: str) -> DataFrame:
-        return frame.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in frame.columns])
+    # the sets of documents that share a bucket, bucketed by id: verification moves only pairs
+    wanted = members.select("id").distinct().hint("merge")
+    sets_name, buckets = f"shingle_sets_{uuid.uuid4().hex}", spread(spark)
+    sets_path = new_table_path(spark, sets_name)
+    (_sets(texts.join(wanted, "id", "left_semi"), size).repartition(buckets, "id").write.bucketBy(buckets, "id")
+     .sortBy("id").option("path", sets_path).saveAsTable(sets_name))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs ``a, b`` whose full sets reach the threshold."""
-        pairs, path = write_table(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = _sets(texts.join(wanted, "id", "left_semi"), size)
-        both = pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
-        common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-        together = F.size("a_shingles") + F.size("b_shingles") - common
-        links, _ = write_table(both.where(common * 100 >= together * percent).select("a", "b").distinct(), "links")
-        delete_path(spark, path)
-        return links
-
-    def sifted(pairs: DataFrame) -> DataFrame:
-        known = pairs.join(side(facts, "a"), "a").join(side(facts, "b"), "b")
-        return known.where(close("a", "b")).select("a", "b")
+        sets = spark.table(sets_name).hint("merge")
+        first = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = both.where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent)
+        common = F.size(F.array_intersect("sa", "sb"))
+        together = F.size("sa") + F.size("sb") - common
+        return write_table(both.where(common * 100 >= together * percent).select("a", "b").distinct(), "links")[0]
 
     # each document against the least pivot of its buckets
     first = members.where("low < id").groupBy("id").agg(F.min("low").alias("a"))
-    links = verified(sifted(first.select("a", F.col("id").alias("b"))))
-    labels, label_path = connected_components(links)
+    labels, label_path = connected_components(verified(first.select("a", F.col("id").alias("b"))))
     for step in range(3):
-        named = members.select("key", "id").join(labels, "id", "left").withColumn(
-            "c", F.coalesce("component", "id"))
+        named = members.select("key", "id").join(labels, "id", "left").select(
+            "key", "id", F.coalesce("component", "id").alias("c"))
         # buckets that still hold several components
-        split = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-        open_rows = named.join(split.select("key"), "key").select("key", "id", "c")
+        split = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"))
+        open_rows = named.join(split.where("c0 < c1").select("key", "m"), "key")
         if step < 2:
             order = F.xxhash64("id", F.lit(step))
             pivot = open_rows.groupBy("key").agg(F.min_by(F.struct("id", "c"), order).alias("p"))
@@ -232,18 +279,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
                 .select("id", F.explode("ps.p").alias("p"))
             )
             pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-            found = verified(sifted(pairs))
         else:
-            known = open_rows.join(facts, "id")
-            x, y = side(known, "a"), side(known, "b")
-            pairs = x.join(y, (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b"))
-                           & (F.col("a_c") != F.col("b_c")) & close("a", "b"))
-            found = verified(pairs.select("a", "b").distinct())
+            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+            block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+            # a row meets every block of its bucket, its own included
+            met = open_rows.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            met = met.join(firsts.select("id", "n", "low_bytes").dropDuplicates(["id"]), "id").select(
+                "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "c", "n",
+                "low_bytes")
+            met = met.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+            pairs = _close_pairs(met, bands, rows, length, percent).distinct()
+        found = verified(pairs)
         if not found.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
             labels, new = connected_components(stars.union(found))
             delete_path(spark, label_path)
             label_path = new
+    spark.sql(f"DROP TABLE IF EXISTS {sets_name}")
+    delete_path(spark, sets_path)
     own = sketches.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2")
     placed = (
         own.join(groups, ["h1", "h2"], "left")
