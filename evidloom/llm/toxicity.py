@@ -7,8 +7,8 @@ few table steps.  Each match is looked at in a window of words: between an openi
 mark it counts as quoted, else as direct, and the weights of a window's direct matches add up to its
 score.  A logistic model joins the window score, the direct and the quoted sums.
 
-Bounds (parameters): ``max_terms`` terms of the lexicon, ``max_rows`` labelled rows for the logistic model.  The
-term counts themselves cover all labelled training documents.
+Bounds (parameters): the model is fitted on at most ``max_rows`` labelled rows, the first by a hash of the id,
+and its lexicon has at most ``max_terms`` terms.  Every document is scored whole.
 
 Defined cases: null or empty text has no words and gets the model's base score; rows with equal ``doc_id``
 are scored one by one; a null ``doc_id`` is never held out; without labels or toxic ones every score is 0;
@@ -18,6 +18,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -126,6 +127,9 @@ class TrieAutomaton:
         return self.ends[state] + stems
 
 
+_MATCHERS: dict[str, WordCache] = {}
+
+
 @dataclass
 class ToxicityModel:
     terms: list[str] = field(default_factory=list)
@@ -137,8 +141,16 @@ class ToxicityModel:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     coefficients: np.ndarray | None = None  # the constant last
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def matcher(self) -> WordCache:
+        """The word matcher; a worker process keeps the last one, whose tables fill as words come."""
+        if self.key not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[self.key] = self._new_matcher()
+        return _MATCHERS[self.key]
+
+    def _new_matcher(self) -> WordCache:
         automata = {k: TrieAutomaton(self.terms, k) for _, k in self.bounds}
 
         def match(word: str) -> tuple[int, float] | None:
@@ -223,12 +235,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, min_docs: int = 3, min_odds: float = 2.5,
-                 max_terms: int = 5000, max_rows: int = 20_000) -> ToxicityModel:
+                 max_terms: int = 5000, max_rows: int = 30_000) -> ToxicityModel:
     """Learn from ``labels`` (``doc_id, toxic``) of rows outside the held-out fold."""
     ready(docs.sparkSession)
     truth = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("y"))
-    train = docs.where(crc_mod(F.col("doc_id"), folds) != 0).select("doc_id", "text").join(truth, "doc_id")
+    truth = truth.where(crc_mod(F.col("doc_id"), folds) != 0)
+    truth = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # at most ``max_rows`` pairs of numbers, so texts stay where they are scanned
+    train = docs.select("doc_id", "text").join(F.broadcast(truth), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +279,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, min_docs: i
     model = ToxicityModel(
         [c[1] for c in chosen], [c[0] for c in chosen],
         ([odds(c[2], max(0, c[3] - 1)) for c in chosen], [odds(c[2] - 1, c[3]) for c in chosen]))
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     @F.pandas_udf("array<double>")
     def measure(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -272,8 +286,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, min_docs: i
         for texts, ys in parts:
             yield pd.Series([model.features(t, matcher, y) for t, y in zip(texts, ys, strict=True)])
 
-    # spread over tasks first: the limit leaves one partition
-    found = sample.repartition("doc_id").select(measure("text", "y").alias("x"), "y").toPandas()
+    found = train.select("doc_id", measure("text", "y").alias("x"), "y").toPandas().sort_values("doc_id", kind="stable")
     x, y = np.array(found["x"].tolist(), dtype=float).reshape(len(found), FEATURES), found["y"].to_numpy(dtype=float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.coefficients = logistic((x - model.mean) / model.scale, y)
