@@ -170,6 +170,39 @@ def has_injection_phrase(text: Column) -> Column:
     return hit
 
 
+def _private_quad(a: Column, b: Column, c: Column) -> Column:
+    """Private, loopback, link-local, multicast and reserved IPv4 blocks, by the first three octets."""
+    return (
+        a.isin(0, 10, 127)
+        | ((a == 172) & b.between(16, 31))
+        | ((a == 192) & (b == 168))
+        | ((a == 169) & (b == 254))
+        | ((a == 192) & (b == 0) & c.isin(0, 2))
+        | ((a == 198) & b.isin(18, 19))
+        | ((a == 198) & (b == 51) & (c == 100))
+        | ((a == 203) & (b == 0) & (c == 113))
+        | (a >= 224)
+    )
+
+
+def _ipv6_groups(address: Column) -> Column:
+    """Eight group values of an IPv6 literal; NULL when it is none.
+
+    A dotted tail becomes two groups and ``::`` as many zero groups as are missing.
+    """
+    dotted = r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+    octet = [F.regexp_extract(address, dotted, i).try_cast("int") for i in range(1, 5)]
+    tail = F.concat(F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]))
+    plain = F.when(address.rlike(dotted), F.concat(F.regexp_replace(address, dotted, ""), tail)).otherwise(address)
+    halves = F.split(plain, "::", -1)
+    parts = lambda half: F.filter(F.split(half, ":"), lambda x: x != "")
+    left, right = parts(F.get(halves, F.lit(0))), parts(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    full = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    values = F.transform(full, lambda x: F.conv(x, 16, 10).cast("int"))
+    return F.when(plain.contains(":") & (F.size(full) == 8), values)
+
+
 def url_denial(url: Column, require_https: bool = True) -> Column:
     """First static denial code of a URL, NULL when admitted.
 
@@ -180,26 +213,30 @@ def url_denial(url: Column, require_https: bool = True) -> Column:
     user_info = F.regexp_extract(authority, r"^(.*)@", 1)
     host_port = F.regexp_replace(authority, r"^.*@", "")
     host = F.lower(F.regexp_extract(host_port, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port_text = F.regexp_extract(host_port, r":([0-9]*)$", 1)
-    port = F.when(port_text != "", port_text.cast("int")).otherwise(
-        F.when(scheme == "https", 443).otherwise(80)
-    )
+    # after the host only nothing or a colon with a number may follow; an empty number is the default
+    tail = F.regexp_replace(host_port, r"^(\[[^\]]*\]|[^:]*)", "")
+    port_text = F.regexp_replace(tail, "^:", "")
+    default = F.when(scheme == "https", 443).otherwise(80)
+    port = F.when(port_text == "", default).otherwise(
+        F.when(port_text.rlike("^[0-9]+$"), F.coalesce(port_text.try_cast("int"), F.lit(-1))).otherwise(-1))
     quad = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
     is_v4 = host.rlike(quad)
     a, b, c = (F.regexp_extract(host, quad, i).try_cast("int") for i in (1, 2, 3))
-    # private, loopback, link-local, multicast and broadcast blocks
-    v4_private = is_v4 & (
-        a.isin(0, 10, 127)
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | ((a == 169) & (b == 254))
-        | ((a == 192) & (b == 0) & c.isin(0, 2))
-        | ((a == 198) & b.isin(18, 19))
-        | ((a == 198) & (b == 51) & (c == 100))
-        | ((a == 203) & (b == 0) & (c == 113))
-        | (a >= 224)
-    )
-    v6_private = host.rlike(r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)\]$")
+    v4_private = is_v4 & _private_quad(a, b, c)
+    groups = _ipv6_groups(F.regexp_extract(host, r"^\[([^\]%]*)(?:%[^\]]*)?\]$", 1))
+    g = [F.get(groups, F.lit(i)) for i in range(8)]
+    zero = [x == 0 for x in g]
+    head = zero[0] & zero[1] & zero[2] & zero[3] & zero[4]
+    octets = [F.floor(g[6] / 256), g[6] % 256, F.floor(g[7] / 256)]
+    # fixed values: non-public IPv6 blocks, and the IPv4 address inside a mapped one
+    v6_private = F.coalesce(
+        (head & zero[5] & zero[6] & g[7].isin(0, 1))
+        | (head & (g[5] == 0xFFFF) & _private_quad(*octets))
+        | ((g[0] >= 0xFC00) & (g[0] <= 0xFDFF)) | ((g[0] >= 0xFE80) & (g[0] <= 0xFEBF)) | (g[0] >= 0xFF00)
+        | ((g[0] == 0x100) & zero[1] & zero[2] & zero[3])
+        | ((g[0] == 0x64) & (g[1] == 0xFF9B) & (g[2] == 1))
+        | ((g[0] == 0x2001) & ((g[1] < 0x200) | (g[1] == 0xDB8))) | (g[0] == 0x2002)
+        | ((g[0] == 0x3FFF) & (g[1] < 0x1000)), F.lit(False))
     allowed = ["https"] if require_https else ["http", "https"]
     return (
         F.when(~scheme.isin(*allowed), "SCHEME_NOT_ALLOWED")

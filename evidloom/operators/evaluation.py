@@ -55,12 +55,15 @@ def cohens_kappa(pairs: DataFrame, dimensions: list[str],
     table = label_table(pairs, dimensions)
     a = table.groupBy("dimension", F.col("a").alias("label")).agg(F.sum("n").alias("na"))
     b = table.groupBy("dimension", F.col("b").alias("label")).agg(F.sum("n").alias("nb"))
-    chance = a.join(b, ["dimension", "label"]).groupBy("dimension").agg(
+    b = b.withColumnsRenamed({"dimension": "dimension_b", "label": "label_b"})
+    # a missing label is a label like any other
+    same = (F.col("dimension") == F.col("dimension_b")) & F.col("label").eqNullSafe(F.col("label_b"))
+    chance = a.join(b, same).groupBy("dimension").agg(
         F.sum(F.col("na").cast("double") * F.col("nb")).alias("products")
     )
     totals = table.groupBy("dimension").agg(
         F.sum("n").alias("cases"),
-        F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("agree"),
+        F.sum(F.when(F.col("a").eqNullSafe(F.col("b")), F.col("n")).otherwise(0)).alias("agree"),
     )
     rows = totals.join(chance, "dimension", "left").fillna(0.0, ["products"])
     wanted = pairs.sparkSession.createDataFrame([(d,) for d in dimensions], "dimension string")

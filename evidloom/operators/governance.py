@@ -277,7 +277,7 @@ def provenance_invariants(spans: DataFrame) -> DataFrame:
     return got.unpivot([], list(checks), "invariant", "violations")
 
 
-def supersession_problems(history: DataFrame, max_steps: int = 40) -> DataFrame:
+def supersession_problems(history: DataFrame) -> DataFrame:
     """(id, problem) - more than one current row per reference, or a pointer cycle.
 
     ``history`` carries id, reference_entry_id, superseded_by_id.  Pointers are doubled: after k
@@ -290,9 +290,9 @@ def supersession_problems(history: DataFrame, max_steps: int = 40) -> DataFrame:
     hop = history.select("id", F.col("superseded_by_id").alias("to")).where("to IS NOT NULL")
     total = hop.count()
     hop = through_table(hop, "hops")
-    for step in range(max_steps):
-        if (1 << step) > total:
-            break
+    reach = 1
+    while reach <= total:
+        reach *= 2
         ahead = hop.select(F.col("id").alias("to"), F.col("to").alias("next"))
         hop = through_table(hop.join(ahead, "to").select("id", F.col("next").alias("to")), "hops")
     cycles = hop.select("id", F.lit("pointer_cycle").alias("problem"))

@@ -268,22 +268,26 @@ def synthetic_cases(index: DataFrame, column: str) -> DataFrame:
         relation.alias("relation"), F.when(closed, "inaccessible_source").alias("abstention"))
 
 
-def alert_windows(counts: DataFrame, sustained: int = 10) -> DataFrame:
+def alert_windows(counts: DataFrame, stalled_for: int = 10, failing_for: int = 5, quotes_for: int = 5) -> DataFrame:
     """E7 on window counts (start, created, failed, completed, quote_failures; one row per minute
     start of a sliding five-minute window).
 
-    failure_rate: failed / created above .1; stalled: created without completed in all of the last
-    ``sustained`` windows; quote_failures: more than 10 per second.  ``counts`` has one row per
-    window start, so consecutive windows are looked up by start time instead of a global order.
+    failure_rate: failed above a tenth of created (so failures without anything created count);
+    quote_failures: more than 10 per second; stalled: created without completed.  An alert is on when
+    its condition held in each of the last ``*_for`` windows.  ``counts`` has one row per window start, so
+    consecutive windows are looked up by start time instead of a global order.
     """
-    per_second = F.col("quote_failures") / 300.0
-    rows = counts.withColumn("failure_rate_high", F.coalesce(F.col("failed") / F.nullif("created", F.lit(0)) > 0.1, F.lit(False)))
-    rows = rows.withColumn("quote_failures_high", per_second > 10)
-    rows = rows.withColumn("stalled_now", (F.col("created") > 0) & (F.col("completed") == 0))
-    stalled = rows.where("stalled_now").select(
-        F.explode(F.transform(
-            F.sequence(F.lit(0), F.lit(sustained - 1)),
-            lambda i: F.timestamp_add("MINUTE", i, F.col("start")))).alias("start"))
-    run = stalled.groupBy("start").agg(F.count(F.lit(1)).alias("run"))
-    return rows.join(run, "start", "left").withColumn(
-        "stalled", F.coalesce(F.col("run") == sustained, F.lit(False))).drop("run", "stalled_now")
+    created, failed = F.col("created"), F.col("failed")
+    rules = {
+        "failure_rate_high": ((failed > 0) & (failed * 10 > created), failing_for),
+        "quote_failures_high": (F.col("quote_failures") / 300.0 > 10, quotes_for),
+        "stalled": ((created > 0) & (F.col("completed") == 0), stalled_for),
+    }
+    longest = max(span for _, span in rules.values())
+    held = counts.select("start", *[F.coalesce(c, F.lit(False)).alias(f"now_{n}") for n, (c, _) in rules.items()])
+    # a window speaks for itself and for those up to ``longest`` minutes after it
+    spread = held.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(longest - 1)))).withColumn(
+        "start", F.timestamp_add("MINUTE", F.col("age"), F.col("start")))
+    runs = spread.groupBy("start").agg(*[
+        (F.count_if(F.col(f"now_{n}") & (F.col("age") < span)) == span).alias(n) for n, (_, span) in rules.items()])
+    return counts.join(runs, "start", "left")

@@ -394,17 +394,22 @@ def alert_counts(events):
     ).select(F.col("window.start").alias("start"), "created", "failed", "completed", "quote_failures")
 
 
-ALERTS_OUT = ALERTS + """,
-s AS (SELECT *, created > 0 AND completed = 0 AS now FROM c)
-SELECT epoch(start)::BIGINT AS start_s, created, failed, coalesce(failed::DOUBLE / nullif(created, 0) > 0.1, false) AS failure_rate_high,
-  quote_failures / 300.0 > 10 AS quote_failures_high,
-  now AND (SELECT count(*) FROM s p WHERE p.start BETWEEN s.start - INTERVAL 4 MINUTE AND s.start AND p.now) = 5 AS stalled FROM s"""
+def _held(rule, minutes):
+    return (f"(SELECT count(*) FILTER (p.{rule}) FROM s p WHERE p.start BETWEEN s.start - INTERVAL {minutes - 1} MINUTE "
+            f"AND s.start) = {minutes}")
+
+
+ALERTS_OUT = ALERTS + f""",
+s AS (SELECT *, created > 0 AND completed = 0 AS stall, failed > 0 AND failed * 10 > created AS failing,
+  quote_failures / 300.0 > 10 AS quotes FROM c)
+SELECT epoch(start)::BIGINT AS start_s, created, failed, {_held("failing", 5)} AS failure_rate_high,
+  {_held("quotes", 5)} AS quote_failures_high, {_held("stall", 10)} AS stalled FROM s"""
 
 
 @query("e7_alert_windows_batch", ALERTS_OUT)
 def e7_batch(v):
     events = v("events").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
-    return C.alert_windows(alert_counts(events), sustained=5).select(
+    return C.alert_windows(alert_counts(events)).select(
         F.unix_seconds("start").alias("start_s"), "created", "failed", "failure_rate_high", "quote_failures_high", "stalled")
 
 

@@ -57,7 +57,8 @@ def e3(v):
     rows = stream_of(v, "v_outbox").select("event_id", "event_type", F.col("occurred_at").cast("timestamp").alias("at"))
     # at-least-once delivery: every event arrives twice
     twice = rows.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
-    return W.collect_to_table(W.deduplicate(twice, "at", ["event_id"]), "deduplicated").select("event_id", "event_type")
+    streamed = W.collect_to_table(W.deduplicate(twice, "at", ["event_id"]), "deduplicated").select("event_id", "event_type")
+    return W.recover(streamed, v("v_outbox").select("event_id", "event_type"), ["event_id"])
 
 
 @query("e4_continuous_status", OQ.DOC_STATUS)
@@ -68,12 +69,13 @@ def e4(v):
 
 
 @query("e5_lifecycle_machine", f"""
-SELECT event_id, analysis_id, status, previous, outcome FROM ({OQ.TRANSITIONS.strip()}) JOIN events USING (event_id)
-WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
+SELECT event_id, analysis_id, status, previous, outcome FROM ({OQ.TRANSITIONS.strip()})""")
 def e5(v):
     rows = stream_of(v, "v_lifecycle").select(
         "event_id", "analysis_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"), "status")
-    return W.collect_to_table(W.lifecycle(rows), "lifecycle")
+    streamed = W.collect_to_table(W.lifecycle(rows), "lifecycle")
+    batch = C.transition_check(v("v_lifecycle"), "analysis_id", ["occurred_at", "event_id"])
+    return W.recover(streamed, batch.select(*streamed.columns), ["event_id"])
 
 
 @query("e6_stage_ledger", OQ.ATTEMPTS)
@@ -99,7 +101,7 @@ def e7(v):
     source = W.event_stream(v.spark, v.sf_dir, v("events").schema, "events.parquet")
     rows = source.select(F.col("ts").cast("timestamp").alias("at"), "event_type")
     counts = W.collect_to_table(W.alert_counts(rows, OQ.alert_counts), "alerts", "update", ["start"])
-    return C.alert_windows(counts, sustained=5).select(
+    return C.alert_windows(counts).select(
         F.unix_seconds("start").alias("start_s"), "created", "failed", "failure_rate_high", "quote_failures_high", "stalled")
 
 

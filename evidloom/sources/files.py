@@ -55,16 +55,14 @@ def read_declared(spark: SparkSession, table: str, path: str) -> DataFrame:
 def write_declared(rows: DataFrame, table: str, path: str) -> None:
     """Cast to the declared columns and write, clustered by the partition column.
 
-    Rows of a workspace are spread over several files by a hash of the row, so a workspace that
-    holds most of the data does not become one task.
+    A rebalance by workspace splits one that holds most of the data by its size, and packs small ones.
     """
     schema, part = declared(table), CATALOGUE[table][1]
     out = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
     if part is None:
         out.write.parquet(path)
     else:
-        spread = F.pmod(F.xxhash64(*[f.name for f in schema if f.dataType.simpleString() == "string"]), F.lit(16))
-        out.repartition(F.col(part), spread).write.partitionBy(part).parquet(path)
+        out.hint("rebalance", part).write.partitionBy(part).parquet(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

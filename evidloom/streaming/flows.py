@@ -77,6 +77,16 @@ def collect_to_table(stream: DataFrame, name: str, mode: str = "append", keys: l
     return latest(rows, keys) if keys else rows.drop("batch_id")
 
 
+def not_emitted(streamed: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the batch form that a flow has not emitted: too late, or not yet passed by the watermark."""
+    return batch.join(streamed.select(*keys), keys, "left_anti")
+
+
+def recover(streamed: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The flow's rows completed by the batch form, so that late and last rows are not lost."""
+    return streamed.unionByName(not_emitted(streamed, batch, keys).dropDuplicates(keys))
+
+
 def split_envelopes(checked: DataFrame, valid_path: str, dead_path: str, checkpoint: str) -> None:
     """Valid envelopes to one table, the others with their problem to a dead-letter table."""
 

@@ -71,13 +71,19 @@ STATE_PERCENT = {
     "completed_with_limits": 100.0, "failed": 100.0, "cancelled": 100.0,
 }
 TERMINAL_STATES = ["completed", "completed_with_limits", "failed", "cancelled"]
-_WORKING = [s for s in STATE_PERCENT if s not in TERMINAL_STATES]
-STATE_EDGES = sorted(
-    set(zip(_WORKING, _WORKING[1:]))
-    | {(s, "cancelled") for s in _WORKING}
-    | {(s, "failed") for s in _WORKING if s != "created"}
-    | {("auditing", "completed"), ("auditing", "completed_with_limits")}
-)
+# The states that each state may move to.
+STATE_MOVES = {
+    "created": ["validating", "cancelled"],
+    "validating": ["parsing", "failed", "cancelled"],
+    "parsing": ["resolving_references", "failed", "cancelled"],
+    "resolving_references": ["acquiring_sources", "failed", "cancelled"],
+    "acquiring_sources": ["retrieving_evidence", "failed", "cancelled"],
+    "retrieving_evidence": ["verifying_relations", "failed", "cancelled"],
+    "verifying_relations": ["generating_explanations", "failed", "cancelled"],
+    "generating_explanations": ["auditing", "failed", "cancelled"],
+    "auditing": ["completed", "completed_with_limits", "failed", "cancelled"],
+}
+STATE_EDGES = sorted((a, b) for a, moves in STATE_MOVES.items() for b in moves)
 
 # Reference resolution.
 RESOLUTION_WEIGHTS = {
@@ -95,7 +101,7 @@ PUBLISH_WEAKEST, PUBLISH_BALANCED, PUBLISH_LIMITED = 0.82, 0.86, 0.55
 
 # Redaction patterns in order: regular expression and replacement.
 REDACTIONS = [
-    (r"Bearer\s+[a-zA-Z0-9\-\._~+/]+=*", "Bearer [REDACTED]"),
+    (r"(?U)Bearer\s+[a-zA-Z0-9\-\._~+/]+=*", "Bearer [REDACTED]"),
     (r"(?i)api[_-]?key[_-]?=?[a-zA-Z0-9\-\._~+/]+", "api_key=[REDACTED]"),
     (r"sk-[a-zA-Z0-9]{20,}", "sk-[REDACTED]"),
     (r"https?://[^/?#]+[^?#]*\?[^#]*X-Goog-Signature=[^&#]+", "[SIGNED_URL_REDACTED]"),

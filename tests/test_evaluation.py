@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidloom import vocab
 from evidloom.functions import sets as S
+from evidloom.functions import text as T
 from evidloom.operators import evaluation as E
 from evidloom.operators import governance as G
 from evidloom.operators import lifecycle as C
@@ -189,8 +190,15 @@ def test_state_edges_and_alerts(spark):
     assert ("created", "failed") not in edges and ("auditing", "completed_with_limits") in edges
     rows = spark.sql("""SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,CAST(id AS INT),0) AS start, 1L AS created,
         0L AS failed, CASE WHEN id = 3 THEN 1L ELSE 0L END AS completed, 0L AS quote_failures FROM range(8)""")
-    got = [r.stalled for r in C.alert_windows(rows, sustained=3).orderBy("start").collect()]
+    got = [r.stalled for r in C.alert_windows(rows, stalled_for=3).orderBy("start").collect()]
     assert got == [False, False, True, False, False, False, True, True]
+    failing = spark.sql("""SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,CAST(id AS INT),0) AS start,
+        CASE WHEN id < 2 THEN 0L ELSE 100L END AS created, CASE WHEN id < 6 THEN 11L ELSE 10L END AS failed,
+        1L AS completed, CASE WHEN id = 4 THEN 3000L ELSE 3001L END AS quote_failures FROM range(10)""")
+    rows = C.alert_windows(failing).orderBy("start").collect()
+    # failures without anything created count; ten of a hundred is not above a tenth
+    assert [r.failure_rate_high for r in rows] == [False] * 4 + [True] * 2 + [False] * 4
+    assert [r.quote_failures_high for r in rows] == [False] * 9 + [True]
 
 
 def test_papers(spark):
@@ -226,3 +234,36 @@ def test_annotation_rules_cover_the_layout(spark):
     got = {(r.path, r.message) for r in E.annotation_errors(rows).collect()}
     assert got == {("case_id", "pattern"), ("split", "enum"), ("claim_start_offset", "minimum"),
                    ("gold_citation_intents_json", "min_items"), ("notes", "required"), ("extra", "additional")}
+
+
+def test_kappa_counts_missing_labels(spark):
+    pairs = spark.createDataFrame([(None, None), ("x", "x"), ("y", "y")], "a_d string, b_d string")
+    assert E.cohens_kappa(pairs, ["d"]).first().kappa == pytest.approx(1.0)
+    mixed = spark.createDataFrame([(None, "x"), ("x", "x"), ("y", "y")], "a_d string, b_d string")
+    assert E.cohens_kappa(mixed, ["d"]).first().kappa == pytest.approx((2 / 3 - 1 / 3) / (1 - 1 / 3))
+
+
+def test_url_denials(spark):
+    cases = {
+        "https://[0:0:0:0:0:0:0:1]/": "PRIVATE_ADDRESS", "https://[::1]/": "PRIVATE_ADDRESS",
+        "https://[::ffff:10.0.0.1]/": "PRIVATE_ADDRESS", "https://[::ffff:7f00:1]/": "PRIVATE_ADDRESS",
+        "https://[2001:db8::1]/": "PRIVATE_ADDRESS", "https://[fe80::1%25eth0]/": "PRIVATE_ADDRESS",
+        "https://[fd12:3456::1]/x": "PRIVATE_ADDRESS", "https://[2606:4700::1111]/": None,
+        "https://[::ffff:8.8.8.8]/": None, "https://h.org:abc/": "PORT_NOT_ALLOWED",
+        "https://h.org:99999999999/": "PORT_NOT_ALLOWED", "https://h.org:8443/": "PORT_NOT_ALLOWED",
+        "https://h.org:443/": None, "https://h.org:/": None, "https://h.org/": None,
+        "http://h.org/": "SCHEME_NOT_ALLOWED", "https://u@h.org/": "CREDENTIALS_NOT_ALLOWED",
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url string")
+    assert {r.url: r.d for r in rows.select("url", T.url_denial(F.col("url")).alias("d")).collect()} == cases
+
+
+def test_redaction_of_all_patterns(spark):
+    texts = {
+        "Bearer\u00a0abc.def==": "Bearer [REDACTED]", "a Bearer  x/y b": "a Bearer [REDACTED] b",
+        "API-KEY=abc1": "api_key=[REDACTED]", "sk-" + "a" * 20: "sk-[REDACTED]", "sk-short": "sk-short",
+        "https://b.example/o?X-Goog-Signature=ff": "[SIGNED_URL_REDACTED]",
+        "https://b.example/o?a=1&X-Amz-Signature=ff": "[SIGNED_URL_REDACTED]", "plain": "plain",
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.r for r in rows.select("t", T.redact(F.col("t")).alias("r")).collect()} == texts
