@@ -69,7 +69,8 @@ class LineRuns:
     def _merged(self, names: list[str]) -> DataFrame:
         """One row per key: counts add up, and the only keeper stays."""
         # read by path: a union of bucketed scans is taken as dealt by key even where it is not
-        rows = self.spark.read.parquet(*[self.paths[name] for name in names])
+        schema = self.spark.table(names[0]).schema
+        rows = self.spark.read.schema(schema).parquet(*[self.paths[name] for name in names])
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
     def frequent(self, min_docs: int) -> DataFrame:
