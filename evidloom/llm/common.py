@@ -46,7 +46,8 @@ def strip_space(text: Column) -> Column:
 
 def word_array(text: Column) -> Column:
     """Maximal runs of anything but ASCII white space; null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = strip_space(F.coalesce(text, F.lit("")))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def crc_mod(doc_id: Column, folds: int = 5) -> Column:

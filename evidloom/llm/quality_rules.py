@@ -1,12 +1,12 @@
 """Quality rules: base counts, and the log-likelihood ratio of hashed n-grams, with fixed thresholds.
 
-Two multinomials over ``2 ** bits`` buckets of hashed word 1-grams and 2-grams are counted: one over trusted
-texts, one over the whole raw corpus.  A document's score is the mean over its n-grams of the log ratio of
+Two multinomials over ``2 ** bits`` buckets of hashed word 1-grams and 2-grams are counted in one pass: one over
+trusted texts, one over the whole raw corpus.  A document's score is the mean over its n-grams of the log ratio of
 their smoothed probabilities; a score under ``min_score`` rejects it, always and alike at every size.
 
 All work is DataFrame work.  N-grams are counted and looked up as they are exploded, so the only rows that
 move are bucket counts and one sum per document; the bucket table has a fixed number of rows and is
-broadcast.  Repeated word windows are found inside the row by sorting window hashes.
+broadcast, and so are the ids of trusted rows, at most ``max_trusted`` of them.  The raw side covers all texts.  Repeated word windows are found inside the row by sorting window hashes.
 
 Defined cases: null or empty text has no words, fails the base rule and has no score; without trusted
 texts no score rejects; rows with equal ``doc_id`` are judged one by one; an empty table gives an empty result.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from evidloom.llm.common import ready, strip_space, word_array
 
 ROW = ["r1", "r2"]
+# Fixed value: the characters that count as symbols.
+SYMBOLS = "#*$%&|<>"
 
 
 def _grams(words: str, bits: int) -> Column:
@@ -37,14 +39,14 @@ def _hashed(docs: DataFrame, *keep: Column | str) -> DataFrame:
     return docs.select(*keep, F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
 
 
-def llr_model(trusted: DataFrame, raw: DataFrame, bits: int = 18, smoothing: float = 0.5) -> DataFrame:
-    """``bucket, ratio``: log of trusted over raw probability, for each bucket that occurs."""
+def llr_model(docs: DataFrame, trusted: DataFrame, bits: int = 18, smoothing: float = 0.5) -> DataFrame:
+    """``bucket, ratio``: log of trusted over raw probability, for each bucket that occurs.
 
-    def counts(texts: DataFrame, name: str) -> DataFrame:
-        return _hashed(texts).select(F.explode(_grams("words", bits)).alias("bucket")).groupBy("bucket").agg(
-            F.count("*").alias(name))
-
-    both = counts(raw, "n_raw").join(counts(trusted, "n_trusted"), "bucket", "full").na.fill(0)
+    ``trusted`` holds the distinct ids of trusted rows of ``docs``; it is broadcast.
+    """
+    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    grams = _hashed(marked, "good").select("good", F.explode(_grams("words", bits)).alias("bucket"))
+    both = grams.groupBy("bucket").agg(F.count("*").alias("n_raw"), F.count("good").alias("n_trusted"))
     sums = both.agg(F.sum("n_raw").alias("all_raw"), F.sum("n_trusted").alias("all_trusted"))
     size = float(1 << bits)
 
@@ -62,8 +64,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     filled = F.filter(F.split(text, "\n", -1), lambda line: strip_space(line) != "")
     names = [c for c in docs.columns if not c.startswith("__")]
+    # plain searches are far cheaper than the pattern, and most texts hold no symbol
+    any_symbol = F.lit(False)
+    for symbol in SYMBOLS:
+        any_symbol = any_symbol | F.contains(text, F.lit(symbol))
+    symbols = F.when(any_symbol, F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).otherwise(0)
     first = docs.select(*names, word_array(text).alias("__w"), filled.alias("__lines"),
-                        (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).alias("__sym"))
+                        symbols.alias("__sym"))
     second = first.select(
         *names, F.size("__w").cast("long").alias("n_words"),
         F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
@@ -96,12 +103,18 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, bits: int = 18, smoothing: float = 0.5,
-                  min_score: float = -0.25, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, base counts, ``base_failed``, ``score`` and ``kept``."""
+                  min_score: float = -0.25, min_words: int = 50, max_repeat: int = 50,
+                  max_trusted: int = 50_000) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, base counts, ``base_failed``, ``score`` and ``kept``.
+
+    ``trusted`` has the ``doc_id`` of trusted rows, of which the first ``max_trusted`` by a hash are taken.
+    """
     ready(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"),
                         F.xxhash64(F.lit(1), "text", "doc_id").alias("r2"))
-    model = llr_model(trusted.select("text"), docs.select("text"), bits, smoothing)
+    target = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    model = llr_model(docs.select("doc_id", "text"), target, bits, smoothing)
     grams = _hashed(keyed, *ROW).select(*ROW, F.explode(_grams("words", bits)).alias("bucket"))
     # at most 2 ** bits rows; equal rows add up on both sides of the mean
     scores = grams.join(F.broadcast(model), "bucket").groupBy(*ROW).agg(F.avg("ratio").alias("score"))

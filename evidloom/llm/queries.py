@@ -111,8 +111,7 @@ def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return quality_rules(docs, docs.join(good, "doc_id", "left_semi"))
+    return quality_rules(docs, table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 @query("op3_token_matrix")

@@ -36,7 +36,7 @@ from evidloom.llm.tokens import WordCache
 OPENING = "\"“„«‹"
 CLOSING = "\"”“»›"
 AROUND = ".,;:!?\"'()[]{}<>%$&*#|-_/\\“”„«»‹›…"
-FEATURES = 9
+FEATURES = 11
 # Lengths of the stems that are tried.
 STEMS = (4, 5)
 # States of the product automaton; it starts anew when full.
@@ -166,7 +166,7 @@ class ToxicityModel:
         return WordCache(match)
 
     def features(self, text: str | None, matcher: WordCache, label: int | None = None) -> list[float]:
-        """Window score; sums over distinct words: direct exact, direct misspelled, quoted; density; counts."""
+        """Window score; sums over distinct words: direct, quoted, misspelled; density; counts."""
         weights = self.weights if label is None else self.own[label]
         words = words_of(text)
         hits = [(i, m) for i, m in enumerate(map(matcher.__getitem__, words)) if m]
@@ -193,9 +193,12 @@ class ToxicityModel:
                 total -= places[low][1]
                 low += 1
             best = max(best, total)
-        return [float(best), sum(direct.values()), sum(near.values()), sum(quoted.values()),
-                10 * len(places) / (len(words) + 20), float(len(direct) >= 1), float(len(direct) >= 2),
-                float(len(direct) >= 3), math.log1p(len(words))]
+        # misspelled matches count as direct ones; the features after them let the fit correct that
+        named = len(direct) + len(near)
+        return [float(best), sum(direct.values()) + sum(near.values()), sum(quoted.values()),
+                10 * len(places) / (len(words) + 20), float(named >= 1), float(named >= 2), float(named >= 3),
+                math.log1p(len(words)), sum(near.values()), float(len(direct) >= 2),
+                float(min(len(near), 3))]
 
     def _in_quotes(self, words: list[str], i: int) -> bool:
         """Whether a quotation opens before and closes after word ``i`` inside the window."""
