@@ -103,7 +103,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, bits: int = 18, smoothing: float = 0.5,
-                  min_score: float = -0.25, min_words: int = 50, max_repeat: int = 50,
+                  min_score: float = -0.4, min_words: int = 50, max_repeat: int = 50,
                   max_trusted: int = 50_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, base counts, ``base_failed``, ``score`` and ``kept``.
 
