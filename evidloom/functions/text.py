@@ -185,6 +185,23 @@ def _private_quad(a: Column, b: Column, c: Column) -> Column:
     )
 
 
+def _private_groups(groups: Column) -> Column:
+    """Whether eight IPv6 group values are not a public address."""
+    g = [groups[i] for i in range(8)]
+    zero = [x == 0 for x in g]
+    head = zero[0] & zero[1] & zero[2] & zero[3] & zero[4]
+    octets = [F.floor(g[6] / 256), g[6] % 256, F.floor(g[7] / 256)]
+    # fixed values: non-public IPv6 blocks, and the IPv4 address inside a mapped one
+    return (
+        (head & zero[5] & zero[6] & g[7].isin(0, 1))
+        | (head & (g[5] == 0xFFFF) & _private_quad(*octets))
+        | ((g[0] >= 0xFC00) & (g[0] <= 0xFDFF)) | ((g[0] >= 0xFE80) & (g[0] <= 0xFEBF)) | (g[0] >= 0xFF00)
+        | ((g[0] == 0x100) & zero[1] & zero[2] & zero[3])
+        | ((g[0] == 0x64) & (g[1] == 0xFF9B) & (g[2] == 1))
+        | ((g[0] == 0x2001) & ((g[1] < 0x200) | (g[1] == 0xDB8))) | (g[0] == 0x2002)
+        | ((g[0] == 0x3FFF) & (g[1] < 0x1000)))
+
+
 def _ipv6_groups(address: Column) -> Column:
     """Eight group values of an IPv6 literal; NULL when it is none.
 
@@ -223,20 +240,10 @@ def url_denial(url: Column, require_https: bool = True) -> Column:
     is_v4 = host.rlike(quad)
     a, b, c = (F.regexp_extract(host, quad, i).try_cast("int") for i in (1, 2, 3))
     v4_private = is_v4 & _private_quad(a, b, c)
-    groups = _ipv6_groups(F.regexp_extract(host, r"^\[([^\]%]*)(?:%[^\]]*)?\]$", 1))
-    g = [F.get(groups, F.lit(i)) for i in range(8)]
-    zero = [x == 0 for x in g]
-    head = zero[0] & zero[1] & zero[2] & zero[3] & zero[4]
-    octets = [F.floor(g[6] / 256), g[6] % 256, F.floor(g[7] / 256)]
-    # fixed values: non-public IPv6 blocks, and the IPv4 address inside a mapped one
+    literal = F.regexp_extract(host, r"^\[([^\]%]*)(?:%[^\]]*)?\]$", 1)
+    # bound once as a lambda variable: the group values are looked at many times
     v6_private = F.coalesce(
-        (head & zero[5] & zero[6] & g[7].isin(0, 1))
-        | (head & (g[5] == 0xFFFF) & _private_quad(*octets))
-        | ((g[0] >= 0xFC00) & (g[0] <= 0xFDFF)) | ((g[0] >= 0xFE80) & (g[0] <= 0xFEBF)) | (g[0] >= 0xFF00)
-        | ((g[0] == 0x100) & zero[1] & zero[2] & zero[3])
-        | ((g[0] == 0x64) & (g[1] == 0xFF9B) & (g[2] == 1))
-        | ((g[0] == 0x2001) & ((g[1] < 0x200) | (g[1] == 0xDB8))) | (g[0] == 0x2002)
-        | ((g[0] == 0x3FFF) & (g[1] < 0x1000)), F.lit(False))
+        F.get(F.transform(F.array(_ipv6_groups(literal)), _private_groups), F.lit(0)), F.lit(False))
     allowed = ["https"] if require_https else ["http", "https"]
     return (
         F.when(~scheme.isin(*allowed), "SCHEME_NOT_ALLOWED")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidloom import vocab
 from evidloom.functions import text as T
 from evidloom.operators.skew import (
-    attach_groups, exact_percentiles, lag_rows, lead_rows, number_rows, top_rows,
+    attach_groups, exact_percentiles, lead_rows, number_rows, top_rows,
 )
 
 STATUS_OF_EVENT = {
@@ -48,28 +48,55 @@ def document_status(events: DataFrame, order: list[str]) -> DataFrame:
     return status_columns(events.groupBy("aggregate_id").agg(*status_aggregates(order)))
 
 
-def edge_table(spark) -> DataFrame:
-    return spark.createDataFrame(vocab.STATE_EDGES, "from_status string, to_status string")
+def _next_state(state: Column, move: Column) -> Column:
+    """The state after a recorded move: refused moves leave it alone, no state takes any."""
+    pairs = [x for a, moves in vocab.STATE_MOVES.items() for x in (F.lit(a), F.array(*[F.lit(m) for m in moves]))]
+    moves = F.create_map(*pairs)
+    allowed = F.coalesce(F.array_contains(F.element_at(moves, state), move), F.lit(False))
+    return F.when(state.isNull() | allowed, move).otherwise(state)
 
 
-def transition_check(history: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Every recorded state against the one before it.
+def transition_check(history: DataFrame, key: str, order: list[str], slice_by: str = "hour") -> DataFrame:
+    """Every recorded state against the state that the accepted moves before it have left.
 
-    outcome: start, same, accepted or invalid (terminal states have no exits).  Also percent and
-    completed_at.  History is cut into days for the lag, so a busy key is not one task.
+    outcome: start, same, accepted or invalid; an invalid move leaves the state (terminal states have no
+    exits).  Also percent and completed_at.  A busy key is cut into time slices: the moves of a slice
+    compose to a map from state to state, a fold over a key's maps gives the state at each slice's
+    start, and slices are then replayed on their own.
     """
-    rows = lag_rows(history, [key], order, F.to_date(order[0]), ["status"], "prev")
-    rows = rows.withColumn("previous", F.col("prev.status")).drop("prev")
-    edges = F.broadcast(edge_table(history.sparkSession).withColumn("allowed", F.lit(True)))
-    rows = rows.join(
-        edges, (F.col("previous") == F.col("from_status")) & (F.col("status") == F.col("to_status")), "left")
+    rows = history.withColumn("__slice", F.date_trunc(slice_by, F.col(order[0]).cast("timestamp")))
+    names = [c for c in history.columns if c not in (key, *order)]
+    slices = rows.groupBy(key, "__slice").agg(F.array_sort(F.collect_list(F.struct(*order, *names))).alias("moves"))
+    starts = [F.lit(None).cast("string"), *[F.lit(x) for x in vocab.STATE_PERCENT]]
+    identity = F.map_from_arrays(F.array(*[F.coalesce(x, F.lit("")) for x in starts]), F.array(*starts))
+    after = F.aggregate("moves", identity, lambda m, e: F.transform_values(m, lambda _, s: _next_state(s, e["status"])))
+    maps = slices.select(key, "__slice", after.alias("map")).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("__slice", F.map_entries("map").alias("entries")))).alias("maps"))
+    no_state = F.lit(None).cast("string")
+    none = F.struct(no_state.alias("state"), F.array().cast("array<struct<s:timestamp,state:string>>").alias("found"))
+
+    def follow(done: Column, part: Column) -> Column:
+        found = F.concat(done["found"], F.array(F.struct(part["__slice"].alias("s"), done["state"].alias("state"))))
+        state = F.element_at(F.map_from_entries(part["entries"]), F.coalesce(done["state"], F.lit("")))
+        return F.struct(state.alias("state"), found.alias("found"))
+
+    begins = maps.select(key, F.explode(F.aggregate("maps", none, follow, lambda done: done["found"])).alias("b")).select(
+        key, F.col("b.s").alias("__slice"), F.col("b.state").alias("__begin"))
+    states = F.aggregate(
+        "moves", F.array(F.col("__begin")),
+        lambda done, e: F.concat(done, F.array(_next_state(F.element_at(done, F.lit(-1)), e["status"]))))
+    replayed = slices.join(begins, [key, "__slice"]).select(
+        key, "moves", F.slice(states, F.lit(1), F.size("moves")).alias("__states"))
+    rows = replayed.select(key, F.explode(F.arrays_zip("moves", "__states")).alias("r")).select(
+        key, "r.moves.*", F.col("r.__states").alias("previous"))
+    state = _next_state(F.col("previous"), F.col("status"))
     outcome = (
         F.when(F.col("previous").isNull(), "start").when(F.col("previous") == F.col("status"), "same")
-        .when(F.col("allowed"), "accepted").otherwise("invalid"))
-    return (
-        rows.withColumn("outcome", outcome).withColumn("percent", T.state_percent(F.col("status")))
-        .withColumn("completed_at", F.when(T.is_terminal(F.col("status")) & outcome.isin("start", "accepted"), F.col(order[0])))
-        .drop("from_status", "to_status", "allowed"))
+        .when(state == F.col("status"), "accepted").otherwise("invalid"))
+    return rows.select(*history.columns, "previous").withColumn("outcome", outcome).withColumn(
+        "percent", T.state_percent(F.col("status"))).withColumn(
+        "completed_at",
+        F.when(T.is_terminal(F.col("status")) & F.col("outcome").isin("start", "accepted"), F.col(order[0])))
 
 
 def replay_after(events: DataFrame, cursors: DataFrame, key: str, sequence: str, terminal: Column,

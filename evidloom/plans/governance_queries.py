@@ -175,13 +175,20 @@ def p12(v):
 SELECT asset_id, url, CASE WHEN NOT starts_with(url, 'https://') THEN 'SCHEME_NOT_ALLOWED' END AS denial FROM v_assets
 UNION ALL SELECT asset_id, concat('https://10.0.0.', CAST(asset_id % 250 AS STRING), '/x'), 'PRIVATE_ADDRESS' FROM v_assets
 UNION ALL SELECT asset_id, concat('https://user@host', CAST(asset_id AS STRING), '.org:8443/x'), 'CREDENTIALS_NOT_ALLOWED' FROM v_assets
-UNION ALL SELECT asset_id, concat('https://host', CAST(asset_id AS STRING), '.org:8443/x'), 'PORT_NOT_ALLOWED' FROM v_assets""")
+UNION ALL SELECT asset_id, concat('https://host', CAST(asset_id AS STRING), '.org:8443/x'), 'PORT_NOT_ALLOWED' FROM v_assets
+UNION ALL SELECT asset_id, concat('https://host', CAST(asset_id AS STRING), '.org:99999999999/x'), 'PORT_NOT_ALLOWED' FROM v_assets
+UNION ALL SELECT asset_id, concat('https://[::ffff:', CAST(asset_id % 224 AS STRING), '.9.8.7]/x'),
+  CASE WHEN asset_id % 224 IN (0, 10, 127) THEN 'PRIVATE_ADDRESS' END FROM v_assets
+UNION ALL SELECT asset_id, concat('https://[26', CAST(10 + asset_id % 90 AS STRING), ':db8::1]/x'), NULL FROM v_assets""")
 def p13(v):
     a, n = v("v_assets"), F.col("asset_id").cast("string")
     made = [
         F.col("url"), F.concat(F.lit("https://10.0.0."), (F.col("asset_id") % 250).cast("string"), F.lit("/x")),
         F.concat(F.lit("https://user@host"), n, F.lit(".org:8443/x")),
-        F.concat(F.lit("https://host"), n, F.lit(".org:8443/x"))]
+        F.concat(F.lit("https://host"), n, F.lit(".org:8443/x")),
+        F.concat(F.lit("https://host"), n, F.lit(".org:99999999999/x")),
+        F.concat(F.lit("https://[::ffff:"), (F.col("asset_id") % 224).cast("string"), F.lit(".9.8.7]/x")),
+        F.concat(F.lit("https://[26"), (F.col("asset_id") % 90 + 10).cast("string"), F.lit(":db8::1]/x"))]
     return a.select("asset_id", F.explode(F.array(*made)).alias("url")).select(
         "asset_id", "url", T.url_denial(F.col("url")).alias("denial"))
 

@@ -191,11 +191,16 @@ def w7(v):
 _EDGES = ", ".join(f"('{a}', '{b}')" for a, b in C.vocab.STATE_EDGES)
 _PCT = " ".join(f"WHEN '{s}' THEN {p}" for s, p in C.vocab.STATE_PERCENT.items())
 TRANSITIONS = f"""
-WITH e(f, t) AS (VALUES {_EDGES}),
-h AS (SELECT *, lag(status) OVER (PARTITION BY analysis_id ORDER BY occurred_at, event_id) AS previous FROM v_lifecycle)
+WITH RECURSIVE e(f, t) AS (VALUES {_EDGES}),
+h AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY occurred_at, event_id) AS rn FROM v_lifecycle),
+r AS (
+  SELECT event_id, analysis_id, status, rn, NULL::VARCHAR AS previous, status AS state FROM h WHERE rn = 1
+  UNION ALL
+  SELECT h.event_id, h.analysis_id, h.status, h.rn, r.state,
+         CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.f = r.state AND e.t = h.status) THEN h.status ELSE r.state END
+  FROM r JOIN h ON h.analysis_id = r.analysis_id AND h.rn = r.rn + 1)
 SELECT event_id, analysis_id, status, previous, CASE WHEN previous IS NULL THEN 'start' WHEN previous = status THEN 'same'
-  WHEN EXISTS (SELECT 1 FROM e WHERE e.f = previous AND e.t = status) THEN 'accepted' ELSE 'invalid' END AS outcome,
-  (CASE status {_PCT} END)::DOUBLE AS percent FROM h"""
+  WHEN state = status THEN 'accepted' ELSE 'invalid' END AS outcome, (CASE status {_PCT} END)::DOUBLE AS percent FROM r"""
 
 
 @query("w8_transition_check", TRANSITIONS)

@@ -163,7 +163,8 @@ class LifecycleProcessor(StatefulProcessor):
             else:
                 outcome = "accepted" if (previous, status) in edges else "invalid"
             out.append(Row(event_id=event_id, analysis_id=key[0], status=status, previous=previous, outcome=outcome))
-            previous = status
+            if outcome != "invalid":
+                previous = status
         if previous is not None:
             self.last.update((previous,))
         if rest:

@@ -267,3 +267,30 @@ def test_redaction_of_all_patterns(spark):
     }
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.r for r in rows.select("t", T.redact(F.col("t")).alias("r")).collect()} == texts
+
+
+def test_refused_moves_leave_the_state(spark):
+    import datetime as dt
+
+    rng = random.Random(11)
+    states, edges = list(vocab.STATE_PERCENT), set(vocab.STATE_EDGES)
+    rows = []
+    for i in range(400):
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 400))
+        rows.append((i, rng.choice([1, 1, 1, 2, 3]), at, rng.choice(states[:4] + states)))
+    want, current = set(), {}
+    for i, key, at, status in sorted(rows, key=lambda r: (r[2], r[0])):
+        state = current.get(key)
+        if state is None:
+            outcome = "start"
+        elif state == status:
+            outcome = "same"
+        else:
+            outcome = "accepted" if (state, status) in edges else "invalid"
+        want.add((i, state, outcome))
+        if outcome in ("start", "accepted"):
+            current[key] = status
+    history = spark.createDataFrame(rows, "event_id long, analysis_id long, occurred_at timestamp, status string")
+    for size in ("hour", "minute"):
+        got = C.transition_check(history, "analysis_id", ["occurred_at", "event_id"], size)
+        assert {(r.event_id, r.previous, r.outcome) for r in got.collect()} == want
