@@ -187,16 +187,21 @@ def outcome_rollup(links: DataFrame) -> DataFrame:
     ).withColumn("analysis_status", F.when(F.col("limited") > 0, "completed_with_limits").otherwise("completed"))
 
 
-def export_cases(rows: DataFrame, columns: list[str], private_quotes: bool = False,
-                 anonymise: str | None = None) -> DataFrame:
-    """The named columns only; quotes of private sources dropped, user ids hashed."""
-    out = rows
-    if not private_quotes:
-        out = out.withColumn(
-            "quote", F.when(F.col("access_level") != "user_private_full_text", F.col("quote")))
-    if anonymise is not None:
-        out = out.withColumn(anonymise, F.sha2(F.col(anonymise).cast("string"), 256))
-    return out.select(*columns)
+def export_cases(rows: DataFrame, include_private_quotes: bool = False, anonymise_users: bool = True) -> DataFrame:
+    """The nine named columns only; quotes of private sources dropped, user ids hashed by default.
+
+    ``citing_claim`` and ``cited_source`` are structs; ``user_id`` in the one, ``access_level`` and ``quote`` in the other
+    are what the policy looks at, where they exist.
+    """
+    out = rows.select(*vocab.EXPORT_COLUMNS)
+    fields = lambda c: out.schema[c].dataType.fieldNames()
+    if anonymise_users and "user_id" in fields("citing_claim"):
+        hashed = F.sha2(F.col("citing_claim.user_id").cast("string"), 256)
+        out = out.withColumn("citing_claim", F.col("citing_claim").withField("user_id", hashed))
+    if not include_private_quotes and {"access_level", "quote"} <= set(fields("cited_source")):
+        public = F.when(F.col("cited_source.access_level") != "user_private_full_text", F.col("cited_source.quote"))
+        out = out.withColumn("cited_source", F.col("cited_source").withField("quote", public))
+    return out
 
 
 def invalid_label_rows(rows: DataFrame, labels: str = "labels") -> DataFrame:

@@ -214,9 +214,15 @@ def status_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy(label.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cost_rollup(executions: DataFrame, verified_links: Column) -> DataFrame:
-    """Tokens, latency, cost and retries with subtotals by provider, purpose and workspace."""
-    return executions.rollup("provider", "purpose", "workspace_id").agg(
+COST_DIMENSIONS = ("provider", "model", "stage", "purpose", "workspace_id")
+
+
+def cost_rollup(executions: DataFrame, verified_links: Column, by: tuple[str, ...] = COST_DIMENSIONS) -> DataFrame:
+    """Tokens, latency, cost and retries with subtotals of the dimensions in order.
+
+    ``by`` may also name ``analysis_run_id``, which gives a row per analysis.
+    """
+    return executions.rollup(*by).agg(
         F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"), F.sum("cost_usd").alias("cost_usd"),
         F.avg("latency_ms").alias("mean_latency_ms"), F.sum("retry_count").alias("retries"),

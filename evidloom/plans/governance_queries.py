@@ -19,14 +19,14 @@ WITH conf AS (SELECT *, least({_ST}) AS weakest_link,
   CASE WHEN least({', '.join(_CL)}) = 0 THEN 0::DOUBLE ELSE exp((ln(nullif({_CL[0]}, 0)) + {' + '.join(f'ln(nullif({c}, 0))' for c in _CL[1:])}) / 6) END AS balanced_score
   FROM v_links)
 """
-_STATUS = """CASE WHEN round(weakest_link, 9) >= 0.82 AND balanced_score >= 0.86 THEN 'verified' WHEN round(weakest_link, 9) >= 0.55 THEN 'limited' ELSE 'blocked' END"""
+_STATUS = """CASE WHEN weakest_link >= 0.82 AND balanced_score >= 0.86 THEN 'verified' WHEN weakest_link >= 0.55 THEN 'limited' ELSE 'blocked' END"""
 STATUS = CONFIDENCE + f", pub AS (SELECT *, {_STATUS} AS status FROM conf)\n"
 
 
 def _published(v):
     rows = G.confidence(v("v_links"))
     # thresholds are met by values such as 1 - 0.18, so the last bits are rounded away first
-    return rows.withColumn("status", G.publish_status(F.round("weakest_link", 9), F.col("balanced_score")))
+    return rows.withColumn("status", G.publish_status(F.col("weakest_link"), F.col("balanced_score")))
 
 
 @query("p1_link_page", STATUS + """
@@ -219,10 +219,26 @@ def p16(v):
 
 
 @query("p17_evaluation_export", """
-SELECT asset_id, access_level, CASE WHEN access_level <> 'user_private_full_text' THEN url END AS quote, sha256(workspace_id) AS workspace_id FROM v_assets""")
+SELECT link_id AS case_id, concat('claim of ', analysis_run_id) AS claim_text, sha256(workspace_id) AS claim_user, access_level AS source_access,
+  CASE WHEN access_level <> 'user_private_full_text' THEN concat('quote ', link_id) END AS source_quote, 1 AS intents, evidence_relation, 0 AS n_transformations,
+  parse AS parse_confidence, CASE WHEN blocking_code IS NULL THEN 'passed' ELSE 'blocked' END AS audit_status,
+  CASE WHEN abstention_code IS NULL THEN [] ELSE [abstention_code] END AS limitations FROM v_links""")
 def p17(v):
-    rows = v("v_assets").withColumn("quote", F.col("url"))
-    return G.export_cases(rows, ["asset_id", "access_level", "quote", "workspace_id"], anonymise="workspace_id")
+    rows = v("v_links").select(
+        F.col("link_id").alias("case_id"),
+        F.struct(F.concat(F.lit("claim of "), F.col("analysis_run_id").cast("string")).alias("text"),
+                 F.col("workspace_id").alias("user_id")).alias("citing_claim"),
+        F.struct("access_level", F.concat(F.lit("quote "), F.col("link_id")).alias("quote")).alias("cited_source"),
+        F.array(F.lit("background")).alias("citation_intents"), "evidence_relation",
+        F.array().cast("array<string>").alias("transformations"), F.struct("parse").alias("confidence_vector"),
+        F.when(F.col("blocking_code").isNull(), "passed").otherwise("blocked").alias("audit_status"),
+        F.array_compact(F.array("abstention_code")).alias("limitations"), "workspace_id")
+    out = G.export_cases(rows)
+    return out.select(
+        "case_id", F.col("citing_claim.text").alias("claim_text"), F.col("citing_claim.user_id").alias("claim_user"),
+        F.col("cited_source.access_level").alias("source_access"), F.col("cited_source.quote").alias("source_quote"),
+        F.size("citation_intents").alias("intents"), "evidence_relation", F.size("transformations").alias("n_transformations"),
+        F.col("confidence_vector.parse").alias("parse_confidence"), "audit_status", "limitations")
 
 
 @query("p19_metric_labels", """
@@ -477,9 +493,9 @@ def a27(v):
 @query("o5_review_priority", CONFIDENCE + """
 SELECT link_id, CASE WHEN blocking_code IS NOT NULL OR (evidence_relation IN ('direct_support', 'partial_support', 'contradicts') AND access_level IN ('metadata_only', 'not_accessible')) THEN 'critical'
   WHEN evidence_relation IN ('contradicts', 'overgeneralized', 'scope_mismatch') THEN 'high'
-  WHEN evidence_relation IN ('indirect_support', 'insufficient_evidence') OR round(weakest_link, 9) < 0.55 THEN 'medium' ELSE 'low' END AS review_priority FROM conf""")
+  WHEN evidence_relation IN ('indirect_support', 'insufficient_evidence') OR weakest_link < 0.55 THEN 'medium' ELSE 'low' END AS review_priority FROM conf""")
 def o5(v):
-    rows = G.confidence(v("v_links")).withColumn("weakest_link", F.round("weakest_link", 9))
+    rows = G.confidence(v("v_links"))
     return G.review_priority(rows).select("link_id", "review_priority")
 
 

@@ -326,18 +326,31 @@ def a17c(v):
     return C.status_counts(v("v_samples"))
 
 
-@query("a26_cost_rollup", """
-SELECT provider, purpose, workspace_id, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+def _cost(by):
+    return f"""
+SELECT {by}, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
   round(sum(cost_usd), 4) AS cost_usd, round(avg(latency_ms), 6) AS mean_latency_ms, sum(retry_count)::BIGINT AS retries,
   round(sum(cost_usd) / (SELECT count(*) FROM v_links WHERE evidence_relation = 'direct_support'), 6) AS cost_per_verified_link
-FROM v_executions GROUP BY ROLLUP (provider, purpose, workspace_id)""")
-def a26(v):
+FROM v_executions GROUP BY ROLLUP ({by})"""
+
+
+def _cost_rows(v, by):
     verified = v("v_links").where("evidence_relation = 'direct_support'").agg(F.count(F.lit(1)))
-    return C.cost_rollup(v("v_executions"), F.lit(verified.scalar())).select(
-        "provider", "purpose", "workspace_id", "calls", "input_tokens", "output_tokens",
+    return C.cost_rollup(v("v_executions"), F.lit(verified.scalar()), by).select(
+        *by, "calls", "input_tokens", "output_tokens",
         F.round("cost_usd", 4).alias("cost_usd"), *r6("mean_latency_ms"), "retries", *r6("cost_per_verified_link"))
 
 
+@query("a26_cost_rollup", _cost("provider, model, stage, purpose, workspace_id"))
+def a26(v):
+    return _cost_rows(v, C.COST_DIMENSIONS)
+
+
+@query("a26_cost_by_analysis", _cost("analysis_run_id, stage"))
+def a26_analysis(v):
+    return _cost_rows(v, ("analysis_run_id", "stage"))
+
+
 def _steps(v):
     return v("events").select("user_id", F.col("event_type").alias("step"), F.col("ts").alias("at"))
 

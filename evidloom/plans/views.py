@@ -288,7 +288,9 @@ SELECT concat('ws', CAST(l_suppkey % 5 AS STRING)) AS workspace_id, l_orderkey A
        split_part('private,approved_primary,approved_secondary', ',', CAST(l_suppkey % 3 + 1 AS INT)) AS provider,
        CAST(l_quantity * 100 AS INT) AS input_tokens, CAST(l_quantity * 10 AS INT) AS output_tokens,
        CAST(l_extendedprice / 1000000 AS DOUBLE) AS cost_usd, CAST(l_partkey % 900 AS INT) AS latency_ms,
-       CAST(l_linenumber % 2 AS INT) AS retry_count, l_shipdate AS created_at
+       CAST(l_linenumber % 2 AS INT) AS retry_count, l_shipdate AS created_at,
+       concat('model-', CAST(l_suppkey % 3 AS STRING), '-', CAST(l_partkey % 2 AS STRING)) AS model,
+       split_part('verifying_relations,generating_explanations,auditing', ',', CAST(l_linenumber % 3 + 1 AS INT)) AS stage
 FROM lineitem
 """,
     "v_parse_counters": """

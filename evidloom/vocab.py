@@ -217,3 +217,9 @@ EVENT_PAYLOADS = {
         "status", "evidence_link_count", "limitation_count", "limits"],
     "analysis.progress.updated": ["analysis_id", "sequence", "percent"],
 }
+
+# The columns of an exported evaluation case.
+EXPORT_COLUMNS = [
+    "case_id", "citing_claim", "cited_source", "citation_intents", "evidence_relation", "transformations",
+    "confidence_vector", "audit_status", "limitations",
+]
