@@ -400,15 +400,18 @@ def calibration_summary(rows: DataFrame, bins: int = 10) -> DataFrame:
         "ece", error.scalar())
 
 
-def selective_curve(rows: DataFrame, cells: int = 1000) -> DataFrame:
+def selective_curve(rows: DataFrame, cells: int = 256) -> DataFrame:
     """Coverage, precision and risk at every confidence threshold, ties kept together.
 
-    Rows are counted per confidence first; running sums go over cells of the confidence range and
-    inside each cell, so no task sees more than one cell (or the ``cells`` totals).
+    Rows are counted per confidence first; running sums go over cells of about as many confidences
+    each, and inside each cell, so no task sees more than one cell (or the ``cells`` totals).
     """
     points = rows.groupBy("confidence").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("bigint")).alias("hits")
-    ).withColumn("cell", F.floor(F.col("confidence") * cells))
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("bigint")).alias("hits"))
+    cuts = points.agg(F.percentile_approx(
+        "confidence", F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(10 * cells)).alias("cuts"))
+    points = points.withColumn("cuts", cuts.scalar()).withColumn(
+        "cell", F.size(F.filter("cuts", lambda c: c <= F.col("confidence")))).drop("cuts")
     inside = Window.partitionBy("cell").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
     points = points.withColumn("n_in", F.sum("n").over(inside)).withColumn("h_in", F.sum("hits").over(inside))
     totals = points.groupBy("cell").agg(F.sum("n").alias("cn"), F.sum("hits").alias("ch"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_RANGE = 1_000_000
+
 
 def attach_groups(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Each row with aggregates of its key group, as aggregate plus null-safe equi-join.
@@ -109,14 +111,17 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], slice_by: Colu
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float], splits: int = 64) -> DataFrame:
+                      probs: dict[str, float], splits: int | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles (inclusive method) per key, without one task or one
     hash map ever holding a whole group.
 
     Equal values are counted first.  A bounded sketch then gives ``splits`` cut points per key,
     the counted values are ranked inside each cut range, and range totals supply the offset, so
-    only ranks are exact-critical and the sketch quality does not affect the result.
+    only ranks are exact-critical and the sketch quality does not affect the result.  ``splits`` follows
+    the number of rows unless it is given, so that a range stays a task's worth of values.
     """
+    if splits is None:
+        splits = max(64, -(-df.count() // ROWS_PER_RANGE))
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__v"))
@@ -125,7 +130,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     cuts = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     sketch_keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     sketch = counted.groupBy(*sketch_keys).agg(
-        F.percentile_approx("__v", cuts, F.lit(1000)).alias("__cuts"),
+        F.percentile_approx("__v", cuts, F.lit(max(1000, 10 * splits))).alias("__cuts"),
         F.sum("__n").alias("__total"),
     )
     cond = F.lit(True)
