@@ -229,7 +229,7 @@ def _close_pairs(rows: DataFrame, bands: int, width: int, length: int, percent:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: int = 50, rows: int = 5,
-                    length: int = 512, pivots: int = 8) -> DataFrame:
+                    length: int = 1024, pivots: int = 8) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
     ready(spark)
