@@ -195,19 +195,22 @@ def alert_counts(stream: DataFrame, counts: Callable[[DataFrame], DataFrame], la
 def feed(stream: DataFrame, terminal: list[str], path: str, checkpoint: str) -> None:
     """Events per analysis up to and with its first terminal one.
 
-    ``stream`` carries analysis_id, sequence, status.  Analyses that ended in an earlier batch are
-    found in the table written so far; inside a batch the first terminal sequence cuts the rest.
+    ``stream`` carries analysis_id, sequence, status.  Each batch notes the terminal sequences that it has
+    seen in a narrow table beside the feed, and later batches read only that table: an event comes
+    out when it lies at or before the first terminal one known by then, whenever it arrives.
     """
-    schema = stream.schema
+    ended_path = f"{path}-ended"
+    noted = stream.select("analysis_id", F.col("sequence").alias("stop")).schema
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            earlier = read_batches(rows.sparkSession, path, schema, before=batch_id)
-            ended = earlier.where(F.col("status").isin(*terminal)).select("analysis_id").distinct()
-            rows = rows.join(ended, "analysis_id", "left_anti")
-        stop = rows.where(F.col("status").isin(*terminal)).groupBy("analysis_id").agg(F.min("sequence").alias("stop"))
+        rows.persist()
+        now = rows.where(F.col("status").isin(*terminal)).groupBy("analysis_id").agg(F.min("sequence").alias("stop"))
+        now.write.mode("overwrite").parquet(batch_folder(ended_path, batch_id))
+        known = read_batches(rows.sparkSession, ended_path, noted, before=batch_id + 1)
+        stop = known.groupBy("analysis_id").agg(F.min("stop").alias("stop"))
         out = rows.join(stop, "analysis_id", "left").where("stop IS NULL OR sequence <= stop").drop("stop")
         out.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        rows.unpersist()
 
     run(stream, write, checkpoint)
 

@@ -146,3 +146,16 @@ def test_quote_outcomes(spark):
         "t string, q string, s int, e int")
     got = [r[0] for r in rows.select(R.quote_outcome(F.col("t"), F.col("q"), F.col("s"), F.col("e"))).collect()]
     assert got == [None, "invalid_offset_range", "invalid_offset_range", "offset_out_of_bounds", "quote_does_not_match_asset"]
+
+
+def test_no_text_crosses_an_exchange(spark):
+    import re
+
+    chunks, queries = frames(spark, ["bm25 retrieval", "vector search"])
+    pairs = R.score_pairs(chunks, queries)
+    for df in (R.top_k(R.hybrid_scores(pairs, queries), "score"), R.term_statistics(chunks),
+               R.hashed_embedding(chunks, "chunk_id")):
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
+            df._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]\n", plan)
+        assert moved and not any(re.search(r"\btext#", columns) for columns in moved), moved
