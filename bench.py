@@ -24,6 +24,8 @@ HEADLINE = [
     "a13_alpha_nominal", "a14_alpha_interval", "a16_confidence_rollup", "a17_latency_percentiles",
     "a26_cost_rollup", "j6_adjudication_merge", "j13_smallest_container", "k4_link_publication_job",
     "k6_release_evaluation_job", "w8_transition_check", "e4_continuous_status",
+    "r8_vector_plus_lexical", "r10_candidate_fusion", "d6_supersession_check", "d9_split_leakage",
+    "e5_lifecycle_machine", "e8_analysis_feed", "e9_feedback_intake",
 ]
 
 

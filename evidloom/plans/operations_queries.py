@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evidloom.functions import text as T
 from evidloom.operators import governance as G
 from evidloom.operators import lifecycle as C
-from evidloom.operators import retrieval as R
 from evidloom.plans.governance_queries import GRADE, RETENTION, retention
 from evidloom.plans.registry import query
 from evidloom.session import new_table_path, through_table

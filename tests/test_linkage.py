@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import difflib
-import itertools
 import json
 import random
 
