@@ -40,7 +40,7 @@ FEATURES = 11
 # Lengths of the stems that are tried.
 STEMS = (4, 5)
 # States of the product automaton; it starts anew when full.
-STATES = 60_000
+STATES = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,12 +55,14 @@ def _variants(word: str) -> list[str]:
 class TrieAutomaton:
     """All lexicon terms within ``edits`` insertions, deletions or substitutions of a word."""
 
-    def __init__(self, terms: list[str], edits: int) -> None:
+    def __init__(self, terms: list[str], edits: int, shortest: int = 0) -> None:
         self.edits = edits
         self.children: list[dict[str, int]] = [{}]
         self.term: dict[int, int] = {}
         self.stem: dict[int, int] = {}
         for number, term in enumerate(terms):
+            if len(term) < shortest and not term.endswith("*"):
+                continue
             node = 0
             for c in term.removesuffix("*"):
                 if c not in self.children[node]:
@@ -135,7 +137,7 @@ class ToxicityModel:
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     own: tuple[list[float], list[float]] = ((), ())  # weights without a document of label 0, 1
-    bounds: tuple[tuple[int, int], ...] = ((0, 0), (5, 1), (9, 2))  # edits from a word length on
+    bounds: tuple[tuple[int, int], ...] = ((0, 0), (5, 1), (10, 2))  # edits from a word length on
     window: int = 10
     fade: float = 0.5  # weight of a match for each edit
     mean: np.ndarray | None = None
@@ -151,7 +153,8 @@ class ToxicityModel:
         return _MATCHERS[self.key]
 
     def _new_matcher(self) -> WordCache:
-        automata = {k: TrieAutomaton(self.terms, k) for _, k in self.bounds}
+        # a word of a length reaches only terms at most its edits shorter
+        automata = {k: TrieAutomaton(self.terms, k, max(0, length - k)) for length, k in self.bounds}
 
         def match(word: str) -> tuple[int, float] | None:
             core = word.strip(AROUND)
