@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import ready, strip_space, word_array
+from evidloom.llm.common import ready, strip_space, word_array, write_table
 
 ROW = ["r1", "r2"]
 # Fixed value: the characters that count as symbols.
@@ -47,6 +47,8 @@ def llr_model(docs: DataFrame, trusted: DataFrame, bits: int = 18, smoothing: fl
     marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
     grams = _hashed(marked, "good").select("good", F.explode(_grams("words", bits)).alias("bucket"))
     both = grams.groupBy("bucket").agg(F.count("*").alias("n_raw"), F.count("good").alias("n_trusted"))
+    # written once: the sums and the ratios both read it
+    both, _ = write_table(both, "gram_counts")
     sums = both.agg(F.sum("n_raw").alias("all_raw"), F.sum("n_trusted").alias("all_trusted"))
     size = float(1 << bits)
 
