@@ -9,7 +9,7 @@ Equal sets are collapsed first.  Candidates share a band of ``rows`` coordinates
 join two components are verified: first each document against one pivot of its buckets, twice more
 against up to ``pivots`` others.  At last all pairs of a bucket that are still in different components are
 compared by the low bytes of ``length`` coordinates, in blocks of rows inside tasks, and only those that may
-reach the threshold come out, once each, for verification.  Every candidate pair is thus either
+reach the threshold come out, once each after a distinct, for verification.  Every candidate pair is thus either
 verified, inside one component, or ruled out by size or by an estimate more than 4.5 standard
 deviations below the threshold.  A pair at the threshold shares no band with a chance of
 (1 - t^rows)^bands, 1.3e-6 with the defaults.
@@ -170,18 +170,18 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     return labels.union(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), path
 
 
-def _close_pairs(rows: DataFrame, bands: int, width: int, length: int, percent: int) -> DataFrame:
+def _close_pairs(rows: DataFrame, length: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` of different components that may reach the threshold.
 
     ``rows``: ``key, i, j, id, c, n, low_bytes``, dealt and sorted by (key, i, j): blocks ``i`` and ``j`` of one bucket.
-    A pair comes out of the first band that it shares only.
+    A pair comes out of every bucket that it shares: low bytes that agree do not tell which band a pair shares
+    first, so repeated pairs are dropped by the caller.
     """
     t = percent / 100
     least = int(np.ceil(length * (t - 4.5 * (t * (1 - t) / length) ** 0.5)))
 
-    def compare(key: int, i: int, j: int, part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(i: int, j: int, part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         ids, c, n, low, block = (part[x] for x in ("id", "c", "n", "low", "block"))
-        band = key & ((1 << BAND_BITS) - 1)
         largest = np.bincount(np.unique(c, return_inverse=True)[1])
         main = np.unique(c)[largest.argmax()]
         left, right = [], []
@@ -192,13 +192,7 @@ def _close_pairs(rows: DataFrame, bands: int, width: int, length: int, percent:
             at = np.flatnonzero(other)
             if not len(at):
                 continue
-            equal = low[at] == low[x]
-            near = equal.sum(axis=1) >= least
-            if not near.any():
-                continue
-            at, equal = at[near], equal[near]
-            shared = equal[:, :bands * width].reshape(len(at), bands, width).all(axis=2)
-            at = at[shared.argmax(axis=1) == band]
+            at = at[(low[at] == low[x]).sum(axis=1) >= least]
             left.append(np.minimum(ids[at], ids[x]))
             right.append(np.maximum(ids[at], ids[x]))
         none = np.zeros(0, dtype=np.int64)
@@ -219,7 +213,7 @@ def _close_pairs(rows: DataFrame, bands: int, width: int, length: int, percent:
             yield from finish(held, [0, len(held["key"])])
 
     def finish(part: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
-        found = [compare(int(part["key"][lo]), int(part["i"][lo]), int(part["j"][lo]), {x: v[lo:hi] for x, v in part.items()})
+        found = [compare(int(part["i"][lo]), int(part["j"][lo]), {x: v[lo:hi] for x, v in part.items()})
                  for lo, hi in zip(edges, edges[1:], strict=False) if hi - lo > 1]
         if found:
             yield pa.RecordBatch.from_arrays(
@@ -288,7 +282,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
                 "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "c", "n",
                 "low_bytes")
             met = met.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-            pairs = _close_pairs(met, bands, rows, length, percent).distinct()
+            pairs = _close_pairs(met, length, percent).distinct()
         found = verified(pairs)
         if not found.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))

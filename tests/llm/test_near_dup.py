@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from evidloom.llm.near_dup import Circulant, connected_components, near_duplicates, shingle_sets
+from evidloom.llm.near_dup import Circulant, _close_pairs, connected_components, near_duplicates, shingle_sets
 
 
 def shingles(text):
@@ -79,3 +79,24 @@ def test_signatures_estimate_similarity():
     assert len(set(hasher.keys(x).tolist())) == 50
     whole = next(iter(shingle_sets([" ".join(map(str, range(3000)))], 5)))
     assert len(whole) == 2996 and (hasher.signature(whole) == hasher.signature(whole[::-1])).all()
+
+
+def test_last_step_loses_no_pair_with_a_common_band(spark):
+    rng, hasher = np.random.default_rng(8), Circulant(50, 5, 1024)
+    rows, want = [], set()
+    for i in range(1500):
+        # similarity 92 / 121: several common bands, many near misses in the bands before them
+        pool = rng.integers(1 << 62, size=121).astype(np.uint64)
+        signed = [hasher.signature(np.sort(pool[at])) for at in (slice(0, 107), slice(15, 121))]
+        keys = [hasher.keys(s) for s in signed]
+        common = np.intersect1d(*keys).view(np.int64)
+        for k, s in enumerate(signed):
+            low = (s & 255).astype(np.uint8).tobytes()
+            rows += [(int(key), 0, 0, 0, 2 * i + k, 2 * i + k, 107 - k, low) for key in common]
+        t = 75 / 100
+        if len(common) and (signed[0] == signed[1]).sum() >= 1024 * (t - 4.5 * (t * (1 - t) / 1024) ** 0.5):
+            want.add((2 * i, 2 * i + 1))
+    met = spark.createDataFrame(rows, "key long, i int, j int, block int, id long, c long, n long, low_bytes binary")
+    met = met.repartition(3, "key").sortWithinPartitions("key", "i", "j")
+    assert {(r.a, r.b) for r in _close_pairs(met, length=1024, percent=75).collect()} == want
+    assert len(want) > 1000
