@@ -5,8 +5,9 @@ trusted texts, one over the whole raw corpus.  A document's score is the mean ov
 their smoothed probabilities; a score under ``min_score`` rejects it, always and alike at every size.
 
 All work is DataFrame work.  N-grams are counted and looked up as they are exploded, so the only rows that
-move are bucket counts and one sum per document; the bucket table has a fixed number of rows and is
-broadcast, and so are the ids of trusted rows, at most ``max_trusted`` of them.  The raw side covers all texts.  Repeated word windows are found inside the row by sorting window hashes.
+move are bucket counts, one sum per document, and each text once to meet the ids of trusted rows in a merge join;
+the bucket table has a fixed number of rows and is broadcast.  Both sides count all their texts.  Repeated word
+windows are found inside the row by sorting window hashes.
 
 Defined cases: null or empty text has no words, fails the base rule and has no score; without trusted
 texts no score rejects; rows with equal ``doc_id`` are judged one by one; an empty table gives an empty result.
@@ -42,9 +43,10 @@ def _hashed(docs: DataFrame, *keep: Column | str) -> DataFrame:
 def llr_model(docs: DataFrame, trusted: DataFrame, bits: int = 18, smoothing: float = 0.5) -> DataFrame:
     """``bucket, ratio``: log of trusted over raw probability, for each bucket that occurs.
 
-    ``trusted`` holds the distinct ids of trusted rows of ``docs``; it is broadcast.
+    ``trusted`` holds the distinct ids of trusted rows of ``docs``, as many as there are.
     """
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    # never a broadcast: the ids grow with the corpus
+    marked = docs.join(trusted.select("doc_id", F.lit(1).alias("good")).hint("merge"), "doc_id", "left")
     grams = _hashed(marked, "good").select("good", F.explode(_grams("words", bits)).alias("bucket"))
     both = grams.groupBy("bucket").agg(F.count("*").alias("n_raw"), F.count("good").alias("n_trusted"))
     # written once: the sums and the ratios both read it
@@ -105,17 +107,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, bits: int = 18, smoothing: float = 0.5,
-                  min_score: float = -0.4, min_words: int = 50, max_repeat: int = 50,
-                  max_trusted: int = 50_000) -> DataFrame:
+                  min_score: float = -0.4, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, base counts, ``base_failed``, ``score`` and ``kept``.
 
-    ``trusted`` has the ``doc_id`` of trusted rows, of which the first ``max_trusted`` by a hash are taken.
+    ``trusted`` has the ``doc_id`` of trusted rows; all of them are counted.
     """
     ready(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"),
                         F.xxhash64(F.lit(1), "text", "doc_id").alias("r2"))
-    target = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    target = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     model = llr_model(docs.select("doc_id", "text"), target, bits, smoothing)
     grams = _hashed(keyed, *ROW).select(*ROW, F.explode(_grams("words", bits)).alias("bucket"))
     # at most 2 ** bits rows; equal rows add up on both sides of the mean

@@ -61,6 +61,24 @@ def test_ratio_is_the_smoothed_log_ratio(spark):
     assert math.isclose(model[a], math.log(1.5 / (3 + size)) - math.log(2.5 / (6 + size)), rel_tol=1e-12)
 
 
+def test_every_trusted_text_is_counted(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "a"), (0, "a")], "doc_id long, text string"))
+    labels = docs.select("doc_id").union(docs.select("doc_id").limit(10))
+    seen = {}
+
+    def keep(df, name):
+        seen[name] = df.collect()
+        return df, ""
+
+    write, Q.write_table = Q.write_table, keep
+    try:
+        Q.quality_rules(docs, labels, bits=8)
+    finally:
+        Q.write_table = write
+    assert [(r.n_raw, r.n_trusted) for r in seen["gram_counts"]] == [(60_002, 60_001)]
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
