@@ -2,8 +2,8 @@
 
 The lexicon holds terms that stand in toxic training documents far more often than in others, with their
 log odds.  A term with a final ``*`` is a stem and matches any word that begins with it.  A word is matched by running it through the product of the lexicon's trie and the Levenshtein
-automaton of its length's edit bound; the product is made deterministic lazily, so most words end after a
-few table steps.  Each match is looked at in a window of words: between an opening and a closing quotation
+automaton of the term's edit bound (one edit from five letters on, two from nine, by the longer of term and word);
+the product is made deterministic lazily for each length of word, so most words end after a few table steps.  Each match is looked at in a window of words: between an opening and a closing quotation
 mark it counts as quoted, else as direct, and the weights of a window's direct matches add up to its
 score.  A logistic model joins the window score, the direct and the quoted sums.
 
@@ -39,7 +39,7 @@ AROUND = ".,;:!?\"'()[]{}<>%$&*#|-_/\\“”„«»‹›…"
 FEATURES = 11
 # Lengths of the stems that are tried.
 STEMS = (4, 5)
-# States of the product automaton; it starts anew when full.
+# States of a product automaton; it starts anew when full, and all do at three times as many together.
 STATES = 150_000
 
 
@@ -53,22 +53,32 @@ def _variants(word: str) -> list[str]:
 
 
 class TrieAutomaton:
-    """All lexicon terms within ``edits`` insertions, deletions or substitutions of a word."""
+    """All lexicon terms within ``edits`` insertions, deletions or substitutions of a word.
 
-    def __init__(self, terms: list[str], edits: int, shortest: int = 0) -> None:
+    ``limits`` are bounds of the single terms, under 0 for a term that is left out; a node is only reached by as many
+    edits as some term below it allows.
+    """
+
+    def __init__(self, terms: list[str], edits: int, limits: list[int] | None = None) -> None:
         self.edits = edits
+        self.limits = limits or [0 if term.endswith("*") else edits for term in terms]
         self.children: list[dict[str, int]] = [{}]
+        self.most = [0]
         self.term: dict[int, int] = {}
         self.stem: dict[int, int] = {}
         for number, term in enumerate(terms):
-            if len(term) < shortest and not term.endswith("*"):
+            limit = self.limits[number]
+            if limit < 0:
                 continue
             node = 0
+            self.most[0] = max(self.most[0], limit)
             for c in term.removesuffix("*"):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
+                    self.most.append(0)
                 node = self.children[node][c]
+                self.most[node] = max(self.most[node], limit)
             (self.stem if term.endswith("*") else self.term)[node] = number
         self._reset()
 
@@ -82,21 +92,22 @@ class TrieAutomaton:
 
     def _intern(self, reached: dict[int, int]) -> int:
         """Number of the state set ``node -> edits used``, closed under skipped term letters."""
-        queue = [n for n, e in reached.items() if e < self.edits]
+        queue = [n for n, e in reached.items() if e < self.most[n]]
         while queue:
             node = queue.pop()
             e = reached[node] + 1
             for child in self.children[node].values():
-                if reached.get(child, e + 1) > e:
+                if e <= self.most[child] and reached.get(child, e + 1) > e:
                     reached[child] = e
-                    if e < self.edits:
+                    if e < self.most[child]:
                         queue.append(child)
         key = tuple(sorted(reached.items()))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            self.ends.append(tuple((self.term[n], e) for n, e in key if n in self.term))
+            self.ends.append(tuple((self.term[n], e) for n, e in key
+                                   if n in self.term and e <= self.limits[self.term[n]]))
             self.begun.append(tuple((self.stem[n], e) for n, e in key if n in self.stem and e == 0))
         return self.ids[key]
 
@@ -104,7 +115,7 @@ class TrieAutomaton:
         reached: dict[int, int] = {}
 
         def reach(node: int, e: int) -> None:
-            if e <= self.edits and reached.get(node, e + 1) > e:
+            if e <= self.most[node] and reached.get(node, e + 1) > e:
                 reached[node] = e
 
         for node, e in self.sets[state]:
@@ -137,7 +148,7 @@ class ToxicityModel:
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     own: tuple[list[float], list[float]] = ((), ())  # weights without a document of label 0, 1
-    bounds: tuple[tuple[int, int], ...] = ((0, 0), (5, 1), (10, 2))  # edits from a word length on
+    bounds: tuple[tuple[int, int], ...] = ((0, 0), (5, 1), (9, 2))  # edits from a length on, of term or word
     window: int = 10
     fade: float = 0.5  # weight of a match for each edit
     mean: np.ndarray | None = None
@@ -153,13 +164,30 @@ class ToxicityModel:
         return _MATCHERS[self.key]
 
     def _new_matcher(self) -> WordCache:
-        # a word of a length reaches only terms at most its edits shorter
-        automata = {k: TrieAutomaton(self.terms, k, max(0, length - k)) for length, k in self.bounds}
+        most = self.bounds[-1][1]
+        longest = max(map(len, self.terms), default=0) + most + 1
+        automata: dict[int, TrieAutomaton] = {}
+
+        def limit(term: str, letters: int) -> int:
+            if term.endswith("*"):
+                return 0
+            edits = max(k for length, k in self.bounds if max(len(term), letters) >= length)
+            # more letters apart than edits: never reached
+            return edits if abs(len(term) - letters) <= edits else -1
+
+        def matches(core: str) -> tuple[tuple[int, int], ...]:
+            # beyond every term's reach only stems are left
+            letters = min(len(core), longest)
+            if letters not in automata:
+                automata[letters] = TrieAutomaton(self.terms, most, [limit(t, letters) for t in self.terms])
+            elif sum(len(a.sets) for a in automata.values()) > 3 * STATES:
+                automata.clear()
+                return matches(core)
+            return automata[letters].matches(core)
 
         def match(word: str) -> tuple[int, float] | None:
             core = word.strip(AROUND)
-            edits = [k for length, k in self.bounds if len(core) >= length]
-            found = automata[edits[-1]].matches(core) if core else ()
+            found = matches(core) if core else ()
             if not found:
                 return None
             # the heaviest term, nearer ones first

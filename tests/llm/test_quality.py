@@ -133,6 +133,35 @@ def test_automaton_against_edit_distance():
     assert set(stems.matches("abzzz")) == {(0, 0)} and set(stems.matches("abc")) == {(0, 0), (1, 0)}
 
 
+def test_edit_bound_follows_the_longer_of_term_and_word():
+    terms = ["worthless", "idiot", "loser", "absolutely", "scum", "craz*"]
+    model = T.ToxicityModel(terms, [3.0] * len(terms))
+    match = model.matcher()
+    near = {"w0rthl3ss": 0, "worthles": 0, "wrthlss": 0, "idot": 1, "lser": 2, "idi0t": 1, "absoltly": 3, "absolutexyly": 3,
+            "scumm": 4, "crazier": 5}
+    assert {w: (match[w] or [None])[0] for w in near} == near
+    assert [match[w] for w in ("iot", "scm", "w0rthl3s5", "losersss", "quiet")] == [None] * 5
+
+    rng = random.Random(6)
+    terms = ["".join(rng.choices("ab", k=rng.randint(2, 11))) for _ in range(40)]
+    model = T.ToxicityModel(terms, [1.0] * len(terms))
+    match = model.matcher()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for _ in range(600):
+        word = "".join(rng.choices("abc", k=rng.randint(1, 14)))
+        reach = [e for t in terms for e in [distance(word, t)]
+                 if e <= max(k for n, k in model.bounds if max(len(t), len(word)) >= n)]
+        assert (match[word] or (0, None))[1] == (0.5 ** min(reach) if reach else None)
+
+
 def test_quotation_is_told_from_abuse():
     model = T.ToxicityModel(["idiot"], [5.0], ([5.0], [5.0]))
     match = model.matcher()
