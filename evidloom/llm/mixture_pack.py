@@ -8,8 +8,9 @@ task finds window and offset of a document from the document's start in its queu
 deficits that the windows and partitions before it have left, and nothing is packed in sequence.
 
 The start in the queue is a two-level prefix sum: queues are cut into blocks by a hash of the document,
-blocks are summed, and rows are summed inside their block.  Sources below ``min_share`` of the tokens
-share one queue, so there are at most ``1 / min_share + 1`` queues, whatever the number of sources.
+blocks are summed, and rows are summed inside their block.  Each source whose quantum reaches one token of a
+window has a queue of its own; sources below that share one queue with their summed quantum, so there are at most
+``window + 1`` queues, whatever the number of sources.
 
 Full windows need no padding.  The last tokens, which cannot fill every queue's quantum, fill windows in
 queue order, and the rest of less than a window is cut into powers of two.
@@ -76,12 +77,17 @@ class Mixture:
             # the queues that the next window would overdraw give way
             wanted = np.where(_taken(edges, low + 1) - _taken(edges, low) > left, 0.0, wanted)
         self.rest = np.concatenate([[0], np.cumsum(left)])
+        # by queue, the tokens used before each phase
+        self.before = np.array([p[3] for p in self.phases], dtype=np.int64).reshape(len(self.phases), len(totals)).T.copy()
 
     def pieces(self, q: int, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sequence ids, offsets and starts in the document of tokens ``start`` onwards of queue ``q``."""
         none = np.zeros(0, dtype=np.int64)
         seq, off, at, stop = [none], [none], [none], start + length
-        for first, windows, edges, used in self.phases:
+        # only phases that may hold some of these tokens
+        since = max(0, int(np.searchsorted(self.before[q], start, "right")) - 1)
+        until = int(np.searchsorted(self.before[q], stop, "left"))
+        for first, windows, edges, used in self.phases[since:until]:
             share, base = int(edges[q + 1] - edges[q]), int(used[q])
             if share == 0 or stop <= base:
                 continue
@@ -130,12 +136,12 @@ def _taken(edges: np.ndarray, w: int) -> np.ndarray:
 
 
 def mixture_pack(docs: DataFrame, json_path: str, ranks_path: str, end_id: int = 1, window: int = 2048,
-                 shares: dict[str | None, float] | None = None, min_share: float = 1 / 128,
-                 block_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
+                 shares: dict[str | None, float] | None = None, block_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``shares`` are target proportions by source (the corpus' own by default); a queue that runs dry
-    leaves its quantum to the others, and sources without a share close the pack.  ``with_ids`` adds the piece's 16-bit ids.
+    leaves its quantum to the others.  What they leave of 1 goes to the other sources by their tokens; sources without a
+    share close the pack.  ``with_ids`` adds the piece's 16-bit ids.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -145,20 +151,26 @@ def mixture_pack(docs: DataFrame, json_path: str, ranks_path: str, end_id: int =
     rows, _ = write_table(rows, "token_rows")
     by_source = rows.groupBy("source").agg(F.sum("n").alias("n"))
     total = int(by_source.agg(F.sum("n")).first()[0] or 0)
-    # at most 1 / min_share rows
-    large = {r["source"]: int(r["n"])
-             for r in by_source.where(F.col("n") >= max(1.0, min_share * total)).collect()}
+    whole, spare = 1.0, 1.0
+    given = spark.createDataFrame(list((shares or {}).items()), "name string, share double")
+    if shares:
+        whole, spare = max(1.0, sum(shares.values())), max(0.0, 1 - sum(shares.values()))
+    found = by_source.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left")
+    loose = int(found.where("share IS NULL").agg(F.sum("n")).first()[0] or 0)
+    found = found.select("source", "n", F.coalesce("share", F.col("n") * spare / max(1, loose)).alias("share"))
+    reaches = F.col("share") * window >= whole
+    # at most ``window`` rows
+    large = {r["source"]: (int(r["n"]), r["share"]) for r in found.where(reaches).collect()}
     names = sorted(large, key=lambda s: (s is not None, s))
-    totals = [large[s] for s in names]
+    totals = [large[s][0] for s in names]
     others = total - sum(totals)
-    if names and others * window < total:  # less than a token of each window: joins the last queue
+    wanted = None if shares is None else [large[s][1] for s in names]
+    if names and shares is None and others * window < total:  # less than a token of each window: joins the last queue
         pool, totals[-1] = len(names) - 1, totals[-1] + others
     else:
         pool, totals = len(names), totals + [others] * (others > 0)
-    wanted = None
-    if shares is not None:
-        wanted = [float(shares.get(s, 0.0)) for s in names]
-        wanted += [max(0.0, 1 - sum(wanted))] * (len(totals) - len(names))
+        if wanted is not None and others:
+            wanted.append(float(found.where(~reaches).agg(F.sum("share")).first()[0] or 0.0))
     mixture = Mixture(totals, window, wanted)
     queue = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "name string, number int")
     blocks = max(1, -(-total // block_tokens))

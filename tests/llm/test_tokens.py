@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,6 +102,41 @@ def test_mixture_pack_round_trip(make_docs, words):
     assert mixture_pack(make_docs(rows).where("false"), BYTES, RANKS).collect() == []
 
 
+def packed_tokens(spark, sizes, shares=None, window=64):
+    """Tokens of each source in each full window."""
+    rows = [(i, " ".join(["a"] * n), s) for i, (s, n) in enumerate((s, n) for s, m in sizes.items() for n in [20] * m)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    got = mixture_pack(docs, BYTES, RANKS, window=window, shares=shares).collect()
+    out = {}
+    for r in got:
+        seen = out.setdefault(r.sequence_id, Counter())
+        seen[source[r.doc_id]] += r.length
+    assert sum(r.length for r in got) == sum(c.total() for c in out.values())
+    return [out[k] for k in sorted(out) if out[k].total() == window]
+
+
+def test_each_source_that_reaches_a_token_has_its_quantum(spark):
+    sizes = {f"s{i}": 3 for i in range(160)}  # 1/160 each: 1.6 tokens of 256
+    full = packed_tokens(spark, sizes, window=256)
+    for w in range(1, 31):
+        taken = sum(full[:w], Counter())
+        assert all(abs(taken[s] - 1.6 * w) <= 1 for s in sizes)
+
+
+def test_target_shares_of_small_sources_are_kept(spark):
+    # under a token of a window in the corpus, a quarter of each in the mixture
+    full = packed_tokens(spark, {"big": 600, "tiny": 2}, {"big": .75, "tiny": .25})
+    assert [abs(c["tiny"] - 16) <= 1 for c in full[:2]] == [True, True]
+    # targets under a token each: their sum is kept
+    many = {f"t{i}": 1 for i in range(40)}
+    full = packed_tokens(spark, {"big": 200} | many, {"big": .75} | {s: .25 / 40 for s in many})
+    assert all(abs(c["big"] - 48) <= 1 for c in full[:10])
+    # what the targets leave of 1 goes to the others by their tokens
+    full = packed_tokens(spark, {"a": 100, "b": 50, "c": 50}, {"a": .5})
+    assert all(abs(c["a"] - 32) <= 1 and abs(c["b"] - 16) <= 1 for c in full[:10])
+
+
 def test_best_fit_against_a_scan():
     rng = random.Random(8)
     for _ in range(40):
