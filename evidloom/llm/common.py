@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,23 @@ def word_array(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
+def word_pieces(data: bytes | None, table: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of an encoded text, a stretch of about ``limit`` bytes at a time, so that a very long text never
+    stands in memory as one list.  ``table`` maps every byte; what it maps to a space separates words."""
+    at, data = 0, data or b""
+    while at < len(data):
+        end, step = at + limit, 4096
+        piece = data[at:end].translate(table)
+        while end < len(data) and not piece.endswith(b" "):
+            more = data[end:end + step].translate(table)
+            cut = more.find(b" ")
+            piece += more if cut < 0 else more[:cut + 1]
+            end += len(more) if cut < 0 else cut + 1
+            step *= 2
+        yield piece.split()
+        at = end
+
+
 def crc_mod(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the decimal id modulo ``folds``; a null id counts as remainder 1 (never held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(1))

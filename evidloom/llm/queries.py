@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidloom.llm.chat import format_preferences, preference_turns
 from evidloom.llm.common import crc_mod, documents, ready, table
 from evidloom.llm.decontaminate import find_leaks
+from evidloom.llm.importance import importance_resample
 from evidloom.llm.line_dedup import drop_repeated_lines
 from evidloom.llm.mixture_pack import mixture_pack
 from evidloom.llm.near_dup import near_duplicates
@@ -156,3 +157,39 @@ FROM p GROUP BY conv_id
 @query("op4_preference_format", OP4_SQL)
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(preference_turns(table(spark, sf_dir, "conversations")))
+
+
+# CRC-32 of the UTF-8 bytes of ``w`` in a relation: the 256 steps by rule, then a fold over the bytes
+CRC_STEPS_SQL = """SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1
+           THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS steps"""
+CRC_SQL = """xor(4294967295::BIGINT, list_reduce(
+         list_transform(range(length(hex({0})) // 2), lambda i: ('0x' || substr(hex({0}), 2 * i + 1, 2))::BIGINT),
+         lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1]), 4294967295::BIGINT))"""
+
+OP12_SQL = f"""
+WITH st AS ({CRC_STEPS_SQL}),
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")},
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+bw AS (SELECT unnest(regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")},
+              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT r, unnest(ws) AS w FROM w),
+v AS (SELECT w, {CRC_SQL.format("w")} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw), st),
+s AS (SELECT b, count(*) AS n FROM dw JOIN v USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bw JOIN v USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+              / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM s FULL JOIN t USING (b)),
+m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN v USING (w) JOIN g USING (b) GROUP BY r),
+x AS (SELECT w.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT
+               + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM w LEFT JOIN m USING (r)),
+k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS p FROM x)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN p <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100 THEN p END AS rank FROM k
+"""
+
+
+@query("op12_importance_resample", OP12_SQL)
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
