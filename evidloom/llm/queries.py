@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidloom.llm.chat import format_preferences, preference_turns
 from evidloom.llm.common import crc_mod, documents, ready, table
+from evidloom.llm.conversation_repair import damaged_turns, repair_report
 from evidloom.llm.decontaminate import find_leaks
 from evidloom.llm.importance import importance_resample
 from evidloom.llm.line_dedup import drop_repeated_lines
@@ -193,3 +194,68 @@ SELECT doc_id, n_features, weight, score,
 @query("op12_importance_resample", OP12_SQL)
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+# the states are begin, system, user, assistant; each holds the least (cost, edits) way to the end and its turns
+_WAY = "{{'c': {0}, 'a': '{1}' || {2}.a, 't': {3} || {2}.t}}"
+_LINE, _AS_USER, _AS_ASSISTANT = "chr(10) || role || ':' || text", "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+
+
+def _keep(first: str, to: str) -> str:
+    return f"CASE WHEN NOT must AND left(role, 1) = '{first}' THEN {_WAY.format(f'pay + {to}.c', 'K', to, _LINE)} END"
+
+
+def _rerole(to: str, line: str) -> str:
+    return f"CASE WHEN NOT must THEN {_WAY.format(f'pay + 3 + {to}.c', 'R', to, line)} END"
+
+
+def _delete(at: str) -> str:
+    return _WAY.format(f"4 + {at}.c", "D", at, "''")
+
+
+def _insert(to: str, role: str) -> str:
+    return _WAY.format(f"3 + {to}.c", "I", to, f"chr(10) || '{role}:'")
+
+
+OP13_SQL = f"""
+WITH RECURSIVE st AS ({CRC_STEPS_SQL}),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT *, {CRC_SQL.format("k")} % 20 AS f FROM src, st),
+dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+               CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM hit, range(2) t(n) WHERE f <> 0 AND (n = 0 OR f = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(0) || text), copy) AS i FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy,
+               trim(text, {SPACE_SQL}) AS inner_text FROM dam)),
+fa AS (SELECT *, CASE WHEN inner_text = '' THEN 1 WHEN copy > 1 THEN 2 WHEN right(inner_text, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+              left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM o),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+stats AS (
+  SELECT ids.conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM ids LEFT JOIN fa ON fa.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.conv_id),
+r AS (
+  SELECT conv_id, n AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS b, {{'c': 6::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s,
+         {{'c': 3::BIGINT, 'a': 'I', 't': chr(10) || 'assistant:'}} AS u, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS a
+  FROM stats
+  UNION ALL
+  SELECT conv_id, i, list_min([b, {_insert("u", "user")}]) AS b, list_min([s, {_insert("u", "user")}]) AS s, u, a FROM (
+    SELECT conv_id, i, b, s, list_min([u, {_insert("a", "assistant")}]) AS u, list_min([a, {_insert("u", "user")}]) AS a FROM (
+      SELECT r.conv_id, r.i - 1 AS i,
+             list_min(list_filter([{_delete("b")}, {_keep("s", "s")}, {_keep("u", "u")}, {_rerole("u", _AS_USER)}], lambda x: x IS NOT NULL)) AS b,
+             list_min(list_filter([{_delete("s")}, {_keep("u", "u")}, {_rerole("u", _AS_USER)}], lambda x: x IS NOT NULL)) AS s,
+             list_min(list_filter([{_delete("u")}, {_keep("a", "a")}, {_rerole("a", _AS_ASSISTANT)}], lambda x: x IS NOT NULL)) AS u,
+             list_min(list_filter([{_delete("a")}, {_keep("u", "u")}, {_rerole("u", _AS_USER)}], lambda x: x IS NOT NULL)) AS a
+      FROM r JOIN (SELECT conv_id AS k, i AS at, role, text, fault IN (1, 2) AS must, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS pay FROM fa) x
+        ON x.k IS NOT DISTINCT FROM r.conv_id AND x.at = r.i)))
+SELECT r.conv_id, gaps, blank, duplicate, truncated, illegal, b.c AS cost, b.a AS audit, sha256(substr(b.t, 2)) AS repaired_sha256
+FROM r JOIN stats ON stats.conv_id IS NOT DISTINCT FROM r.conv_id WHERE r.i = 0
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_report(damaged_turns(turns), turns).drop("n_turns")
