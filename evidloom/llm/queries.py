@@ -17,6 +17,7 @@ from evidloom.llm.mixture_pack import mixture_pack
 from evidloom.llm.near_dup import near_duplicates
 from evidloom.llm.quality_rank import fit_ranking, score_quality
 from evidloom.llm.quality_rules import quality_rules
+from evidloom.llm.simhash_dedup import simhash_duplicates
 from evidloom.llm.token_counts import count_tokens
 from evidloom.llm.token_output import pack_matrix
 from evidloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -160,6 +161,11 @@ def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(preference_turns(table(spark, sf_dir, "conversations")))
 
 
+@query("op11_simhash_dedup")
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 # CRC-32 of the UTF-8 bytes of ``w`` in a relation: the 256 steps by rule, then a fold over the bytes
 CRC_STEPS_SQL = """SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1
            THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS steps"""
