@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom import vocab
@@ -138,14 +138,43 @@ def selected_versions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
     ).withColumn("work_version_id", T.md5_uuid(F.col("provider_record_id")))
 
 
+# The identifiers that each provider looks up, the first present one only.
+LOOKUPS = {
+    "crossref": ("doi",),
+    "openalex": ("openalex", "doi", "arxiv"),
+    "semanticscholar": ("semanticscholar", "doi", "arxiv"),
+    "other": ("doi", "arxiv"),
+}
+HINTED = ("crossref",)  # providers whose title search takes the first author
+
+
+def _identifier(column: str) -> Column:
+    return T.doi(F.col(column)) if column == "doi" else F.lower(column)
+
+
 def exact_candidates(references: DataFrame, works: DataFrame) -> DataFrame:
-    """J2, exact part: works that share the DOI, else the arXiv id, of a reference."""
-    refs = references.select(REF, T.doi(F.col("doi")).alias("rd"), F.lower("arxiv").alias("ra"))
-    by_doi = refs.join(works, F.col("rd") == T.doi(F.col("doi"))).withColumn("match", F.lit("doi"))
-    by_arxiv = refs.join(works, F.col("ra") == F.lower("arxiv")).withColumn("match", F.lit("arxiv"))
-    found = by_doi.unionByName(by_arxiv).drop("rd", "ra")
-    first = attach_groups(found, [REF, "provider"], has_doi=F.max((F.col("match") == "doi").cast("int")))
-    return first.where((F.col("match") == "doi") | (F.col("has_doi") == 0)).drop("has_doi")
+    """J2, exact part: the work that a provider returns for the reference's identifier.
+
+    A provider looks up one identifier: its own record id when the reference has one, else the DOI, else the
+    arXiv id where it knows those (a provider without an entry in ``LOOKUPS``: DOI, else arXiv).  An identifier it does not find gives nothing here.  Several works with the same
+    identifier count as one record, the least id.  Columns ``openalex`` and ``semanticscholar`` of the
+    references are optional.
+    """
+    have = set(references.columns)
+    asks = []
+    for rule, kinds in LOOKUPS.items():
+        asks.append(F.coalesce(*[F.when(F.nullif(_identifier(k), F.lit("")).isNotNull(), F.struct(
+            F.lit(rule).alias("rule"), F.lit("native" if k == rule else k).alias("match"),
+            _identifier(k).alias("value"))) for k in kinds if k in have]))
+    wanted = references.select(REF, F.explode(F.array_compact(F.array(*asks))).alias("ask")).select(REF, "ask.*")
+    held = F.array(*[
+        F.struct(F.lit(kind).alias("match"), value.alias("value")) for kind, value in (
+            ("native", F.lower("provider_record_id")), ("doi", _identifier("doi")), ("arxiv", _identifier("arxiv")))])
+    keyed = works.select("*", F.explode(held).alias("own")).where("own.value IS NOT NULL AND own.value <> ''")
+    rule = F.when(F.col("provider").isin(*LOOKUPS), F.col("provider")).otherwise("other")
+    keyed = keyed.select("*", rule.alias("rule"), "own.*").drop("own")
+    single = top_rows(keyed, ["provider", "match", "value"], [F.asc("provider_record_id")], 1, "__first").drop("__first")
+    return wanted.join(single, ["rule", "match", "value"]).drop("rule", "value")
 
 
 def _trigrams(title: Column) -> Column:
@@ -154,61 +183,135 @@ def _trigrams(title: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def title_candidates(references: DataFrame, works: DataFrame, threshold: float = 0.8,
-                     k: int = 5) -> DataFrame:
-    """J2, title part: up to ``k`` works per reference and provider by trigram Jaccard of the
-    normalised title, similarity at least ``threshold``.
+def _first_author(authors: Column) -> Column:
+    """Lower-cased last word of the first name, the hint of a title search."""
+    return F.lower(F.element_at(F.split(F.trim(F.get(authors, 0)), r"\s+"), -1))
 
-    Exact set-similarity join: for sets ordered by rising trigram frequency, two sets with
-    Jaccard >= t share one of the first |x| - ceil(t |x|) + 1 members of either, and the smaller
-    set has at least t times the size of the larger.  Equal titles are collapsed on both sides
-    first, so a block of copies takes part once; a title keeps its ``k`` first works per provider
-    because no later one can rank.
-    """
-    rt = references.select(REF, T.title_key(F.col("title")).alias("rt")).where("rt <> ''")
-    wt = works.withColumn("wt", T.title_key(F.col("title"))).where("wt <> ''")
-    wt = top_rows(wt, ["wt", "provider"], [F.asc("provider_record_id")], k, "__copy").drop("__copy")
-    titles = (
-        rt.select(F.col("rt").alias("t")).union(wt.select(F.col("wt").alias("t"))).distinct()
-        .select("t", _trigrams(F.col("t")).alias("grams"))
-    )
-    # outer explode: the inner form would build every trigram array twice (non-empty filter)
-    grams = titles.select("t", F.size("grams").alias("n"), "grams").select(
-        "t", "n", F.explode_outer("grams").alias("g")
-    ).where("g IS NOT NULL")
-    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    # a title has one entry per distinct trigram, so the list is bounded by its own length
-    ranked = grams.join(freq, "g").groupBy("t", "n").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("f", "g"))), lambda s: s.g).alias("grams")
-    )
-    # both prefixes and both verification sides read it, so it is computed once
-    ranked = through_table(ranked, "title-grams")
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("t", "n", F.slice("grams", F.lit(1), keep).alias("pre")).select(
-        "t", "n", F.explode("pre").alias("g")
-    )
-    left = prefix.join(rt.select(F.col("rt").alias("t")).distinct(), "t", "left_semi").select(
-        F.col("t").alias("rt"), F.col("n").alias("rn"), "g")
-    right = prefix.join(wt.select(F.col("wt").alias("t")).distinct(), "t", "left_semi").select(
-        F.col("t").alias("wt"), F.col("n").alias("wn"), "g")
-    # only titles and sizes meet here; a pair is verified once, with its arrays joined back
-    pairs = left.join(right, "g").where(
-        F.least("rn", "wn") >= F.greatest("rn", "wn") * F.lit(threshold) - 1e-9
-    ).select("rt", "wt").distinct()
-    arrays = lambda side: ranked.select(F.col("t").alias(f"{side}t"), F.col("grams").alias(f"{side}g"))
-    pairs = pairs.join(arrays("r"), "rt").join(arrays("w"), "wt")
-    shared = F.size(F.array_intersect("rg", "wg"))
-    scored = pairs.select(
-        "rt", "wt", F.round(shared / (F.size("rg") + F.size("wg") - shared), 6).alias("similarity")
-    ).where(F.col("similarity") >= threshold)
-    best = top_rows(
-        scored.join(wt, "wt"), ["rt", "provider"],
-        [F.desc("similarity"), F.asc("provider_record_id")], k, "result_rank",
-    )
-    return rt.join(best, "rt").drop("rt", "wt")
 
+class TitleIndex:
+    """Trigram sets of all titles of both sides, rarest trigram first, and the works' postings.
 
-def generate_candidates(references: DataFrame, works: DataFrame, threshold: float = 0.8,
+    Both are written once; the passes of a search read them.  ``postings``: ``g, provider, wt, wn, j`` with the
+    place ``j`` of a trigram in its title.
+    """
+
+    def __init__(self, ref_titles: DataFrame, work_titles: DataFrame) -> None:
+        titles = ref_titles.select(F.col("rt").alias("t")).union(
+            work_titles.select(F.col("wt").alias("t"))).distinct().select("t", _trigrams(F.col("t")).alias("grams"))
+        # outer explode: the inner form would build every trigram array twice (non-empty filter)
+        grams = titles.select("t", F.size("grams").alias("n"), "grams").select(
+            "t", "n", F.explode_outer("grams").alias("g")).where("g IS NOT NULL")
+        freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+        # a title has one entry per distinct trigram, so the list is bounded by its own length
+        ranked = grams.join(freq, "g").groupBy("t", "n").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("f", "g"))), lambda s: s.g).alias("grams"))
+        self.ranked = through_table(ranked, "title-grams")
+        entries = self.ranked.select("t", "n", F.posexplode("grams").alias("j", "g"))
+        named = work_titles.select(F.col("wt").alias("t"), "provider").distinct()
+        self.postings = entries.join(named, "t").select(
+            "g", "provider", F.col("t").alias("wt"), F.col("n").alias("wn"), "j")
+
+    def arrays(self, side: str) -> DataFrame:
+        return self.ranked.select(F.col("t").alias(f"{side}t"), F.col("grams").alias(f"{side}g"))
+
+    def similar(self, units: DataFrame, final: bool) -> DataFrame:
+        """``rt, provider, wt, similarity`` of the works' titles that may reach the bound of a unit.
+
+        ``units``: ``rt, provider, bound``.  For sets in one order of rising frequency, two sets with Jaccard >= t share
+        one of the first |x| - ceil(t |x|) + 1 members of either, and the smaller has at least t times the size of
+        the larger.  The final form uses all of that, and what the rest of the set can still add to the members
+        found; the other form meets whole titles by the unit's members alone, to find near titles of any
+        similarity.
+        """
+        reach = lambda n: F.greatest(n - F.ceil(n * F.col("bound") - 1e-9) + 1, F.lit(0))
+        sets = self.ranked.select(F.col("t").alias("rt"), F.col("n").alias("rn"), "grams")
+        probe = units.join(sets, "rt").withColumn("reach", F.least(reach(F.col("rn")), F.col("rn")).cast("int"))
+        probe = probe.select("rt", "provider", "bound", "rn", "reach", F.posexplode(
+            F.slice("grams", F.lit(1), F.col("reach"))).alias("i", "g"))
+        met = probe.join(self.postings, ["g", "provider"])
+        if final:
+            met = met.where((F.col("j") < reach(F.col("wn"))) & (
+                F.least("rn", "wn") >= F.greatest("rn", "wn") * F.col("bound") - 1e-9))
+        pairs = met.groupBy("rt", "provider", "wt").agg(
+            F.count(F.lit(1)).alias("c"), F.first("rn").alias("rn"), F.first("wn").alias("wn"),
+            F.first("bound").alias("bound"), F.max("i").alias("i"), F.max("j").alias("j"))
+        if final:
+            # beyond the last common member of the two prefixes no more than the shorter rest can be shared
+            more = F.least(F.col("rn") - F.col("i"), F.col("wn") - F.col("j")) - 1
+            need = F.ceil(F.col("bound") / (1 + F.col("bound")) * (F.col("rn") + F.col("wn")) - 1e-9)
+            pairs = pairs.where(F.col("c") + more >= need)
+        pairs = pairs.select("rt", "provider", "wt")
+        texts = pairs.select("rt", "wt").distinct().join(self.arrays("r"), "rt").join(self.arrays("w"), "wt")
+        shared = F.size(F.array_intersect("rg", "wg"))
+        scored = texts.select("rt", "wt", F.round(
+            shared / (F.size("rg") + F.size("wg") - shared), 6).alias("similarity"))
+        return pairs.join(scored, ["rt", "wt"]).where("similarity > 0")
+
+
+def title_candidates(references: DataFrame, works: DataFrame, threshold: float = 0.0, k: int = 5,
+                     seed_bound: float = 0.8) -> DataFrame:
+    """J2, title part: the ``k`` best works per reference and provider by trigram Jaccard of the normalised
+    title, down to any shared trigram (or to ``threshold``).
+
+    Exact top-k set-similarity join with a bound that falls per title and provider.  The first pass probes the
+    rarest trigrams of a title, those that a similarity of ``seed_bound`` must hit; a title with ``k`` works at
+    that similarity is done.  For each other one the ``k``-th best work seen so far bounds what can still enter,
+    and one more pass with prefix, size and overlap filters at that bound finds the rest.  Equal titles are collapsed on both
+    sides first, so a block of copies takes part once; a title keeps its ``k`` first works per provider because no
+    later one can rank.  Equal similarities go to the works of the first author where a provider takes that hint,
+    then to the smaller record id.
+    """
+    names = "authors" if "authors" in references.columns else None
+    rt = references.select(
+        REF, T.title_key(F.col("title")).alias("rt"),
+        (_first_author(F.col(names)) if names else F.lit(None).cast("string")).alias("hint")).where("rt <> ''")
+    wt = works.withColumn("wt", T.title_key(F.col("title"))).where("wt <> ''")
+    copies = top_rows(wt, ["wt", "provider"], [F.asc("provider_record_id")], k, "__copy").drop("__copy")
+    index = TitleIndex(rt, copies)
+    providers = copies.agg(F.collect_set("provider").alias("p")).scalar()
+    size = copies.groupBy("wt", "provider").agg(F.count(F.lit(1)).alias("copies"))
+    units = rt.select("rt").distinct().select("rt", F.explode(providers).alias("provider"))
+
+    def best_titles(similar: DataFrame) -> DataFrame:
+        """Titles that hold a place among the best ``k`` works, and the similarity of the ``k``-th work."""
+        first = top_rows(similar.join(size, ["wt", "provider"]), ["rt", "provider"],
+                         [F.desc("similarity"), F.asc("wt")], k, "place")
+        worst = F.min_by("similarity", F.when(F.col("upto") >= k, F.col("place")))
+        upto = Window.partitionBy("rt", "provider").orderBy("place")
+        return first.withColumn("upto", F.sum("copies").over(upto)).groupBy("rt", "provider").agg(worst.alias("kth"))
+
+    seeds = through_table(
+        index.similar(units.withColumn("bound", F.lit(max(seed_bound, threshold))), final=False), "title-seeds")
+    state = through_table(
+        units.join(best_titles(seeds), ["rt", "provider"], "left")
+        .withColumn("done", F.coalesce(F.col("kth") >= seed_bound, F.lit(False))), "title-bounds")
+    # similarities are rounded: anything that may round to the bound must come out
+    open_units = state.where(~F.col("done")).select(
+        "rt", "provider", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-6, F.lit(threshold)).alias("bound"))
+    rest = index.similar(open_units, final=True)
+    closed = seeds.join(state.where("done").select("rt", "provider"), ["rt", "provider"], "left_semi")
+    similar = through_table(closed.unionByName(rest).where(F.col("similarity") >= threshold), "title-pairs")
+    kth = best_titles(similar).select("rt", "provider", F.col("kth").alias("least"))
+    near = similar.join(kth, ["rt", "provider"], "left").where(
+        F.coalesce(F.col("similarity") >= F.col("least"), F.lit(True))).drop("least")
+    found = near.join(copies, ["wt", "provider"])
+    ranked = rt.join(found, "rt")
+    if names and "authors" in works.columns:
+        own = top_rows(wt.where(F.col("provider").isin(*HINTED)).withColumn("hint", _first_author(F.col("authors")))
+                       .where("hint IS NOT NULL"), ["wt", "provider", "hint"], [F.asc("provider_record_id")], k, "__copy")
+        hinted = rt.join(near, "rt").join(own.drop("__copy"), ["wt", "provider", "hint"])
+        # a hinted work may also be one of the first copies
+        ranked = ranked.withColumn("hinted", F.lit(0)).unionByName(hinted.withColumn("hinted", F.lit(1)))
+        ranked = top_rows(ranked, [REF, "provider", "provider_record_id"], [F.desc("hinted")], 1, "__once").drop("__once")
+    else:
+        ranked = ranked.withColumn("hinted", F.lit(0))
+    return top_rows(
+        ranked, [REF, "provider"],
+        [F.desc("similarity"), F.desc("hinted"), F.asc("provider_record_id")], k, "result_rank",
+    ).drop("rt", "wt", "hint", "hinted")
+
+
+def generate_candidates(references: DataFrame, works: DataFrame, threshold: float = 0.0,
                         k: int = 5) -> DataFrame:
     """Per provider the exact match wins, otherwise the title search fills in."""
     exact = exact_candidates(references, works).withColumn("result_rank", F.lit(1)).withColumn(

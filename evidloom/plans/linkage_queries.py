@@ -277,30 +277,43 @@ def _key(column: str) -> str:
 
 
 @query("j2_candidate_generation", f"""
-WITH r AS (SELECT page_id AS reference_entry_id, doi, {_key('title')} AS t FROM v_titles),
-w AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'crossref' ELSE 'openalex' END AS provider, concat('w', CAST(page_id AS VARCHAR)) AS provider_record_id,
-      doi, {_key('heading')} AS t FROM v_titles),
-ex AS (SELECT r.reference_entry_id, w.provider, w.provider_record_id FROM r JOIN w ON r.doi = w.doi),
+WITH r AS (SELECT page_id AS reference_entry_id, doi, {_key('title')} AS t, concat('w', CAST(page_id AS VARCHAR)) AS own,
+           CASE WHEN page_id % 7 < 2 THEN concat('w', CAST(page_id AS VARCHAR)) END AS openalex,
+           concat('2101.', CAST(page_id AS VARCHAR)) AS arxiv, concat('a', CAST(page_id % 4 AS VARCHAR)) AS hint FROM v_titles),
+w AS (SELECT CASE page_id % 3 WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' ELSE 'semanticscholar' END AS provider, concat('w', CAST(page_id AS VARCHAR)) AS provider_record_id,
+      CASE WHEN page_id % 6 < 3 THEN doi END AS doi, CASE WHEN page_id % 5 < 2 THEN concat('2101.', CAST(page_id AS VARCHAR)) END AS arxiv,
+      concat('a', CAST(page_id // 2 % 4 AS VARCHAR)) AS author, {_key('heading')} AS t FROM v_titles),
+ex AS (
+  SELECT reference_entry_id, w.provider, provider_record_id, 'doi' AS match FROM r JOIN w ON w.provider = 'crossref' AND r.doi = w.doi
+  UNION ALL
+  SELECT reference_entry_id, w.provider, provider_record_id,
+         CASE WHEN w.provider = 'openalex' AND openalex IS NOT NULL THEN 'native' WHEN r.doi IS NOT NULL THEN 'doi' ELSE 'arxiv' END
+  FROM r JOIN w ON w.provider <> 'crossref' AND CASE WHEN w.provider = 'openalex' AND openalex IS NOT NULL THEN openalex = provider_record_id
+       WHEN r.doi IS NOT NULL THEN r.doi = w.doi ELSE r.arxiv = w.arxiv END),
 rt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT t FROM r WHERE t <> '')),
 wt AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT t FROM w WHERE t <> '')),
 sim AS (SELECT rt.t AS rt, wt.t AS wt, round(len(list_intersect(rt.g, wt.g))::DOUBLE / (len(rt.g) + len(wt.g) - len(list_intersect(rt.g, wt.g))), 6) AS s
-        FROM rt, wt WHERE least(len(rt.g), len(wt.g)) >= 0.8 * greatest(len(rt.g), len(wt.g)) AND s >= 0.8),
+        FROM rt, wt WHERE len(list_intersect(rt.g, wt.g)) > 0),
 ti AS (SELECT * FROM (SELECT r.reference_entry_id, w.provider, w.provider_record_id, s, row_number() OVER (
-         PARTITION BY r.reference_entry_id, w.provider ORDER BY s DESC, w.provider_record_id) AS rank
+         PARTITION BY r.reference_entry_id, w.provider ORDER BY s DESC, w.provider = 'crossref' AND author = hint DESC, w.provider_record_id) AS rank
        FROM r JOIN sim ON r.t = sim.rt JOIN w ON w.t = sim.wt) WHERE rank <= 5)
-SELECT reference_entry_id, provider, provider_record_id, 'doi' AS match, NULL::DOUBLE AS similarity FROM ex
+SELECT reference_entry_id, provider, provider_record_id, match, NULL::DOUBLE AS similarity, 1 AS result_rank FROM ex
 UNION ALL
-SELECT reference_entry_id, provider, provider_record_id, 'title', s FROM ti
+SELECT reference_entry_id, provider, provider_record_id, 'title', s, rank FROM ti
 WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.reference_entry_id = ti.reference_entry_id AND ex.provider = ti.provider)""")
 def j2(v):
-    none = F.lit(None).cast("string").alias("arxiv")
-    references = v("v_titles").select(F.col("page_id").alias(REF), "title", "doi", none)
+    page = F.col("page_id")
+    own, arxiv = F.concat(F.lit("w"), page.cast("string")), F.concat(F.lit("2101."), page.cast("string"))
+    name = lambda n: F.array(F.concat(F.lit("Ann a"), n.cast("string")))
+    references = v("v_titles").select(
+        page.alias(REF), "title", "doi", arxiv.alias("arxiv"), F.when(page % 7 < 2, own).alias("openalex"),
+        name(page % 4).alias("authors"))
     works = v("v_titles").select(
-        F.when(F.col("page_id") % 2 == 0, "crossref").otherwise("openalex").alias("provider"),
-        F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("provider_record_id"),
-        F.col("heading").alias("title"), "doi", none)
-    return R.generate_candidates(references, works, threshold=0.8).select(
-        REF, "provider", "provider_record_id", "match", "similarity")
+        F.when(page % 3 == 0, "crossref").when(page % 3 == 1, "openalex").otherwise("semanticscholar").alias("provider"),
+        own.alias("provider_record_id"), F.col("heading").alias("title"), F.when(page % 6 < 3, F.col("doi")).alias("doi"),
+        F.when(page % 5 < 2, arxiv).alias("arxiv"), name(F.expr("page_id DIV 2 % 4")).alias("authors"))
+    return R.generate_candidates(references, works).select(
+        REF, "provider", "provider_record_id", "match", "similarity", "result_rank")
 
 
 @query("w6_current_resolution", """

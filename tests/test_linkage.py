@@ -98,6 +98,46 @@ def test_title_search_is_exact(spark):
         assert sorted(got.get(i, [])) == sorted(sims)[:3]
 
 
+def test_title_search_has_no_cut(spark):
+    """Best five per reference and provider out of 2,000 titles, down to any shared trigram."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choices("abdegiklmnorstu", k=rng.randint(2, 8))) for _ in range(500)]
+    title = lambda: " ".join(rng.choices(pool, k=rng.randint(1, 9)))
+    works = [("crossref" if i % 3 else "rare" if i < 12 else "openalex", f"w{i:04d}", title(), f"A. N{i % 5}") for i in range(1900)]
+    works += [("openalex", f"x{i:04d}", "introduction", "B. Q") for i in range(100)]
+    refs = [(i, title(), f"C. N{i % 5}") for i in range(60)] + [(100, "introduction", "B. Q"), (101, "zzzz", None), (102, "", None), (103, None, None)]
+    refs += [(200 + i, f"{works[i][2]} in brief", None) for i in range(0, 40, 2)]
+    r = spark.createDataFrame([(i, t, None, None, [a] if a else None) for i, t, a in refs],
+                              "reference_entry_id int, title string, doi string, arxiv string, authors array<string>")
+    w = spark.createDataFrame([(p, i, t, None, None, [a]) for p, i, t, a in works],
+                              "provider string, provider_record_id string, title string, doi string, arxiv string, authors array<string>")
+    got = {}
+    for x in R.title_candidates(r, w).collect():
+        got.setdefault((x.reference_entry_id, x.provider), []).append((x.result_rank, x.provider_record_id, x.similarity))
+    sets = [(p, i, grams(t), a.split()[-1].lower()) for p, i, t, a in works]
+    for i, t, a in refs:
+        own = grams(t) if t else set()
+        hint = a.split()[-1].lower() if a else None
+        for p in ("crossref", "openalex", "rare"):
+            best = sorted((-round(len(own & g) / len(own | g), 6), not (p == "crossref" and name == hint), wid)
+                          for q, wid, g, name in sets if q == p and own & g)[:5]
+            assert sorted(got.get((i, p), [])) == [(n, wid, -s) for n, (s, _, wid) in enumerate(best, 1)], (i, p)
+
+
+def test_lookup_takes_the_first_identifier_only(spark):
+    r = spark.createDataFrame(
+        [(1, "t", "10.1/x", "2101.1", "W9"), (2, "t", "10.1/x", "2101.1", "nope"), (3, "t", None, "2101.1", None), (4, "t", "", "2101.1", "")],
+        "reference_entry_id int, title string, doi string, arxiv string, openalex string")
+    w = spark.createDataFrame(
+        [("openalex", "w9", "a", None, None), ("openalex", "w1", "b", "10.1/X", "2101.1"), ("openalex", "w2", "b", "10.1/X", None),
+         ("crossref", "c1", "c", "10.1/x", "2101.1"), ("semanticscholar", "s1", "d", None, "2101.1")],
+        "provider string, provider_record_id string, title string, doi string, arxiv string")
+    got = {(x.reference_entry_id, x.provider, x.provider_record_id, x.match) for x in R.exact_candidates(r, w).collect()}
+    assert got == {(1, "openalex", "w9", "native"), (1, "crossref", "c1", "doi"), (2, "crossref", "c1", "doi"),
+                   (3, "openalex", "w1", "arxiv"), (3, "semanticscholar", "s1", "arxiv"),
+                   (4, "openalex", "w1", "arxiv"), (4, "semanticscholar", "s1", "arxiv")}
+
+
 def test_exact_match_suppresses_title_search(spark):
     r = spark.createDataFrame([(1, "some title", "https://doi.org/10.1/X", None)], "reference_entry_id int, title string, doi string, arxiv string")
     w = spark.createDataFrame(
