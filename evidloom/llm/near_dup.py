@@ -21,6 +21,7 @@ kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -35,8 +36,9 @@ from evidloom.session import new_table_path
 
 SLOT_BITS = 20
 BAND_BITS = 6
-# Rows of a bucket that one task compares with as many others.
+# Rows of a bucket, and shingles in their sets, that one task compares with as many others.
 BLOCK = 2000
+BLOCK_SHINGLES = 4_000_000
 BATCH_WORDS = 400_000
 
 
@@ -170,54 +172,110 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
     return labels.union(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), path
 
 
-def _close_pairs(rows: DataFrame, length: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that may reach the threshold.
+class Blocks:
+    """Members of one bucket, or of two of its blocks, that a task compares by the low bytes of their signatures."""
 
-    ``rows``: ``key, i, j, id, c, n, low_bytes``, dealt and sorted by (key, i, j): blocks ``i`` and ``j`` of one bucket.
-    A pair comes out of every bucket that it shares: low bytes that agree do not tell which band a pair shares
-    first, so repeated pairs are dropped by the caller.
-    """
-    t = percent / 100
-    least = int(np.ceil(length * (t - 4.5 * (t * (1 - t) / length) ** 0.5)))
-
-    def compare(i: int, j: int, part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ids, c, n, low, block = (part[x] for x in ("id", "c", "n", "low", "block"))
-        largest = np.bincount(np.unique(c, return_inverse=True)[1])
-        main = np.unique(c)[largest.argmax()]
-        left, right = [], []
+    def __init__(self, part: dict[str, np.ndarray], length: int, percent: int) -> None:
+        self.ids, self.c, self.n, self.block = (part[x] for x in ("id", "c", "n", "block"))
+        self.low = part["low"].reshape(-1, length)
+        self.one_block = part["i"][0] == part["j"][0]
+        self.percent = percent
+        t = percent / 100
+        self.least = int(np.ceil(length * (t - 4.5 * (t * (1 - t) / length) ** 0.5)))
+        names, number, size = np.unique(self.c, return_inverse=True, return_counts=True)
         # members of the largest component need no comparison among themselves
-        for x in np.flatnonzero(c != main):
-            other = (c != c[x]) & ((c == main) | (ids > ids[x])) & ((i == j) | (block != block[x]))
-            other &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
-            at = np.flatnonzero(other)
+        self.main = number == size.argmax()
+        self.parts = len(names)
+
+    def near(self, x: int, later: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Rows that may reach the threshold with row ``x``: ``later`` or in the largest component, and ``apart``."""
+        other = apart & (self.main | later)
+        if not self.one_block:
+            other &= self.block != self.block[x]
+        other &= np.minimum(self.n, self.n[x]) * 100 >= np.maximum(self.n, self.n[x]) * self.percent
+        at = np.flatnonzero(other)
+        return at[(self.low[at] == self.low[x]).sum(axis=1) >= self.least] if len(at) else at
+
+    def hopeful(self) -> np.ndarray:
+        """Positions of all rows that may be close to a row of another component."""
+        mark = np.zeros(len(self.ids), dtype=bool)
+        for x in np.flatnonzero(~self.main):
+            at = self.near(x, self.ids > self.ids[x], self.c != self.c[x])
+            if len(at):
+                mark[x] = True
+                mark[at] = True
+        return np.flatnonzero(mark)
+
+    def links(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """Verified links that join components, at most one for each component less one."""
+        _, label = np.unique(self.c, return_inverse=True)
+        sizes = np.array([len(s) for s in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        mark = np.zeros(len(codes), dtype=np.int64)
+        for x in np.flatnonzero(~self.main):
+            at = self.near(x, self.ids > self.ids[x], label != label[x])
             if not len(at):
                 continue
-            at = at[(low[at] == low[x]).sum(axis=1) >= least]
-            left.append(np.minimum(ids[at], ids[x]))
-            right.append(np.maximum(ids[at], ids[x]))
-        none = np.zeros(0, dtype=np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
+            own = codes[ends[x] - sizes[x]:ends[x]]
+            mark[own] = 1
+            theirs = np.concatenate([codes[ends[y] - sizes[y]:ends[y]] for y in at])
+            common = np.add.reduceat(mark[theirs], np.cumsum(sizes[at]) - sizes[at])
+            mark[own] = 0
+            for y in at[common * 100 >= (sizes[at] + sizes[x] - common) * self.percent]:
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    yield int(min(self.ids[x], self.ids[y])), int(max(self.ids[x], self.ids[y]))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[dict[str, np.ndarray], pa.Table]]:
+    """One bucket (or pair of blocks) at a time from rows sorted by (key, i, j)."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        at = [held.column(x).to_numpy() for x in ("key", "i", "j")]
+        change = [0, *(np.flatnonzero(np.any([np.diff(x) != 0 for x in at], axis=0)) + 1).tolist()]
+        yield from (_part(held.slice(lo, hi - lo), columns) for lo, hi in itertools.pairwise(change))
+        held = held.slice(change[-1])
+    if held is not None:
+        yield _part(held, columns)
+
+
+def _part(table: pa.Table, columns: list[str]) -> tuple[dict[str, np.ndarray], pa.Table]:
+    part = {x: table.column(x).to_numpy() for x in columns}
+    part["low"] = np.frombuffer(b"".join(table.column("low_bytes").to_pylist()), dtype=np.uint8)
+    return part, table
+
+
+_MET = ["key", "i", "j", "block", "id", "c", "n"]
+_MET_SCHEMA = "key long, i int, j int, block int, id long, c long, n long, low_bytes binary"
+
+
+def _hopeful_rows(rows: DataFrame, length: int, percent: int) -> DataFrame:
+    """The rows of ``_MET_SCHEMA``, sorted by (key, i, j), that may be close to another one: rows, never pairs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            part = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "block", "id", "c", "n")}
-            part["low"] = np.frombuffer(b"".join(batch.column("low_bytes").to_pylist()), dtype=np.uint8).reshape(-1, length)
-            if held is not None:
-                part = {x: np.concatenate([held[x], part[x]]) for x in part}
-            change = np.flatnonzero((np.diff(part["key"]) != 0) | (np.diff(part["i"]) != 0) | (np.diff(part["j"]) != 0)) + 1
-            yield from finish(part, [0, *change.tolist()])
-            last = int(change[-1]) if len(change) else 0
-            held = {x: v[last:] for x, v in part.items()}
-        if held is not None:
-            yield from finish(held, [0, len(held["key"])])
-
-    def finish(part: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
-        found = [compare(int(part["i"][lo]), int(part["j"][lo]), {x: v[lo:hi] for x, v in part.items()})
-                 for lo, hi in zip(edges, edges[1:], strict=False) if hi - lo > 1]
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for part, table in _buckets(batches, _MET):
+            if len(part["id"]) > 1:
+                at = Blocks(part, length, percent).hopeful()
+                if len(at):
+                    yield from table.take(pa.array(at)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(scan, _MET_SCHEMA)
+
+
+def _last_links(rows: DataFrame, length: int, percent: int) -> DataFrame:
+    """Verified links ``a, b`` of the same rows with their ``shingles``, enough to join what is close."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in _buckets(batches, _MET):
+            if len(part["id"]) > 1:
+                sets = [x.values.to_numpy(zero_copy_only=False) for x in table.column("shingles")]
+                found = list(Blocks(part, length, percent).links(sets))
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return rows.mapInArrow(scan, "a long, b long")
 
@@ -253,6 +311,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         together = F.size("sa") + F.size("sb") - common
         return write_table(both.where(common * 100 >= together * percent).select("a", "b").distinct(), "links")[0]
 
+    def last_links(open_rows: DataFrame) -> DataFrame:
+        """Links between components from all pairs of a bucket, looked at and verified inside tasks."""
+        sizes = firsts.select("id", "n").dropDuplicates(["id"])
+        sized, _ = write_table(open_rows.join(sizes, "id").select("key", "id", "c", "n"), "open_rows")
+        totals = sized.groupBy("key").agg(
+            F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        # a row meets every block of its bucket, its own included
+        met = sized.join(totals, "key").withColumn("block", block).withColumn(
+            "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "c", "n")
+        met = met.join(firsts.select("id", "low_bytes").dropDuplicates(["id"]), "id").select(*_MET, "low_bytes")
+        met = met.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        hopeful = write_table(_hopeful_rows(met, length, percent), "hopeful_rows")[0]
+        full = hopeful.join(spark.table(sets_name).hint("merge"), "id").select(*_MET, "low_bytes", "shingles")
+        return _last_links(full.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j"), length, percent)
+
     # each document against the least pivot of its buckets
     first = members.where("low < id").groupBy("id").agg(F.min("low").alias("a"))
     labels, label_path = connected_components(verified(first.select("a", F.col("id").alias("b"))))
@@ -273,17 +348,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
                 .select("id", F.explode("ps.p").alias("p"))
             )
             pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+            found = verified(pairs)
         else:
-            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-            block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            # a row meets every block of its bucket, its own included
-            met = open_rows.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            met = met.join(firsts.select("id", "n", "low_bytes").dropDuplicates(["id"]), "id").select(
-                "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "c", "n",
-                "low_bytes")
-            met = met.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-            pairs = _close_pairs(met, length, percent).distinct()
-        found = verified(pairs)
+            found = write_table(last_links(open_rows), "links")[0]
         if not found.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
             labels, new = connected_components(stars.union(found))

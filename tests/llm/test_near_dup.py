@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from evidloom.llm.near_dup import Circulant, _close_pairs, connected_components, near_duplicates, shingle_sets
+from evidloom.llm.near_dup import Circulant, _hopeful_rows, _last_links, connected_components, near_duplicates, shingle_sets
 
 
 def shingles(text):
@@ -81,22 +81,47 @@ def test_signatures_estimate_similarity():
     assert len(whole) == 2996 and (hasher.signature(whole) == hasher.signature(whole[::-1])).all()
 
 
+MET = "key long, i int, j int, block int, id long, c long, n long, low_bytes binary"
+
+
 def test_last_step_loses_no_pair_with_a_common_band(spark):
     rng, hasher = np.random.default_rng(8), Circulant(50, 5, 1024)
-    rows, want = [], set()
+    rows, want, close = [], set(), set()
     for i in range(1500):
         # similarity 92 / 121: several common bands, many near misses in the bands before them
         pool = rng.integers(1 << 62, size=121).astype(np.uint64)
-        signed = [hasher.signature(np.sort(pool[at])) for at in (slice(0, 107), slice(15, 121))]
+        parts = [np.sort(pool[at]) for at in (slice(0, 107), slice(15, 121))]
+        signed = [hasher.signature(p) for p in parts]
         keys = [hasher.keys(s) for s in signed]
         common = np.intersect1d(*keys).view(np.int64)
         for k, s in enumerate(signed):
             low = (s & 255).astype(np.uint8).tobytes()
-            rows += [(int(key), 0, 0, 0, 2 * i + k, 2 * i + k, 107 - k, low) for key in common]
+            rows += [(int(key), 0, 0, 0, 2 * i + k, 2 * i + k, 107 - k, low, parts[k].view(np.int64).tolist()) for key in common]
         t = 75 / 100
         if len(common) and (signed[0] == signed[1]).sum() >= 1024 * (t - 4.5 * (t * (1 - t) / 1024) ** 0.5):
-            want.add((2 * i, 2 * i + 1))
-    met = spark.createDataFrame(rows, "key long, i int, j int, block int, id long, c long, n long, low_bytes binary")
+            want |= {2 * i, 2 * i + 1}
+            close.add((2 * i, 2 * i + 1))
+    met = spark.createDataFrame(rows, MET + ", shingles array<long>")
     met = met.repartition(3, "key").sortWithinPartitions("key", "i", "j")
-    assert {(r.a, r.b) for r in _close_pairs(met, length=1024, percent=75).collect()} == want
-    assert len(want) > 1000
+    assert {r.id for r in _hopeful_rows(met.drop("shingles"), length=1024, percent=75).collect()} == want
+    assert {(r.a, r.b) for r in _last_links(met, length=1024, percent=75).collect()} == close
+    assert len(close) > 1000
+
+
+def test_hub_just_under_the_threshold_gives_out_rows_not_pairs(spark):
+    rng, hasher = np.random.default_rng(4), Circulant(50, 5, 1024)
+    core = rng.integers(1 << 62, size=84).astype(np.uint64)
+    rows = []
+    for i in range(3000):
+        # any two share 84 of 116 shingles; every hundredth row and the one after it share 4 more
+        own = rng.integers(1 << 62, size=16).astype(np.uint64)
+        if i % 100 == 1:
+            own[:4] = last[:4]
+        last = own
+        whole = np.concatenate([core, own])
+        low = (hasher.signature(whole) & 255).astype(np.uint8).tobytes()
+        rows.append((1, 0, 0, 0, i, i, 100, low, np.sort(whole).view(np.int64).tolist()))
+    met = spark.createDataFrame(rows, MET + ", shingles array<long>").coalesce(1).sortWithinPartitions("key", "i", "j")
+    hopeful = _hopeful_rows(met.drop("shingles"), length=1024, percent=75).collect()
+    assert 2900 < len(hopeful) == len({r.id for r in hopeful})
+    assert sorted((r.a, r.b) for r in _last_links(met, length=1024, percent=75).collect()) == [(i, i + 1) for i in range(0, 3000, 100)]
