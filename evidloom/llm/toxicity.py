@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +40,8 @@ AROUND = ".,;:!?\"'()[]{}<>%$&*#|-_/\\“”„«»‹›…"
 FEATURES = 11
 # Lengths of the stems that are tried.
 STEMS = (4, 5)
-# States of a product automaton; it starts anew when full, and all do at three times as many together.
-STATES = 150_000
+# States of a product automaton, about half a kilobyte each; it starts anew when full, and all do at twice as many.
+STATES = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,6 +61,8 @@ class TrieAutomaton:
     """
 
     def __init__(self, terms: list[str], edits: int, limits: list[int] | None = None) -> None:
+        if edits > 3:
+            raise ValueError("at most three edits")
         self.edits = edits
         self.limits = limits or [0 if term.endswith("*") else edits for term in terms]
         self.children: list[dict[str, int]] = [{}]
@@ -83,8 +86,9 @@ class TrieAutomaton:
         self._reset()
 
     def _reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.sets: list[tuple] = []
+        self.ids: dict[bytes, int] = {}
+        # a state is its nodes with the edits used, four to a node, packed: tuples would take ten times the room
+        self.sets: list[bytes] = []
         self.ends: list[tuple] = []
         self.begun: list[tuple] = []
         self.steps: list[dict[str, int]] = []
@@ -101,14 +105,15 @@ class TrieAutomaton:
                     reached[child] = e
                     if e < self.most[child]:
                         queue.append(child)
-        key = tuple(sorted(reached.items()))
+        pairs = sorted(reached.items())
+        key = array("I", [n << 2 | e for n, e in pairs]).tobytes()
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            self.ends.append(tuple((self.term[n], e) for n, e in key
+            self.ends.append(tuple((self.term[n], e) for n, e in pairs
                                    if n in self.term and e <= self.limits[self.term[n]]))
-            self.begun.append(tuple((self.stem[n], e) for n, e in key if n in self.stem and e == 0))
+            self.begun.append(tuple((self.stem[n], e) for n, e in pairs if n in self.stem and e == 0))
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -118,7 +123,8 @@ class TrieAutomaton:
             if e <= self.most[node] and reached.get(node, e + 1) > e:
                 reached[node] = e
 
-        for node, e in self.sets[state]:
+        for packed in array("I", self.sets[state]):
+            node, e = packed >> 2, packed & 3
             reach(node, e + 1)  # a letter too many
             for letter, child in self.children[node].items():
                 reach(child, e + (letter != c))
@@ -180,7 +186,7 @@ class ToxicityModel:
             letters = min(len(core), longest)
             if letters not in automata:
                 automata[letters] = TrieAutomaton(self.terms, most, [limit(t, letters) for t in self.terms])
-            elif sum(len(a.sets) for a in automata.values()) > 3 * STATES:
+            elif sum(len(a.sets) for a in automata.values()) > 2 * STATES:
                 automata.clear()
                 return matches(core)
             return automata[letters].matches(core)
