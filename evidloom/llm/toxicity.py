@@ -40,8 +40,8 @@ AROUND = ".,;:!?\"'()[]{}<>%$&*#|-_/\\“”„«»‹›…"
 FEATURES = 11
 # Lengths of the stems that are tried.
 STEMS = (4, 5)
-# States of a product automaton, about half a kilobyte each; it starts anew when full, and all do at twice as many.
-STATES = 60_000
+# States of a product automaton, about half a kilobyte each; it starts anew when full, and all do at three times as many.
+STATES = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -186,7 +186,7 @@ class ToxicityModel:
             letters = min(len(core), longest)
             if letters not in automata:
                 automata[letters] = TrieAutomaton(self.terms, most, [limit(t, letters) for t in self.terms])
-            elif sum(len(a.sets) for a in automata.values()) > 2 * STATES:
+            elif sum(len(a.sets) for a in automata.values()) > 3 * STATES:
                 automata.clear()
                 return matches(core)
             return automata[letters].matches(core)
