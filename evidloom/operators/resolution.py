@@ -145,6 +145,8 @@ LOOKUPS = {
     "semanticscholar": ("semanticscholar", "doi", "arxiv"),
     "other": ("doi", "arxiv"),
 }
+# Under it a prefix leaves out so little that counting all common trigrams is cheaper than looking at sets.
+LOW_BOUND = 0.3
 HINTED = ("crossref",)  # providers whose title search takes the first author
 
 
@@ -178,9 +180,11 @@ def exact_candidates(references: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def _trigrams(title: Column) -> Column:
+    """Distinct trigrams as whole numbers, 21 bits for each code point."""
     padded = F.concat(F.lit("  "), title, F.lit(" "))
-    at = F.sequence(F.lit(1), F.char_length(padded) - 2)
-    return F.array_distinct(F.transform(at, lambda i: F.substr(padded, i, F.lit(3))))
+    points = F.transform(F.split(padded, ""), lambda c: F.ascii(c).cast("long"))
+    shifted = F.arrays_zip(*[F.slice(points, F.lit(k + 1), F.char_length(padded) - 2).alias(f"p{k}") for k in range(3)])
+    return F.array_distinct(F.transform(shifted, lambda p: (p.p0 * (1 << 21) + p.p1) * (1 << 21) + p.p2))
 
 
 def _first_author(authors: Column) -> Column:
@@ -191,13 +195,12 @@ def _first_author(authors: Column) -> Column:
 class TitleIndex:
     """Trigram sets of all titles of both sides, rarest trigram first, and the works' postings.
 
-    Both are written once; the passes of a search read them.  ``postings``: ``g, provider, wt, wn, j`` with the
-    place ``j`` of a trigram in its title.
+    The sets are written once, with a number for each title; the passes of a search read them.  ``postings``: ``g,
+    provider, wid, wn, j`` with the place ``j`` of a trigram in its title.
     """
 
     def __init__(self, ref_titles: DataFrame, work_titles: DataFrame) -> None:
-        titles = ref_titles.select(F.col("rt").alias("t")).union(
-            work_titles.select(F.col("wt").alias("t"))).distinct().select("t", _trigrams(F.col("t")).alias("grams"))
+        titles = ref_titles.select("t").union(work_titles.select("t")).distinct().select("t", _trigrams(F.col("t")).alias("grams"))
         # outer explode: the inner form would build every trigram array twice (non-empty filter)
         grams = titles.select("t", F.size("grams").alias("n"), "grams").select(
             "t", "n", F.explode_outer("grams").alias("g")).where("g IS NOT NULL")
@@ -205,47 +208,57 @@ class TitleIndex:
         # a title has one entry per distinct trigram, so the list is bounded by its own length
         ranked = grams.join(freq, "g").groupBy("t", "n").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("f", "g"))), lambda s: s.g).alias("grams"))
-        self.ranked = through_table(ranked, "title-grams")
-        entries = self.ranked.select("t", "n", F.posexplode("grams").alias("j", "g"))
-        named = work_titles.select(F.col("wt").alias("t"), "provider").distinct()
-        self.postings = entries.join(named, "t").select(
-            "g", "provider", F.col("t").alias("wt"), F.col("n").alias("wn"), "j")
-
-    def arrays(self, side: str) -> DataFrame:
-        return self.ranked.select(F.col("t").alias(f"{side}t"), F.col("grams").alias(f"{side}g"))
+        self.ranked = through_table(ranked.withColumn("tid", F.monotonically_increasing_id()), "title-grams")
+        named = self.numbered(work_titles.select("t", "provider").distinct(), "wid")
+        entries = self.ranked.select(F.col("tid").alias("wid"), F.col("n").alias("wn"), F.posexplode("grams").alias("j", "g"))
+        self.postings = entries.join(named, "wid").select("g", "provider", "wid", "wn", "j")
+
+    def numbered(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows with the number of their title ``t`` in its place."""
+        return rows.join(self.ranked.select("t", F.col("tid").alias(name)), "t").drop("t")
+
+    def sets(self, side: str) -> DataFrame:
+        return self.ranked.select(F.col("tid").alias(f"{side}id"), F.col("grams").alias(f"{side}g"))
+
+    def counted(self, units: DataFrame) -> DataFrame:
+        """:meth:`similar` for bounds so low that nearly every trigram must be probed: common members are counted,
+        so no set is looked at again."""
+        sets = self.ranked.select(F.col("tid").alias("rid"), F.col("n").alias("rn"), F.explode("grams").alias("g"))
+        met = units.join(sets, "rid").join(self.postings, ["g", "provider"]).where(
+            F.least("rn", "wn") >= F.greatest("rn", "wn") * F.col("bound") - 1e-9)
+        pairs = met.groupBy("rid", "provider", "wid", "rn", "wn", "bound").agg(F.count(F.lit(1)).alias("c"))
+        value = F.round(F.col("c") / (F.col("rn") + F.col("wn") - F.col("c")), 6).alias("similarity")
+        return pairs.select("rid", "provider", "wid", value, "bound").where("similarity >= bound").drop("bound")
 
     def similar(self, units: DataFrame, final: bool) -> DataFrame:
-        """``rt, provider, wt, similarity`` of the works' titles that may reach the bound of a unit.
+        """``rid, provider, wid, similarity`` of the works' titles that may reach the bound of a unit.
 
-        ``units``: ``rt, provider, bound``.  For sets in one order of rising frequency, two sets with Jaccard >= t share
+        ``units``: ``rid, provider, bound``.  For sets in one order of rising frequency, two sets with Jaccard >= t share
         one of the first |x| - ceil(t |x|) + 1 members of either, and the smaller has at least t times the size of
         the larger.  The final form uses all of that, and what the rest of the set can still add to the members
         found; the other form meets whole titles by the unit's members alone, to find near titles of any
         similarity.
         """
         reach = lambda n: F.greatest(n - F.ceil(n * F.col("bound") - 1e-9) + 1, F.lit(0))
-        sets = self.ranked.select(F.col("t").alias("rt"), F.col("n").alias("rn"), "grams")
-        probe = units.join(sets, "rt").withColumn("reach", F.least(reach(F.col("rn")), F.col("rn")).cast("int"))
-        probe = probe.select("rt", "provider", "bound", "rn", "reach", F.posexplode(
+        sets = self.ranked.select(F.col("tid").alias("rid"), F.col("n").alias("rn"), "grams")
+        probe = units.join(sets, "rid").withColumn("reach", F.least(reach(F.col("rn")), F.col("rn")).cast("int"))
+        probe = probe.select("rid", "provider", "bound", "rn", F.posexplode(
             F.slice("grams", F.lit(1), F.col("reach"))).alias("i", "g"))
         met = probe.join(self.postings, ["g", "provider"])
         if final:
             met = met.where((F.col("j") < reach(F.col("wn"))) & (
                 F.least("rn", "wn") >= F.greatest("rn", "wn") * F.col("bound") - 1e-9))
-        pairs = met.groupBy("rt", "provider", "wt").agg(
-            F.count(F.lit(1)).alias("c"), F.first("rn").alias("rn"), F.first("wn").alias("wn"),
-            F.first("bound").alias("bound"), F.max("i").alias("i"), F.max("j").alias("j"))
+        pairs = met.groupBy("rid", "provider", "wid", "rn", "wn", "bound").agg(
+            F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
         if final:
             # beyond the last common member of the two prefixes no more than the shorter rest can be shared
             more = F.least(F.col("rn") - F.col("i"), F.col("wn") - F.col("j")) - 1
             need = F.ceil(F.col("bound") / (1 + F.col("bound")) * (F.col("rn") + F.col("wn")) - 1e-9)
             pairs = pairs.where(F.col("c") + more >= need)
-        pairs = pairs.select("rt", "provider", "wt")
-        texts = pairs.select("rt", "wt").distinct().join(self.arrays("r"), "rt").join(self.arrays("w"), "wt")
+        both = pairs.select("rid", "provider", "wid").join(self.sets("r"), "rid").join(self.sets("w"), "wid")
         shared = F.size(F.array_intersect("rg", "wg"))
-        scored = texts.select("rt", "wt", F.round(
-            shared / (F.size("rg") + F.size("wg") - shared), 6).alias("similarity"))
-        return pairs.join(scored, ["rt", "wt"]).where("similarity > 0")
+        return both.select("rid", "provider", "wid", F.round(
+            shared / (F.size("rg") + F.size("wg") - shared), 6).alias("similarity")).where("similarity > 0")
 
 
 def title_candidates(references: DataFrame, works: DataFrame, threshold: float = 0.0, k: int = 5,
@@ -262,44 +275,44 @@ def title_candidates(references: DataFrame, works: DataFrame, threshold: float =
     then to the smaller record id.
     """
     names = "authors" if "authors" in references.columns else None
-    rt = references.select(
-        REF, T.title_key(F.col("title")).alias("rt"),
-        (_first_author(F.col(names)) if names else F.lit(None).cast("string")).alias("hint")).where("rt <> ''")
-    wt = works.withColumn("wt", T.title_key(F.col("title"))).where("wt <> ''")
-    copies = top_rows(wt, ["wt", "provider"], [F.asc("provider_record_id")], k, "__copy").drop("__copy")
+    rt = through_table(references.select(
+        REF, T.title_key(F.col("title")).alias("t"),
+        (_first_author(F.col(names)) if names else F.lit(None).cast("string")).alias("hint")).where("t <> ''"), "ref-titles")
+    wt = through_table(works.withColumn("t", T.title_key(F.col("title"))).where("t <> ''"), "work-titles")
+    copies = top_rows(wt, ["t", "provider"], [F.asc("provider_record_id")], k, "__copy").drop("__copy")
     index = TitleIndex(rt, copies)
     providers = copies.agg(F.collect_set("provider").alias("p")).scalar()
-    size = copies.groupBy("wt", "provider").agg(F.count(F.lit(1)).alias("copies"))
-    units = rt.select("rt").distinct().select("rt", F.explode(providers).alias("provider"))
-
-    def best_titles(similar: DataFrame) -> DataFrame:
-        """Titles that hold a place among the best ``k`` works, and the similarity of the ``k``-th work."""
-        first = top_rows(similar.join(size, ["wt", "provider"]), ["rt", "provider"],
-                         [F.desc("similarity"), F.asc("wt")], k, "place")
-        worst = F.min_by("similarity", F.when(F.col("upto") >= k, F.col("place")))
-        upto = Window.partitionBy("rt", "provider").orderBy("place")
-        return first.withColumn("upto", F.sum("copies").over(upto)).groupBy("rt", "provider").agg(worst.alias("kth"))
+    rt, copies = index.numbered(rt, "rid"), index.numbered(copies, "wid")
+    size = copies.groupBy("wid", "provider").agg(F.count(F.lit(1)).alias("copies"))
+    units = rt.select("rid").distinct().select("rid", F.explode(providers).alias("provider"))
+
+    def kth_best(similar: DataFrame) -> DataFrame:
+        """``rid, provider, kth``: the similarity of the ``k``-th best work, null with fewer works."""
+        first = top_rows(similar.join(size, ["wid", "provider"]), ["rid", "provider"],
+                         [F.desc("similarity"), F.asc("wid")], k, "place")
+        upto = F.sum("copies").over(Window.partitionBy("rid", "provider").orderBy("place"))
+        full = F.when(F.col("upto") >= k, F.col("place"))
+        return first.withColumn("upto", upto).groupBy("rid", "provider").agg(F.min_by("similarity", full).alias("kth"))
 
     seeds = through_table(
         index.similar(units.withColumn("bound", F.lit(max(seed_bound, threshold))), final=False), "title-seeds")
     state = through_table(
-        units.join(best_titles(seeds), ["rt", "provider"], "left")
+        units.join(kth_best(seeds), ["rid", "provider"], "left")
         .withColumn("done", F.coalesce(F.col("kth") >= seed_bound, F.lit(False))), "title-bounds")
     # similarities are rounded: anything that may round to the bound must come out
     open_units = state.where(~F.col("done")).select(
-        "rt", "provider", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-6, F.lit(threshold)).alias("bound"))
-    rest = index.similar(open_units, final=True)
-    closed = seeds.join(state.where("done").select("rt", "provider"), ["rt", "provider"], "left_semi")
+        "rid", "provider", F.greatest(F.coalesce("kth", F.lit(0.0)) - 1e-6, F.lit(threshold)).alias("bound"))
+    low = F.col("bound") < LOW_BOUND
+    rest = index.similar(open_units.where(~low), final=True).unionByName(index.counted(open_units.where(low)))
+    closed = seeds.join(state.where("done").select("rid", "provider"), ["rid", "provider"], "left_semi")
     similar = through_table(closed.unionByName(rest).where(F.col("similarity") >= threshold), "title-pairs")
-    kth = best_titles(similar).select("rt", "provider", F.col("kth").alias("least"))
-    near = similar.join(kth, ["rt", "provider"], "left").where(
-        F.coalesce(F.col("similarity") >= F.col("least"), F.lit(True))).drop("least")
-    found = near.join(copies, ["wt", "provider"])
-    ranked = rt.join(found, "rt")
+    near = similar.join(kth_best(similar), ["rid", "provider"], "left").where(
+        F.coalesce(F.col("similarity") >= F.col("kth"), F.lit(True))).drop("kth")
+    ranked = rt.join(near, "rid").join(copies, ["wid", "provider"])
     if names and "authors" in works.columns:
-        own = top_rows(wt.where(F.col("provider").isin(*HINTED)).withColumn("hint", _first_author(F.col("authors")))
-                       .where("hint IS NOT NULL"), ["wt", "provider", "hint"], [F.asc("provider_record_id")], k, "__copy")
-        hinted = rt.join(near, "rt").join(own.drop("__copy"), ["wt", "provider", "hint"])
+        own = wt.where(F.col("provider").isin(*HINTED)).withColumn("hint", _first_author(F.col("authors")))
+        own = top_rows(own.where("hint IS NOT NULL"), ["t", "provider", "hint"], [F.asc("provider_record_id")], k, "__copy")
+        hinted = rt.join(near, "rid").join(index.numbered(own.drop("__copy"), "wid"), ["wid", "provider", "hint"])
         # a hinted work may also be one of the first copies
         ranked = ranked.withColumn("hinted", F.lit(0)).unionByName(hinted.withColumn("hinted", F.lit(1)))
         ranked = top_rows(ranked, [REF, "provider", "provider_record_id"], [F.desc("hinted")], 1, "__once").drop("__once")
@@ -308,7 +321,7 @@ def title_candidates(references: DataFrame, works: DataFrame, threshold: float =
     return top_rows(
         ranked, [REF, "provider"],
         [F.desc("similarity"), F.desc("hinted"), F.asc("provider_record_id")], k, "result_rank",
-    ).drop("rt", "wt", "hint", "hinted")
+    ).drop("rid", "wid", "hint", "hinted")
 
 
 def generate_candidates(references: DataFrame, works: DataFrame, threshold: float = 0.0,

@@ -6,34 +6,14 @@ query asks for move, and a per-query top-k.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom.functions import text as T
 from evidloom.functions import vectors as V
-from evidloom.operators.skew import salted_join, top_rows
-from evidloom.session import broadcast_if_small, fits
-
-K1, B = 1.5, 0.75
-QUERY_BLOCK = 2_048
-CHUNK_BLOCK = 16_384
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf, nq): distinct terms with their repeats and the distinct-term count."""
-    toks = queries.select("query_id", T.tokens(F.col("text")).alias("toks"))
-    return (
-        toks.select("query_id", F.size(F.array_distinct("toks")).alias("nq"), "toks")
-        .select("query_id", "nq", F.explode_outer("toks").alias("term"))
-        .where("term IS NOT NULL")
-        .groupBy("query_id", "nq", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
+from evidloom.operators import blocks as BL
+from evidloom.operators.skew import top_rows
+from evidloom.session import fits
 
 
 def corpus_size(chunks: DataFrame) -> DataFrame:
@@ -59,64 +39,14 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
         F.sum("first").alias("df"), F.count_if(F.col("first") == 0).alias("cf"))
 
 
-def query_postings(chunks: DataFrame, terms: DataFrame, small: bool | None = None) -> DataFrame:
-    """(chunk_id, dl, nd, term, tf) for terms that occur in some query.
-
-    ``small`` is the outcome of the size check of ``terms`` when the caller made it already.
-    """
-    small = fits(terms) if small is None else small
-    vocabulary = terms.select("term").distinct()
-    words = (
-        chunks.select("chunk_id", T.tokens(F.col("text")).alias("toks"))
-        # lengths are taken below the explode: beside it they would be recomputed per word
-        .select("chunk_id", F.size("toks").alias("dl"),
-                F.size(F.array_distinct("toks")).alias("nd"), "toks")
-        .select("chunk_id", "dl", "nd", F.explode_outer("toks").alias("term"))
-    )
-    if small:
-        words = words.join(F.broadcast(vocabulary), "term", "left_semi")
-    else:
-        words = salted_join(words, vocabulary, ["term"], ["chunk_id"])
-    return words.groupBy("chunk_id", "dl", "nd", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def score_pairs(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def score_pairs(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """R2 and R3 in one pass: (query_id, chunk_id, nq, overlap, lexical, semantic).
 
     ``lexical`` is BM25 with ln(1 + (N - df + .5) / (df + .5)) and repeated query terms counted;
     ``semantic`` is the cosine of the two term *sets*.  Pairs without a shared term score 0 on
-    both and are not emitted.
+    both and are not emitted.  For rankings use :class:`blocks.Retrieval`, which needs no pairs.
     """
-    terms = query_terms(queries)
-    # the weighted terms below are a subset of these rows, so one check covers both broadcasts
-    small = fits(terms)
-    posts = query_postings(chunks, terms, small)
-    n_docs = chunks.agg(F.count(F.lit(1))).scalar()
-    avg_len = corpus_size(chunks).select("avg_len").scalar()
-    # one row per chunk and distinct term, without counting terms inside the chunk first
-    words = chunks.select(
-        F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    df = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, "term").withColumn(
-        "idf",
-        F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)),
-    )
-    norm_len = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.greatest(F.col("avg_len"), F.lit(1e-9))
-    gain = (
-        F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(k1 + 1)
-        / (F.col("tf") + F.lit(k1) * norm_len)
-    )
-    posts = posts.withColumn("avg_len", avg_len)
-    joined = posts.join(F.broadcast(weighted), "term") if small else salted_join(
-        posts, weighted, ["term"], ["chunk_id"]
-    )
-    return (
-        joined.groupBy("chunk_id", "query_id", "nq", "nd")
-        .agg(F.sum(gain).alias("lexical"), F.count(F.lit(1)).alias("overlap"))
-        .withColumn("semantic", F.col("overlap") / F.sqrt(F.col("nq") * F.col("nd").cast("double")))
-    )
+    return BL.Retrieval(chunks, queries).pairs()
 
 
 def hybrid_scores(pairs: DataFrame, queries: DataFrame, weight: float = 0.5,
@@ -158,138 +88,34 @@ def all_terms_matches(pairs: DataFrame) -> DataFrame:
 
 def hashed_embedding(rows: DataFrame, id_col: str, dim: int = 64,
                      digits: int | None = None) -> DataFrame:
-    """(id, vector) - tokens hashed into ``dim`` buckets, weight 1 + ln(count), unit length.
-
-    A bucket is the first four bytes of sha256(token), big-endian, modulo ``dim``.  Buckets are counted
-    on the map side into one row per id.  Rows without tokens give zeros.
-    """
-    words = rows.select(id_col, F.explode_outer(T.tokens(F.col("text"))).alias("term"))
-    bucket = F.conv(F.substring(F.sha2("term", 256), 1, 8), 16, 10).cast("bigint") % dim
-    counts = words.select(id_col, bucket.alias("bucket")).groupBy(id_col).agg(
-        *[F.count_if(F.col("bucket") == i).alias(f"n{i}") for i in range(dim)])
-    weights = F.array(*[
-        F.when(F.col(f"n{i}") > 0, 1 + F.log(f"n{i}")).otherwise(F.lit(0.0)) for i in range(dim)])
-    dense = counts.select(id_col, weights.alias("w"))
-    dense = dense.withColumn("len", F.sqrt(F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x * x)))
-    vector = F.transform("w", lambda x: F.coalesce(x / F.nullif("len", F.lit(0.0)), F.lit(0.0)))
-    if digits is not None:
-        vector = F.transform(vector, lambda x: F.round(x, digits))
-    return dense.select(id_col, vector.alias("vector"))
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    m = np.array(column.tolist(), dtype=np.float64)
-    length = np.sqrt((m * m).sum(axis=1))
-    length[length == 0] = np.nan
-    return m / length[:, None]
-
-
-def _best(query_ids: np.ndarray, q: np.ndarray, part: pd.DataFrame, k: int,
-          digits: int) -> pd.DataFrame:
-    """Top ``k`` of one batch of chunks for every query; equal scores go to the smaller id."""
-    part = part.sort_values("chunk_id", kind="stable")
-    scores = np.round(q @ _matrix(part["vector"]).T, digits)
-    scores[np.isnan(scores)] = -np.inf
-    width = min(k, scores.shape[1])
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-    rows = np.repeat(np.arange(len(query_ids)), width)
-    cols = order.ravel()
-    out = pd.DataFrame({
-        "query_id": query_ids[rows],
-        "chunk_id": part["chunk_id"].to_numpy()[cols],
-        "score": scores[rows, cols],
-    })
-    return out[np.isfinite(out["score"])]
+    """(id, vector) by the hashed embedding, row by row without an exchange."""
+    return BL.embedded(rows, id_col, BL.HashedEmbedding(dim, digits))
 
 
 def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6,
-                 query_rows: int = QUERY_BLOCK) -> DataFrame:
+                 query_rows: int = BL.QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k of ``queries(query_id, vector)`` over
     ``chunks(chunk_id, vector)``.
 
-    Batches are multiplied as matrices and each batch keeps only its own top-k, so pairs are never
-    materialised.  A checked-small query side travels to the tasks as one matrix and the chunks do
-    not move; a larger one is cut into blocks that meet chunk blocks in an equi-join of block
-    numbers, each task holding one bounded pair of blocks.
+    Batches of chunks are multiplied as matrices with the queries and each batch keeps only its own top-k, so
+    pairs are never materialised.
     """
     id_type = dict(chunks.dtypes)["chunk_id"]
     q_type = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {q_type}, chunk_id {id_type}, score double"
-    chunks = chunks.select("chunk_id", V.as_double(F.col("vector")).alias("vector"))
     queries = queries.select("query_id", V.as_double(F.col("vector")).alias("vector"))
-    if fits(queries, query_rows):
-        side = queries.toPandas().sort_values("query_id", kind="stable")
-        if side.empty:
-            part = queries.sparkSession.createDataFrame([], schema)
-        else:
-            sc = queries.sparkSession.sparkContext
-            packed = sc.broadcast((side["query_id"].to_numpy(), _matrix(side["vector"])))
-
-            def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                ids, q = packed.value
-                for batch in batches:
-                    if len(batch):
-                        yield _best(ids, q, batch, k, digits)
-
-            part = chunks.mapInPandas(scan, schema)
-    else:
-        q_blocks = math.ceil(queries.count() / query_rows)
-        c_blocks = max(1, math.ceil(chunks.count() / CHUNK_BLOCK))
-        left = queries.withColumn(
-            "qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))
-        ).withColumn("cb", F.explode(F.expr(f"sequence(0L, {c_blocks - 1}L)")))
-        right = chunks.withColumn(
-            "cb", F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks))
-        ).withColumn("qb", F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")))
-
-        def meet(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-            if qs.empty or cs.empty:
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-            qs = qs.sort_values("query_id", kind="stable")
-            return _best(qs["query_id"].to_numpy(), _matrix(qs["vector"]), cs, k, digits)
-
-        part = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(
-            meet, schema
-        )
-    return top_rows(part, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def vector_pair_scores(pairs: DataFrame, chunk_vectors: DataFrame,
-                       query_vectors: DataFrame) -> DataFrame:
-    """Cosine of given (query_id, chunk_id) pairs."""
-    # a vector is far wider than a term row, so the row bound is lower
-    side, _ = broadcast_if_small(
-        query_vectors.select("query_id", F.col("vector").alias("qv")), 8 * QUERY_BLOCK)
-    scored = pairs.join(chunk_vectors.withColumnRenamed("vector", "cv"), "chunk_id").join(
-        side, "query_id"
-    )
-    return scored.withColumn("cosine", V.cosine(F.col("qv"), F.col("cv"))).drop("qv", "cv")
+    part = BL.meet(
+        BL.vector_blocks(chunks), queries, lambda q, b: BL._top_of_block(q, b, "vector", k, 0.5, digits),
+        f"query_id {q_type}, chunk_id {id_type}, value double, overlap long", query_rows)
+    scored = part.select("query_id", "chunk_id", F.round("value", digits).alias("score"))
+    return top_rows(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def vector_plus_lexical(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64,
-                        digits: int = 6) -> DataFrame:
+                        digits: int = 6, embed: BL.Embed | None = None) -> DataFrame:
     """Half the vector score plus half the all-terms lexical score (0 when absent), without
-    normalisation or lexical filter.
-
-    A chunk outside the lexical matches can only win by its vector score, so the result is the
-    top-k of (lexical matches) united with (vector top-k): both bounded sets, no pair table.
-    """
-    cv = hashed_embedding(chunks, "chunk_id", dim, digits)
-    qv = hashed_embedding(queries, "query_id", dim, digits)
-    nearest = vector_top_k(cv, qv, k, digits).select(
-        "query_id", "chunk_id", F.lit(0.0).alias("lexical")
-    )
-    lexical = all_terms_matches(score_pairs(chunks, queries)).select(
-        "query_id", "chunk_id", "lexical"
-    )
-    pool = nearest.unionByName(lexical).groupBy("query_id", "chunk_id").agg(
-        F.max("lexical").alias("lexical")
-    )
-    scored = vector_pair_scores(pool, cv, qv).withColumn(
-        "score",
-        F.round(0.5 * F.col("lexical") + 0.5 * F.coalesce(F.round("cosine", digits), F.lit(0.0)), 6),
-    )
-    return top_rows(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    normalisation or lexical filter; both come from one block index."""
+    index = BL.Retrieval(chunks, queries, embed or BL.HashedEmbedding(dim, digits))
+    return index.top("vector_plus_lexical", k, digits=digits)
 
 
 def approximate_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, bucket: float = 1.0,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidloom.functions import text as T
 from evidloom.functions import vectors as V
+from evidloom.operators import blocks as BL
 from evidloom.operators import retrieval as R
 from evidloom.plans.registry import query
 
@@ -109,34 +110,29 @@ def r1(v):
 SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS occurrences
 FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term""")
 def j11(v):
-    posts = R.query_postings(v("v_chunks"), R.query_terms(v("v_queries")))
-    return posts.groupBy("term").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences")
-    )
+    return _index(v).term_counts()
 
 
-def _pairs(v):
-    return R.score_pairs(v("v_chunks"), v("v_queries"))
+def _index(v, embed=None):
+    return BL.Retrieval(v("v_chunks"), v("v_queries"), embed)
 
 
 @query("r2_bm25_scores", f"""{PAIRS}
 SELECT query_id, count(*) AS chunks, round(sum(lexical), 4) AS total, round(max(lexical), 6) AS best
 FROM pairs GROUP BY query_id""")
 def r2(v):
-    return _pairs(v).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.round(F.sum("lexical"), 4).alias("total"),
-        F.round(F.max("lexical"), 6).alias("best"),
-    )
+    return _index(v).sums().select(
+        "query_id", F.col("n").alias("chunks"), F.round("total", 4).alias("total"), F.round("best", 6).alias("best"))
 
 
 @query("w1_bm25_top_k", _ranked("lexical"))
 def w1(v):
-    return R.top_k(_pairs(v), "lexical").select("query_id", "chunk_id", "score", "rank")
+    return _index(v).top("lexical").select("query_id", "chunk_id", "score", "rank")
 
 
 @query("r3_set_cosine_top_k", _ranked("semantic"))
 def r3(v):
-    return R.top_k(_pairs(v), "semantic").select("query_id", "chunk_id", "score", "rank")
+    return _index(v).top("semantic").select("query_id", "chunk_id", "score", "rank")
 
 
 _HYBRID = """0.5::DOUBLE * lexical / max(lexical) OVER (PARTITION BY query_id)
@@ -149,19 +145,17 @@ SELECT query_id, chunk_id, score, rank FROM (
          row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, chunk_id) AS rank
   FROM hyb) WHERE rank <= 5""")
 def r4(v):
-    hybrid = R.hybrid_scores(_pairs(v), v("v_queries"), score="mixed")
-    return R.top_k(hybrid, "mixed").select("query_id", "chunk_id", "score", "rank")
+    return _index(v).top("mixed").select("query_id", "chunk_id", "score", "rank")
 
 
 @query("w4_max_normalise", f"""{PAIRS}
 SELECT query_id, round(avg(x), 6) AS mean_share, round(min(x), 6) AS least_share
 FROM (SELECT query_id, lexical / max(lexical) OVER (PARTITION BY query_id) AS x FROM pairs) GROUP BY query_id""")
 def w4(v):
-    lexical_only = R.hybrid_scores(_pairs(v), v("v_queries"), weight=0.0, score="share")
-    return lexical_only.groupBy("query_id").agg(
-        F.round(F.avg("share"), 6).alias("mean_share"),
-        F.round(F.min("share"), 6).alias("least_share"),
-    )
+    top = F.when(F.col("best") == 0, F.lit(1.0)).otherwise(F.col("best"))
+    return _index(v).sums().select(
+        "query_id", F.round(F.col("total") / F.col("n") / top, 6).alias("mean_share"),
+        F.round(F.col("least") / top, 6).alias("least_share"))
 
 
 @query("r5_hashed_embedding", "WITH" + _embed("v_chunks", "chunk_id", "cv") + """
@@ -232,8 +226,7 @@ def f16(v):
 
 @query("r7_all_terms_filter", _ranked("lexical", where="overlap = nq"))
 def r7(v):
-    return R.top_k(R.all_terms_matches(_pairs(v)), "lexical").select(
-        "query_id", "chunk_id", "score", "rank")
+    return _index(v).top("all_terms").select("query_id", "chunk_id", "score", "rank")
 
 
 @query("r8_vector_plus_lexical", VECTORS + "," + PAIRS.strip()[4:] + """,
@@ -270,9 +263,8 @@ SELECT query_id, chunk_id, fused, merged_rank, section, final_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY merged_rank) AS final_rank FROM s WHERE section_rank <= 2)
 WHERE final_rank <= 5""")
 def r10(v):
-    cv, qv = _vectors(v)
-    lexical = R.top_k(_pairs(v), "lexical", k=40)
-    nearest = R.vector_top_k(cv, qv, k=40)
+    index = _index(v, BL.HashedEmbedding(digits=6))
+    lexical, nearest = index.top("lexical", k=40), index.top("vector", k=40)
     return R.fuse_candidates(lexical, nearest, v("v_chunks")).select(
         "query_id", "chunk_id", "fused", "merged_rank", "section", "final_rank")
 
@@ -317,8 +309,7 @@ good AS (SELECT query_id, count(*) FILTER (WHERE rank IS NOT NULL) AS retrieved,
 SELECT query_id, retrieved, spans, CASE WHEN spans = 0 THEN 'no_relevant_evidence' ELSE 'direct_support' END AS relation FROM good""")
 def k2(v):
     plans = R.query_plan(v("v_queries")).select("query_id", F.col("lexical_query").alias("text"))
-    pairs = R.score_pairs(v("v_chunks"), plans)
-    top = R.top_k(R.hybrid_scores(pairs, plans, score="mixed"), "mixed")
+    top = BL.Retrieval(v("v_chunks"), plans).top("mixed")
     spans = R.select_spans(v("v_spans"), v("documents").select("doc_id", "text"))
     checked = top.join(
         spans.select(F.col("doc_id").alias("chunk_id"), "status"), "chunk_id", "left"

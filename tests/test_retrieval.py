@@ -5,9 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from evidloom.operators import blocks as BL
 from evidloom.operators import retrieval as R
 
 CORPUS = [
@@ -65,7 +67,7 @@ def test_pair_scores_match_brute_force(spark):
 def test_large_query_side_gives_the_same_scores(spark, monkeypatch):
     chunks, queries = frames(spark, QUERIES)
     want = sorted(R.score_pairs(chunks, queries).collect())
-    monkeypatch.setattr(R, "fits", lambda *a, **k: False)
+    monkeypatch.setattr(BL, "fits", lambda *a, **k: False)
     got = sorted(R.score_pairs(chunks, queries).collect())
     assert [r[:4] for r in got] == [r[:4] for r in want]
     assert np.allclose([r.lexical for r in got], [r.lexical for r in want])
@@ -153,9 +155,107 @@ def test_no_text_crosses_an_exchange(spark):
 
     chunks, queries = frames(spark, ["bm25 retrieval", "vector search"])
     pairs = R.score_pairs(chunks, queries)
-    for df in (R.top_k(R.hybrid_scores(pairs, queries), "score"), R.term_statistics(chunks),
-               R.hashed_embedding(chunks, "chunk_id")):
+
+    def moved_by(df):
         plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
             df._jdf.queryExecution(), "formatted")
-        moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]\n", plan)
+        return re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]\n", plan)
+
+    for df in (R.top_k(R.hybrid_scores(pairs, queries), "score"), R.term_statistics(chunks)):
+        moved = moved_by(df)
         assert moved and not any(re.search(r"\btext#", columns) for columns in moved), moved
+    many = chunks.repartition(spark.sparkContext.defaultParallelism)
+    for df in (BL.embedded(many, "chunk_id"), BL.chunk_blocks(many)):
+        assert all("chunk_id" not in columns or "text" in columns for columns in moved_by(df))
+        assert len(moved_by(df)) == len(moved_by(many.select("text").mapInArrow(lambda b: b, "text string")))
+
+
+def test_index_is_built_from_one_reading_of_the_texts(spark, tmp_path):
+    chunks, queries = frames(spark, QUERIES)
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    index = BL.Retrieval(stored, queries, BL.HashedEmbedding())
+    for mode in BL.MODES:
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
+            index.top(mode)._jdf.queryExecution(), "formatted")
+        assert "/chunks]" not in plan and plan.count("MapInArrow") >= 1
+
+
+def large_case(seed=6):
+    rng = random.Random(seed)
+    pool = [f"w{i}" for i in range(60)]
+    chunks = [(f"c{i:03d}", " ".join(rng.choices(pool[:rng.choice([5, 20, 60])], k=rng.randint(0, 30)))) for i in range(300)]
+    chunks += [("n1", None), ("n2", ""), ("n3", "..."), *((f"d{i}", "w1 w2 w2 w3") for i in range(20))]
+    asks = [" ".join(rng.choices(pool, k=rng.randint(1, 6))) for _ in range(25)] + ["w1 w2", "", "zzz", "w3 zzz", None]
+    return chunks, list(enumerate(asks))
+
+
+@pytest.mark.parametrize(("query_rows", "block_rows", "vocabulary_rows"), [(2048, 512, 200_000), (2048, 16, 0), (7, 40, 200_000)])
+def test_every_ranking_equals_brute_force(spark, query_rows, block_rows, vocabulary_rows):
+    chunks, asks = large_case()
+    c = spark.createDataFrame(chunks, "chunk_id string, text string")
+    q = spark.createDataFrame(asks, "query_id int, text string")
+    embed = BL.HashedEmbedding()
+    index = BL.Retrieval(c, q, embed, query_rows, vocabulary_rows, block_rows)
+    docs = {i: words(t or "") for i, t in chunks}
+    vectors = dict(zip(docs, embed([t or "" for _, t in chunks]), strict=True))
+    n, known = len(docs), [len(words(t)) for _, t in chunks if t is not None]
+    avg = sum(known) / len(known)
+    df = Counter(w for d in docs.values() for w in set(d))
+    half_up = lambda x: math.floor(x * 1e6 + 0.5) / 1e6
+    want = {mode: {} for mode in BL.MODES}
+    for number, text in asks:
+        own = words(text or "")
+        lex, sem, full = {}, {}, {}
+        for i, d in docs.items():
+            common = set(own) & set(d)
+            if common:
+                tf = Counter(d)
+                lex[i] = sum(math.log(1 + (n - df[w] + .5) / (df[w] + .5)) * tf[w] * 2.5
+                             / (tf[w] + 1.5 * (.25 + .75 * len(d) / avg)) for w in own if tf[w])
+                sem[i] = len(common) / math.sqrt(len(set(own)) * len(set(d)))
+                if len(common) == len(set(own)):
+                    full[i] = lex[i]
+        v = embed([text or ""])[0]
+        cos = {i: half_up(float(v @ x)) for i, x in vectors.items() if x.any() and v.any()}
+        scores = {"lexical": lex, "semantic": sem, "all_terms": full, "vector": cos,
+                  "mixed": {i: .3 * sem[i] / max(sem.values()) + .7 * lex[i] / max(lex.values()) for i in lex},
+                  "vector_plus_lexical": {i: .5 * full.get(i, 0.0) + .5 * x for i, x in cos.items()}}
+        for mode, found in scores.items():
+            best = sorted((-half_up(s), i) for i, s in found.items() if s > 0 or mode.startswith("vector"))[:4]
+            want[mode][number] = [(rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    for mode in BL.MODES:
+        got = {number: [] for number, _ in asks}
+        for r in index.top(mode, k=4, weight=0.3).collect():
+            got[r.query_id].append((r["rank"], r.chunk_id, r.score))
+        for number, rows in got.items():
+            assert [x[:2] for x in sorted(rows)] == [x[:2] for x in want[mode][number]], (mode, number)
+            assert [x[2] for x in sorted(rows)] == pytest.approx([x[2] for x in want[mode][number]], abs=2e-6)
+
+
+def test_blocks_out_of_reach_are_skipped():
+    posts = [("x", [0, 1, 2], [9, 8, 7]), ("y", [0], [1])]
+
+    def block(rows, ids):
+        return BL.Block({
+            "ids": pa.scalar(ids, pa.list_(pa.int64())), "dl": pa.scalar([10, 10, 10], pa.list_(pa.int32())),
+            "nd": pa.scalar([5, 5, 5], pa.list_(pa.int32())), "terms": pa.scalar([r[0] for r in rows], pa.list_(pa.string())),
+            "counts": pa.scalar([len(r[1]) for r in rows], pa.list_(pa.int32())), "totals": pa.scalar([0] * len(rows), pa.list_(pa.int32())),
+            "slots": pa.scalar([s for r in rows for s in r[1]], pa.list_(pa.int32())),
+            "tfs": pa.scalar([t for r in rows for t in r[2]], pa.list_(pa.int32())), "vectors": pa.scalar([], pa.list_(pa.float64()))})
+
+    asks = BL.Queries(pa.table({"query_id": [1, 2], "nq": [1, 1], "terms": [["x"], ["y"]], "weights": [[1.0], [1.0]], "avg_len": [10.0, 10.0]}))
+    first = BL._top_of_block(asks, block(posts, [1, 2, 3]), "lexical", 2, 0.5, 6)
+    assert first.column("chunk_id").to_pylist() == [1, 2, 1]
+    # weaker for x: only the query that has not filled its places looks at it
+    second = BL._top_of_block(asks, block([("x", [0, 1], [1, 1]), ("y", [2], [1])], [4, 5, 6]), "lexical", 2, 0.5, 6)
+    assert second.column("query_id").to_pylist() == [2]
+    assert BL._top_of_block(asks, block([("x", [0], [1])], [7, 8, 9]), "lexical", 2, 0.5, 6) is None
+
+
+def test_embed_function_is_a_parameter(spark):
+    chunks = spark.createDataFrame([(1, "aa"), (2, "b"), (3, None)], "chunk_id int, text string")
+    queries = spark.createDataFrame([(9, "bb")], "query_id int, text string")
+    lengths = lambda texts: np.array([[len(t), t.count("b")] for t in texts], dtype=float)
+    got = R.vector_plus_lexical(chunks, queries, embed=lengths).collect()
+    assert [(r.chunk_id, r.score) for r in got] == [(2, 0.5), (1, round(0.5 * round(1 / math.sqrt(2), 6), 6))]
