@@ -494,3 +494,21 @@ def vector_blocks(chunks: DataFrame, rows: int = 4 * BLOCK_ROWS) -> DataFrame:
         build, f"ids array<{kind}>, vectors array<double>")
     return held.select("ids", none.alias("dl"), none.alias("nd"), F.array().cast("array<string>").alias("terms"),
                        *[none.alias(c) for c in ("counts", "totals", "slots", "tfs")], "vectors")
+
+
+def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6,
+                 query_rows: int = QUERY_BLOCK) -> DataFrame:
+    """Exact cosine top-k of ``queries(query_id, vector)`` over
+    ``chunks(chunk_id, vector)``.
+
+    Batches of chunks are multiplied as matrices with the queries and each batch keeps only its own top-k, so
+    pairs are never materialised.
+    """
+    id_type = dict(chunks.dtypes)["chunk_id"]
+    q_type = dict(queries.dtypes)["query_id"]
+    queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    part = meet(
+        vector_blocks(chunks), queries, lambda q, b: _top_of_block(q, b, "vector", k, 0.5, digits),
+        f"query_id {q_type}, chunk_id {id_type}, value double, overlap long", query_rows)
+    scored = part.select("query_id", "chunk_id", F.round("value", digits).alias("score"))
+    return top_rows(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

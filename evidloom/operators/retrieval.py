@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidloom.functions import text as T
-from evidloom.functions import vectors as V
 from evidloom.operators import blocks as BL
+from evidloom.operators.blocks import vector_top_k
+from evidloom.operators.neighbours import approximate_top_k
 from evidloom.operators.skew import top_rows
 from evidloom.session import fits
 
@@ -92,24 +93,6 @@ def hashed_embedding(rows: DataFrame, id_col: str, dim: int = 64,
     return BL.embedded(rows, id_col, BL.HashedEmbedding(dim, digits))
 
 
-def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, digits: int = 6,
-                 query_rows: int = BL.QUERY_BLOCK) -> DataFrame:
-    """Exact cosine top-k of ``queries(query_id, vector)`` over
-    ``chunks(chunk_id, vector)``.
-
-    Batches of chunks are multiplied as matrices with the queries and each batch keeps only its own top-k, so
-    pairs are never materialised.
-    """
-    id_type = dict(chunks.dtypes)["chunk_id"]
-    q_type = dict(queries.dtypes)["query_id"]
-    queries = queries.select("query_id", V.as_double(F.col("vector")).alias("vector"))
-    part = BL.meet(
-        BL.vector_blocks(chunks), queries, lambda q, b: BL._top_of_block(q, b, "vector", k, 0.5, digits),
-        f"query_id {q_type}, chunk_id {id_type}, value double, overlap long", query_rows)
-    scored = part.select("query_id", "chunk_id", F.round("value", digits).alias("score"))
-    return top_rows(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
 def vector_plus_lexical(chunks: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64,
                         digits: int = 6, embed: BL.Embed | None = None) -> DataFrame:
     """Half the vector score plus half the all-terms lexical score (0 when absent), without
@@ -118,48 +101,6 @@ def vector_plus_lexical(chunks: DataFrame, queries: DataFrame, k: int = 5, dim:
     return index.top("vector_plus_lexical", k, digits=digits)
 
 
-def approximate_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, bucket: float = 1.0,
-                      tables: int = 6, seed: int = 11) -> DataFrame:
-    """Random-projection LSH candidates on unit vectors, re-ranked by exact cosine.
-
-    Identical vectors are collapsed first and keep their ``k`` smallest ids, so a block of copies
-    costs one candidate per query; no other candidate can reach the top-k through such a block.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame) -> DataFrame:
-        v = V.as_double(F.col("vector"))
-        return df.withColumn("vector", F.transform(v, lambda x: x / V.norm(v))).where(V.norm(v) > 0)
-
-    keyed = unit(chunks).withColumn("vkey", F.xxhash64("vector"))
-    copies = top_rows(keyed.select("vkey", "vector", "chunk_id"), ["vkey", "vector"],
-                      [F.asc("chunk_id")], k, "copy_no")
-    distinct_vectors = copies.where("copy_no = 1").select(
-        F.col("chunk_id").alias("group_id"), "vkey", "vector", array_to_vector("vector").alias("features")
-    )
-    qs = unit(queries).select(
-        "query_id", F.col("vector").alias("qv"), array_to_vector("vector").alias("features")
-    )
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    )
-    model = lsh.fit(distinct_vectors)
-    near = model.approxSimilarityJoin(distinct_vectors, qs, 2.01, "distance")
-    cand = near.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.vkey").alias("vkey"),
-        F.col("datasetA.vector").alias("vector"),
-        F.round(V.dot(F.col("datasetA.vector"), F.col("datasetB.qv")), 6).alias("score"),
-    )
-    # every distinct vector stands for at least one chunk; equal scores at the border all stay
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    best = cand.distinct().withColumn("pos", F.rank().over(place)).where(F.col("pos") <= k).drop("pos")
-    rows = best.join(copies.select("vkey", "vector", "chunk_id"), ["vkey", "vector"])
-    return top_rows(rows.select("query_id", "chunk_id", "score"), ["query_id"],
-                    [F.desc("score"), F.asc("chunk_id")], k)
-
-
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact top-k that the approximate one found, per query."""
     found = exact.select("query_id", "chunk_id").join(

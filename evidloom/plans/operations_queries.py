@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidloom.functions import text as T
 from evidloom.operators import governance as G
 from evidloom.operators import lifecycle as C
+from evidloom.operators.families import leaking_families
 from evidloom.plans.governance_queries import GRADE, RETENTION, retention
 from evidloom.plans.registry import query
 from evidloom.session import new_table_path, through_table
@@ -390,6 +391,20 @@ def d9(v):
     return C.split_leakage(rows).select("first_doc", "splits", "members")
 
 
+@query("d9_near_families", f"""
+WITH RECURSIVE w AS (SELECT doc_id, string_split(norm, ' ') AS ws FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(lower(text)), '{_SP}', ' ', 'g'), '^ | $', '', 'g') AS norm FROM documents) WHERE norm <> ''),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 4 * count(*) >= 3 * (na.n + nb.n - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+f AS (SELECT x, min(y) AS family FROM r GROUP BY x)
+SELECT family, count(DISTINCT x % 4) AS splits, count(*) AS members FROM f GROUP BY family HAVING count(DISTINCT x % 4) > 1""")
+def d9_near(v):
+    return leaking_families(v("documents").select("doc_id", (F.col("doc_id") % 4).alias("split"), "text"))
+
+
 @query("e10_retention_sweep", f"SELECT state, count(*) AS n FROM ({RETENTION}) WHERE state IN ('purge_due', 'expiring') GROUP BY state")
 def e10(v):
     due = retention(v).where("state IN ('purge_due', 'expiring')")

@@ -8,7 +8,9 @@ from evidloom.functions import text as T
 from evidloom.functions import vectors as V
 from evidloom.operators import blocks as BL
 from evidloom.operators import retrieval as R
+from evidloom.operators.neighbours import NeighbourIndex
 from evidloom.plans.registry import query
+from evidloom.session import through_table
 
 _TOK = r"list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))"
 
@@ -240,14 +242,34 @@ def r8(v):
         "query_id", "chunk_id", "score", "rank")
 
 
+def _neighbours(v):
+    """Index, queries, probes that reach the target recall, exact and approximate rows."""
+    chunks, queries = _embedding_chunks(v), through_table(_label_centroids(v), "label-centroids")
+    index = NeighbourIndex(chunks, k=10)
+    probes = index.tuned_probes(chunks, queries)
+    return index, queries, probes, R.vector_top_k(chunks, queries, k=10), index.top_k(queries, probes)
+
+
 @query("r9_approximate_neighbours")
 def r9(v):
-    chunks, queries = _embedding_chunks(v), _label_centroids(v)
-    exact = R.vector_top_k(chunks, queries, k=10)
-    approx = R.approximate_top_k(chunks, queries, k=10)
+    _, _, _, exact, approx = _neighbours(v)
     return R.recall_at_k(approx, exact).select("query_id", "n", F.round("recall", 6).alias("recall"))
 
 
+@query("r9_index_report", _CENTROIDS + """,
+s AS (SELECT query_id, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) AS score FROM q, embeddings),
+best AS (SELECT query_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM s) WHERE rank <= 10)
+SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(min(score), 6) AS last, TRUE AS recall_reached, TRUE AS fewer_candidates
+FROM best GROUP BY query_id""")
+def r9_report(v):
+    index, queries, probes, exact, approx = _neighbours(v)
+    recall = R.recall_at_k(approx, exact).agg(F.avg("recall")).scalar()
+    share = index.candidate_share(queries, probes).select("share").scalar()
+    return exact.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("last")).withColumn(
+        "recall_reached", recall >= 0.9).withColumn("fewer_candidates", share < 1.0)
+
+
 @query("r10_candidate_fusion", VECTORS + "," + PAIRS.strip()[4:] + """,
 l AS (SELECT query_id, chunk_id, round(lexical, 6) AS lex_score, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 6) DESC, chunk_id) AS r FROM pairs),
 e AS (SELECT query_id, chunk_id, cosine AS vec_score, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM vpairs),
