@@ -7,6 +7,7 @@ so a restart from the checkpoint leaves the same table.  Nothing is kept on the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -17,11 +18,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 from evidloom import vocab
 from evidloom.operators import governance as G
 from evidloom.operators import lifecycle as C
-from evidloom.operators.skew import top_rows
 from evidloom.session import new_table_path
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATENESS = "10 minutes"
+DAY_MS = 86_400_000
+FEED_PARTS = 64
 
 
 def event_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
@@ -35,13 +37,24 @@ def event_stream(spark: SparkSession, folder: str, schema: StructType, pattern:
 
 
 def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
-        mode: str = "append") -> None:
-    """Process everything that is available, then stop."""
+        mode: str = "append"):
+    """Process everything that is available, then stop; the finished query, with the progress of its batches."""
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         .foreachBatch(write).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
+
+
+def dropped_rows(query) -> list[int]:
+    """Rows that came too late for the watermark, for each finished micro-batch of a query with state."""
+    return [sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in json.loads(p.json)["stateOperators"]) for p in query.recentProgress]
+
+
+def state_rows(query) -> list[int]:
+    """Rows held in state after each finished micro-batch."""
+    return [sum(int(s.get("numRowsTotal", 0)) for s in json.loads(p.json)["stateOperators"]) for p in query.recentProgress]
 
 
 def batch_folder(path: str, batch_id: int) -> str:
@@ -125,37 +138,55 @@ def stage_ledger(stream: DataFrame) -> DataFrame:
 class LifecycleProcessor(StatefulProcessor):
     """E5: recorded states of one analysis in event-time order.
 
-    Rows wait in state until the watermark passes them, so files may arrive out of order.  The
-    wait list holds what arrived within the lateness, and one micro-batch at most.
+    Rows wait in state until the watermark passes them, so files may arrive out of order.  New rows are appended to the
+    wait list; it holds what arrived within the lateness, and one micro-batch at most.  ``keep_ms`` after its
+    last move a finished analysis leaves the state; what comes still later starts anew.
     """
 
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status string")
+        self.last = handle.getValueState("last", "status string, at_ms bigint")
         self.waiting = handle.getListState("waiting", "event_id bigint, at_us bigint, status string")
-
-    def _set_timer(self, rows: list) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if rows:
-            self.handle.registerTimer(min(r[1] for r in rows) // 1000)
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+
+    def _wake(self, at_ms: int | None) -> None:
+        """One timer at most: at the earliest waiting row, or at the end of a finished analysis."""
+        set_for = self.timer.get()[0] if self.timer.exists() else None
+        if set_for == at_ms:
+            return
+        if set_for is not None:
+            self.handle.deleteTimer(set_for)
+        if at_ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at_ms)
+            self.timer.update((at_ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        held += [(r.event_id, r.at_us, r.status) for r in rows]
-        self.waiting.put(held)
-        self._set_timer(held)
+        new = [(r.event_id, r.at_us, r.status) for r in rows]
+        first = min(r[1] for r in new) // 1000
+        if self.waiting.exists():
+            first = min(first, self.timer.get()[0])
+        self.waiting.appendList(new)
+        self._wake(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs()
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        if not held:
+            self.last.clear()
+            return iter([])
         ready = sorted((r for r in held if r[1] // 1000 <= passed), key=lambda r: (r[1], r[0]))
         rest = [r for r in held if r[1] // 1000 > passed]
-        previous = self.last.get()[0] if self.last.exists() else None
+        previous, at_ms = self.last.get() if self.last.exists() else (None, 0)
         edges = set(vocab.STATE_EDGES)
         out = []
-        for event_id, _, status in ready:
+        for event_id, at_us, status in ready:
             if previous is None:
                 outcome = "start"
             elif previous == status:
@@ -163,26 +194,29 @@ class LifecycleProcessor(StatefulProcessor):
             else:
                 outcome = "accepted" if (previous, status) in edges else "invalid"
             out.append(Row(event_id=event_id, analysis_id=key[0], status=status, previous=previous, outcome=outcome))
+            at_ms = at_us // 1000
             if outcome != "invalid":
                 previous = status
         if previous is not None:
-            self.last.update((previous,))
+            self.last.update((previous, at_ms))
         if rest:
             self.waiting.put(rest)
+            self._wake(min(r[1] for r in rest) // 1000)
         else:
             self.waiting.clear()
-        self._set_timer(rest)
+            if previous is not None and not vocab.STATE_MOVES.get(previous):
+                self._wake(at_ms + self.keep_ms)
         return iter(out)
 
     def close(self) -> None:
         pass
 
 
-def lifecycle(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def lifecycle(stream: DataFrame, lateness: str = LATENESS, keep_ms: int = 30 * DAY_MS) -> DataFrame:
     """E5 on (event_id, analysis_id, occurred_at TIMESTAMP, status)."""
     rows = stream.withWatermark("occurred_at", lateness).withColumn("at_us", F.unix_micros("occurred_at"))
     return rows.groupBy("analysis_id").transformWithState(
-        LifecycleProcessor(),
+        LifecycleProcessor(keep_ms),
         "event_id bigint, analysis_id bigint, status string, previous string, outcome string",
         "Append", "eventTime")
 
@@ -193,41 +227,82 @@ def alert_counts(stream: DataFrame, counts: Callable[[DataFrame], DataFrame], la
 
 
 def feed(stream: DataFrame, terminal: list[str], path: str, checkpoint: str) -> None:
-    """Events per analysis up to and with its first terminal one.
+    """Events per analysis up to and with its first terminal one, whatever order the files come in.
 
     ``stream`` carries analysis_id, sequence, status.  Each batch notes the terminal sequences that it has
-    seen in a narrow table beside the feed, and later batches read only that table: an event comes
-    out when it lies at or before the first terminal one known by then, whenever it arrives.
+    seen in a narrow table beside the feed.  An event comes out when it lies at or before the first terminal one known by
+    then; when an earlier terminal one arrives, events beyond it that are out already are withdrawn: they are
+    written to ``path-withdrawn``, and :func:`read_feed` leaves them out.  The feed is parted by a hash of the analysis,
+    so a withdrawal reads only the parts of the analyses concerned.
     """
-    ended_path = f"{path}-ended"
+    ended_path, withdrawn_path = f"{path}-ended", f"{path}-withdrawn"
     noted = stream.select("analysis_id", F.col("sequence").alias("stop")).schema
+    fed = StructType([*stream.schema.fields, StructField("part", LongType())])
+    part = F.pmod(F.xxhash64("analysis_id"), F.lit(FEED_PARTS)).alias("part")
 
     def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
         rows.persist()
         now = rows.where(F.col("status").isin(*terminal)).groupBy("analysis_id").agg(F.min("sequence").alias("stop"))
         now.write.mode("overwrite").parquet(batch_folder(ended_path, batch_id))
-        known = read_batches(rows.sparkSession, ended_path, noted, before=batch_id + 1)
-        stop = known.groupBy("analysis_id").agg(F.min("stop").alias("stop"))
+        stops = lambda before: read_batches(spark, ended_path, noted, before).groupBy("analysis_id").agg(
+            F.min("stop").alias("stop"))
+        stop = stops(batch_id + 1)
         out = rows.join(stop, "analysis_id", "left").where("stop IS NULL OR sequence <= stop").drop("stop")
-        out.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        out.select("*", part).write.mode("overwrite").partitionBy("part").parquet(batch_folder(path, batch_id))
+        if batch_id > 0:
+            ended = now.join(stops(batch_id).withColumnRenamed("stop", "before"), "analysis_id", "left").where(
+                "before IS NULL OR stop < before").select("analysis_id", "stop", "before", part)
+            parts = [r.part for r in ended.select("part").distinct().collect()]
+            earlier = read_batches(spark, path, fed, batch_id).where(F.col("part").isin(parts))
+            # what lay beyond an earlier stop is out of the feed already
+            gone = earlier.join(ended.drop("part"), "analysis_id").where(
+                "sequence > stop AND (before IS NULL OR sequence <= before)")
+            gone.select(stream.columns).write.mode("overwrite").parquet(batch_folder(withdrawn_path, batch_id))
         rows.unpersist()
 
     run(stream, write, checkpoint)
 
 
+def read_feed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The feed as it stands: all events that came out, without those beyond the first terminal event known now."""
+    kind = {f.name: f.dataType for f in schema.fields}
+    noted = StructType([StructField("analysis_id", kind["analysis_id"]), StructField("stop", kind["sequence"])])
+    stop = read_batches(spark, f"{path}-ended", noted).groupBy("analysis_id").agg(F.min("stop").alias("stop"))
+    fed = StructType([*schema.fields, StructField("part", LongType())])
+    rows = read_batches(spark, path, fed).join(stop, "analysis_id", "left")
+    return rows.where("stop IS NULL OR sequence <= stop").select(*schema.names)
+
+
+class FirstOfKey(StatefulProcessor):
+    """The first row of a key, by time and id within a batch; a key that has been seen gives nothing."""
+
+    def __init__(self, columns: list[str], order: list[str]) -> None:
+        self.columns, self.order = columns, order
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "yes boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            return iter([])
+        self.seen.update((True,))
+        first = min(rows, key=lambda r: tuple(r[c] for c in self.order))
+        return iter([Row(**{c: first[c] for c in self.columns})])
+
+    def close(self) -> None:
+        pass
+
+
 def feedback_intake(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """First feedback per (workspace, key) with its queue priority; repeats of any age are
-    ignored by looking into the table written so far."""
+    """First feedback per (workspace, key) with its queue priority; repeats of any age are ignored.
+
+    A key that has been taken is one small state row, looked up by key: a batch reads nothing of what was
+    written before.
+    """
     keys = ["workspace_id", "idempotency_key"]
     urgent = F.col("category").isin("source_evidence", "reference_resolution")
     queued = stream.withColumn("priority_score", F.when(urgent, 90.0).otherwise(50.0))
-    schema = queued.schema
-
-    def write(rows: DataFrame, batch_id: int) -> None:
-        first = top_rows(rows, keys, [F.asc("created_at"), F.asc("feedback_id")], 1, "at").drop("at")
-        if batch_id > 0:
-            earlier = read_batches(rows.sparkSession, path, schema, before=batch_id).select(*keys)
-            first = first.join(earlier, keys, "left_anti")
-        first.write.mode("overwrite").parquet(batch_folder(path, batch_id))
-
-    run(queued, write, checkpoint)
+    first = queued.groupBy(*keys).transformWithState(
+        FirstOfKey(queued.columns, ["created_at", "feedback_id"]), queued.schema, "Append", "None")
+    run(first, append_batches(path), checkpoint)

@@ -59,7 +59,7 @@ def test_feed_stops_at_the_first_terminal_event_across_batches_and_restart(spark
     W.feed(shaped(), ["failed", "completed"], path, mark)
     write_files(spark, folder, rows[120:], 3)
     W.feed(shaped(), ["failed", "completed"], path, mark)
-    got = {r.event_id for r in W.read_batches(spark, path, shaped().schema).collect()}
+    got = {r.event_id for r in W.read_feed(spark, path, shaped().schema).collect()}
     want, ended = set(), set()
     for event_id, analysis, _, status, _ in rows:
         if analysis not in ended:
@@ -114,3 +114,54 @@ def test_stage_ledger_equals_batch(spark, folder):
     got = W.collect_to_table(W.stage_ledger(shaped(stream(spark, folder))), "ledger", "update", keys)
     want = C.stage_attempts(shaped(spark.read.parquet(folder)), *keys, ["occurred_at", "event_id"])
     assert sorted(got.select(*keys, "status", "events").collect()) == sorted(want.select(*keys, "status", "events").collect())
+
+
+def test_feed_is_the_same_for_any_order_of_files(spark):
+    """Sequences 1 and 3 come first, the terminal 2 later: 3 is withdrawn."""
+    parts = [[(1, 1, "created"), (1, 3, "parsing"), (2, 5, "completed"), (2, 1, "created")],
+             [(1, 2, "failed"), (2, 9, "parsing"), (3, 1, "created")],
+             [(1, 4, "completed"), (2, 4, "failed"), (2, 3, "parsing"), (3, 2, "validating")]]
+    found, gone = set(), {}
+    for turn in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        folder, path, mark = (new_table_path(spark, n) for n in ("events", "feed", "mark"))
+        for n in turn:
+            spark.createDataFrame([(s * 10 + a, a, START, status, str(s)) for a, s, status in parts[n]], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        rows = stream(spark, folder).select("analysis_id", F.col("idempotency_key").cast("int").alias("sequence"), "status")
+        W.feed(rows, ["failed", "completed"], path, mark)
+        found.add(tuple(sorted((r.analysis_id, r.sequence) for r in W.read_feed(spark, path, rows.schema).collect())))
+        gone[tuple(turn)] = sorted((r.analysis_id, r.sequence) for r in W.read_batches(spark, f"{path}-withdrawn", rows.schema).collect())
+    assert found == {((1, 1), (1, 2), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2))}
+    assert gone[0, 1, 2] == [(1, 3), (2, 5)]
+
+
+def test_finished_analyses_leave_the_state(spark, folder):
+    """Ten files, each with new analyses that end: state rows stay level; a row behind the watermark is counted."""
+    for n in range(10):
+        at = START + dt.timedelta(hours=n)
+        rows = [(100 * n + 2 * i + k, 50 * n + i, at + dt.timedelta(minutes=i % 5, seconds=k), ("created", "cancelled")[k], "")
+                for i in range(20) for k in (0, 1)]
+        if n == 9:
+            rows.append((5000, 7, START, "created", ""))
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    shaped = stream(spark, folder).select("event_id", "analysis_id", "occurred_at", "status")
+    path, mark = new_table_path(spark, "life"), new_table_path(spark, "mark")
+    query = W.run(W.lifecycle(shaped, keep_ms=60_000), W.append_batches(path), mark)
+    held = [n for n in W.state_rows(query) if n]
+    assert len(held) >= 9 and max(held[5:]) <= max(held[:4])
+    assert sum(W.dropped_rows(query)) == 1
+    got = W.read_batches(spark, path, W.lifecycle(shaped).schema)
+    assert {(r.outcome, r.previous) for r in got.collect()} == {("start", None), ("accepted", "created")}
+
+
+def test_feedback_keeps_one_small_row_a_key(spark, folder):
+    rows = events(400)
+    path, mark = new_table_path(spark, "feedback"), new_table_path(spark, "mark")
+    shaped = lambda: stream(spark, folder).select(
+        F.col("event_id").alias("feedback_id"), F.lit("w").alias("workspace_id"), "idempotency_key",
+        F.col("occurred_at").alias("created_at"), F.lit("other").alias("category"))
+    sizes = []
+    for part in range(4):
+        write_files(spark, folder, rows[part * 100:part * 100 + 100], 1)
+        W.feedback_intake(shaped(), path, mark)
+        sizes.append(W.read_batches(spark, path, shaped().withColumn("priority_score", F.lit(0.0)).schema).count())
+    assert sizes == [50, 50, 50, 50]
