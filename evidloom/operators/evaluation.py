@@ -427,6 +427,17 @@ def selective_curve(rows: DataFrame, cells: int = 256) -> DataFrame:
         (kept / whole.scalar()).alias("coverage"), precision.alias("precision"), (1 - precision).alias("risk"))
 
 
+def named_slices(rows: DataFrame, slices: list[list[str]], *aggs: Column) -> DataFrame:
+    """Aggregates of every named slice (a list of columns) from one pass over the rows.
+
+    Grouping sets with mergeable aggregates; ``slice`` names the columns that a row is cut by, the other ones are null.
+    """
+    columns = list(dict.fromkeys(c for own in slices for c in own))
+    held = rows.groupingSets([[F.col(c) for c in own] for own in slices], *columns).agg(
+        F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns]).alias("slice"), *aggs)
+    return held.select("slice", *[c for c in held.columns if c != "slice"])
+
+
 def metric_slices(rows: DataFrame, by: list[str]) -> DataFrame:
     """Accuracy and mean intent F1 with all subtotals of the slicing columns."""
     return rows.cube(*by).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidloom import vocab
 from evidloom.functions import text as T
+from evidloom.operators.evaluation import named_slices
 from evidloom.operators.skew import attach_groups, top_rows
 from evidloom.session import through_table
 
@@ -397,6 +398,17 @@ def quality_rates(links: DataFrame, grain: str = "month") -> DataFrame:
         rate(F.col("blocking_code").isNotNull()).alias("block_rate"), rate(F.col("corrected")).alias("correction_rate"))
 
 
+def quality_slices(links: DataFrame, slices: list[list[str]]) -> DataFrame:
+    """The rates of :func:`quality_rates` for each named slice (domain, provider, day, parse grade, or several
+    columns), all in one pass, with the slice's share of all links: over grades that is their distribution."""
+    rate = lambda c: F.avg(c.cast("double"))
+    total = links.agg(F.count(F.lit(1))).scalar()
+    rows = named_slices(
+        links, slices, F.count(F.lit(1)).alias("n"), rate(F.col("abstention_code").isNotNull()).alias("abstention_rate"),
+        rate(F.col("blocking_code").isNotNull()).alias("block_rate"), rate(F.col("corrected")).alias("correction_rate"))
+    return rows.withColumn("share", F.col("n") / total)
+
+
 def review_priority(links: DataFrame) -> DataFrame:
     """Operational triage of links.
 

@@ -408,6 +408,27 @@ def a25(v):
     return E.metric_slices(rows, ["domain", "relation"]).select("domain", "relation", "gid", "n", *r6("accuracy", "intent_f1"))
 
 
+_SECTION = "CASE {0} WHEN 'method_adoption' THEN 'methods' WHEN 'result_support' THEN 'results' ELSE 'introduction' END"
+_CLOSED = "CASE WHEN relation = 'inaccessible_source' THEN 'not_accessible' ELSE 'open_access_full_text' END"
+
+
+@query("a25_named_slices", """
+WITH j AS (SELECT g.relation = p.relation AS correct, g.domain, g.relation, """ + _SECTION.format("g.citation_intents[1]") + """ AS section,
+  """ + _F1.format("g.citation_intents", "p.citation_intents") + """ AS f1 FROM v_gold g JOIN v_predictions p USING (case_id)),
+k AS (SELECT *, """ + _CLOSED + """ AS access FROM j)
+SELECT concat_ws(',', CASE WHEN grouping(domain) = 0 THEN 'domain' END, CASE WHEN grouping(relation) = 0 THEN 'relation' END,
+         CASE WHEN grouping(section) = 0 THEN 'section' END, CASE WHEN grouping(access) = 0 THEN 'access' END) AS slice,
+       domain, relation, section, access, count(*) AS n, round(avg(correct::INT::DOUBLE), 6) AS accuracy, round(avg(f1), 6) AS intent_f1
+FROM k GROUP BY GROUPING SETS ((domain), (relation), (section), (access), (domain, access))""")
+def a25_named(v):
+    rows = _judged(v).withColumn("intent_f1", S.set_f1(F.col("citation_intents"), F.col("p_intents"))).withColumn(
+        "section", F.expr(_SECTION.format("citation_intents[0]"))).withColumn("access", F.expr(_CLOSED))
+    slices = [["domain"], ["relation"], ["section"], ["access"], ["domain", "access"]]
+    found = E.named_slices(rows, slices, F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"),
+                           F.avg("intent_f1").alias("intent_f1"))
+    return found.select("slice", "domain", "relation", "section", "access", "n", *r6("accuracy", "intent_f1"))
+
+
 _COMP = {
     "multi_reference_clusters": "n_links > 5", "inaccessible_or_abstract_only": "inaccessible > 0",
     "scope_overgeneral_contradiction": "scoped > 0", "method_transformation": "changed",

@@ -490,6 +490,27 @@ def a27(v):
         F.round(c, 6).alias(c) for c in ("abstention_rate", "block_rate", "correction_rate")])
 
 
+_GRADE = "CASE WHEN parse >= 0.98 THEN 'a' WHEN parse >= 0.95 THEN 'b' WHEN parse >= 0.93 THEN 'c' ELSE 'd' END"
+_PROVIDER = "CASE analysis_run_id % 3 WHEN 0 THEN 'crossref' WHEN 1 THEN 'openalex' ELSE 'semanticscholar' END"
+
+
+@query("a27_quality_slices", f"""
+WITH l AS (SELECT domain, {_PROVIDER} AS provider, CAST(created_at AS DATE) AS day, {_GRADE} AS grade, abstention_code, blocking_code,
+           explanation_grounding IS NULL AS corrected FROM v_links)
+SELECT concat_ws(',', CASE WHEN grouping(domain) = 0 THEN 'domain' END, CASE WHEN grouping(provider) = 0 THEN 'provider' END,
+         CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(grade) = 0 THEN 'grade' END) AS slice,
+       domain, provider, day, grade, count(*) AS n, round(avg((abstention_code IS NOT NULL)::INT::DOUBLE), 6) AS abstention_rate,
+       round(avg((blocking_code IS NOT NULL)::INT::DOUBLE), 6) AS block_rate, round(avg(corrected::INT::DOUBLE), 6) AS correction_rate,
+       round(count(*)::DOUBLE / (SELECT count(*) FROM l), 6) AS share
+FROM l GROUP BY GROUPING SETS ((domain), (provider), (day), (grade), (provider, grade))""")
+def a27_slices(v):
+    rows = v("v_links").withColumn("corrected", F.col("explanation_grounding").isNull()).withColumns({
+        "provider": F.expr(_PROVIDER), "day": F.col("created_at").cast("date"), "grade": F.expr(_GRADE)})
+    found = G.quality_slices(rows, [["domain"], ["provider"], ["day"], ["grade"], ["provider", "grade"]])
+    return found.select("slice", "domain", "provider", "day", "grade", "n", *[
+        F.round(c, 6).alias(c) for c in ("abstention_rate", "block_rate", "correction_rate", "share")])
+
+
 @query("o5_review_priority", CONFIDENCE + """
 SELECT link_id, CASE WHEN blocking_code IS NOT NULL OR (evidence_relation IN ('direct_support', 'partial_support', 'contradicts') AND access_level IN ('metadata_only', 'not_accessible')) THEN 'critical'
   WHEN evidence_relation IN ('contradicts', 'overgeneralized', 'scope_mismatch') THEN 'high'
