@@ -174,6 +174,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: in
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    leaks = find_leaks(docs, benchmark, **settings).select(*ROW).distinct().hint("merge")
-    keys = docs.withColumns({c: k for c, k in zip(("__r1", "__r2"), row_key(), strict=True)})
-    return keys.join(leaks, (F.col("__r1") == F.col("r1")) & (F.col("__r2") == F.col("r2")), "left_anti").select(*docs.columns)
+    # names that no column of ``docs`` has, whatever it is called
+    own = ["".join(["_", *docs.columns, c]) for c in ROW]
+    leaks = find_leaks(docs, benchmark, **settings).select(*ROW).distinct().toDF(*own).hint("merge")
+    keys = docs.withColumns(dict(zip([f"{c}_" for c in own], row_key(), strict=True)))
+    same = [F.col(f"`{c}_`") == F.col(f"`{c}`") for c in own]
+    return keys.join(leaks, same[0] & same[1], "left_anti").select(*docs.columns)

@@ -87,3 +87,13 @@ def test_blocks_find_every_print_within_the_radius():
             for b in rng.sample(range(64), radius):
                 y ^= 1 << b
             assert any((x >> lo) & mask == (y >> lo) & mask for lo, mask in parts)
+
+
+def test_clashing_columns(spark):
+    passage = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, passage, 5, "x", 1), (2, "clean text", 6, "y", 2)],
+                                 "doc_id long, text string, r1 int, r2 string, __r1 int")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    kept = drop_leaks(docs, items)
+    assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean text", 6, "y", 2)]
