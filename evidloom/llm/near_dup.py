@@ -177,7 +177,8 @@ class Blocks:
 
     def __init__(self, part: dict[str, np.ndarray], length: int, percent: int) -> None:
         self.ids, self.c, self.n, self.block = (part[x] for x in ("id", "c", "n", "block"))
-        self.low = part["low"].reshape(-1, length)
+        # without signatures every pair of fitting sizes counts as near
+        self.low = part["low"].reshape(-1, length) if "low" in part else None
         self.one_block = part["i"][0] == part["j"][0]
         self.percent = percent
         t = percent / 100
@@ -194,7 +195,9 @@ class Blocks:
             other &= self.block != self.block[x]
         other &= np.minimum(self.n, self.n[x]) * 100 >= np.maximum(self.n, self.n[x]) * self.percent
         at = np.flatnonzero(other)
-        return at[(self.low[at] == self.low[x]).sum(axis=1) >= self.least] if len(at) else at
+        if self.low is None or not len(at):
+            return at
+        return at[(self.low[at] == self.low[x]).sum(axis=1) >= self.least]
 
     def hopeful(self) -> np.ndarray:
         """Positions of all rows that may be close to a row of another component."""
@@ -244,23 +247,25 @@ def _buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
 
 def _part(table: pa.Table, columns: list[str]) -> tuple[dict[str, np.ndarray], pa.Table]:
     part = {x: table.column(x).to_numpy() for x in columns}
-    part["low"] = np.frombuffer(b"".join(table.column("low_bytes").to_pylist()), dtype=np.uint8)
+    if "low_bytes" in table.column_names:
+        part["low"] = np.frombuffer(b"".join(table.column("low_bytes").to_pylist()), dtype=np.uint8)
     return part, table
 
 
 _MET = ["key", "i", "j", "block", "id", "c", "n"]
-_MET_SCHEMA = "key long, i int, j int, block int, id long, c long, n long, low_bytes binary"
+_MET_SCHEMA = "key long, i int, j int, block int, id long, c long, n long"
 
 
 def _hopeful_rows(rows: DataFrame, length: int, percent: int) -> DataFrame:
-    """The rows of ``_MET_SCHEMA``, sorted by (key, i, j), that may be close to another one: rows, never pairs."""
+    """The rows of ``_MET_SCHEMA`` with ``low_bytes``, sorted by (key, i, j), that may be close to another one: rows, never
+    pairs, and without the bytes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, table in _buckets(batches, _MET):
             if len(part["id"]) > 1:
                 at = Blocks(part, length, percent).hopeful()
                 if len(at):
-                    yield from table.take(pa.array(at)).combine_chunks().to_batches()
+                    yield from table.select(_MET).take(pa.array(at)).combine_chunks().to_batches()
 
     return rows.mapInArrow(scan, _MET_SCHEMA)
 
@@ -325,7 +330,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         met = met.join(firsts.select("id", "low_bytes").dropDuplicates(["id"]), "id").select(*_MET, "low_bytes")
         met = met.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
         hopeful = write_table(_hopeful_rows(met, length, percent), "hopeful_rows")[0]
-        full = hopeful.join(spark.table(sets_name).hint("merge"), "id").select(*_MET, "low_bytes", "shingles")
+        full = hopeful.join(spark.table(sets_name).hint("merge"), "id").select(*_MET, "shingles")
         return _last_links(full.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j"), length, percent)
 
     # each document against the least pivot of its buckets
