@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         groups, (filled.h1 == groups.h1) & (filled.h2 == groups.h2) & (filled.id == groups.rep), "left_semi")
     bucketed = firsts.select("id", F.explode("keys").alias("key"))
     shared = bucketed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members, _ = write_table(bucketed.join(shared.select("key", "low"), "key"), "band_members")
+    members, members_path = write_table(bucketed.join(shared.select("key", "low"), "key"), "band_members")
     # the sets of documents that share a bucket, bucketed by id: verification moves only pairs
     wanted = members.select("id").distinct().hint("merge")
     sets_name, buckets = f"shingle_sets_{uuid.uuid4().hex}", spread(spark)
@@ -306,20 +306,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
     (_sets(texts.join(wanted, "id", "left_semi"), size).repartition(buckets, "id").write.bucketBy(buckets, "id")
      .sortBy("id").option("path", sets_path).saveAsTable(sets_name))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs ``a, b`` whose full sets reach the threshold."""
+    def verified(pairs: DataFrame) -> tuple[DataFrame, str]:
+        """Those of the distinct pairs ``a, b`` whose full sets reach the threshold, and the table's path."""
         sets = spark.table(sets_name).hint("merge")
         first = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         both = first.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         both = both.where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent)
         common = F.size(F.array_intersect("sa", "sb"))
         together = F.size("sa") + F.size("sb") - common
-        return write_table(both.where(common * 100 >= together * percent).select("a", "b").distinct(), "links")[0]
+        return write_table(both.where(common * 100 >= together * percent).select("a", "b").distinct(), "links")
 
-    def last_links(open_rows: DataFrame) -> DataFrame:
+    def last_links(open_rows: DataFrame) -> tuple[DataFrame, str]:
         """Links between components from all pairs of a bucket, looked at and verified inside tasks."""
         sizes = firsts.select("id", "n").dropDuplicates(["id"])
-        sized, _ = write_table(open_rows.join(sizes, "id").select("key", "id", "c", "n"), "open_rows")
+        sized, sized_path = write_table(open_rows.join(sizes, "id").select("key", "id", "c", "n"), "open_rows")
         totals = sized.groupBy("key").agg(
             F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -329,13 +329,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
         met = met.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "c", "n")
         met = met.join(firsts.select("id", "low_bytes").dropDuplicates(["id"]), "id").select(*_MET, "low_bytes")
         met = met.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        hopeful = write_table(_hopeful_rows(met, length, percent), "hopeful_rows")[0]
+        hopeful, hopeful_path = write_table(_hopeful_rows(met, length, percent), "hopeful_rows")
+        delete_path(spark, sized_path)
         full = hopeful.join(spark.table(sets_name).hint("merge"), "id").select(*_MET, "shingles")
-        return _last_links(full.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j"), length, percent)
+        full = full.repartition(buckets, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        out = write_table(_last_links(full, length, percent), "links")
+        delete_path(spark, hopeful_path)
+        return out
 
     # each document against the least pivot of its buckets
     first = members.where("low < id").groupBy("id").agg(F.min("low").alias("a"))
-    labels, label_path = connected_components(verified(first.select("a", F.col("id").alias("b"))))
+    found, found_path = verified(first.select("a", F.col("id").alias("b")))
+    labels, label_path = connected_components(found)
+    delete_path(spark, found_path)
     for step in range(3):
         named = members.select("key", "id").join(labels, "id", "left").select(
             "key", "id", F.coalesce("component", "id").alias("c"))
@@ -353,14 +359,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, bands: in
                 .select("id", F.explode("ps.p").alias("p"))
             )
             pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-            found = verified(pairs)
+            found, found_path = verified(pairs)
         else:
-            found = write_table(last_links(open_rows), "links")[0]
+            found, found_path = last_links(open_rows)
         if not found.isEmpty():
             stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
             labels, new = connected_components(stars.union(found))
             delete_path(spark, label_path)
             label_path = new
+        delete_path(spark, found_path)
+    delete_path(spark, members_path)
     spark.sql(f"DROP TABLE IF EXISTS {sets_name}")
     delete_path(spark, sets_path)
     own = sketches.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2")
