@@ -1,23 +1,25 @@
-"""Mixture-controlled packing: deficit round-robin over source queues, in closed form.
+"""Mixture-controlled packing: deficit round-robin over source queues.
 
-Every window of ``window`` tokens takes a quantum from each source queue: its share of all tokens.  What
-rounding leaves of a quantum is the queue's deficit and carries over.  With fixed queue order the tokens
-that the first ``w`` windows take from queue ``q`` are ``floor(w * X[q+1]) - floor(w * X[q])``, where ``X`` are
-cumulated shares in tokens; the deficit after window ``w`` is ``w * share`` minus that number.  So any
-task finds window and offset of a document from the document's start in its queue alone, with the
-deficits that the windows and partitions before it have left, and nothing is packed in sequence.
+Each round adds its quantum to the deficit of every source queue: the queue's share of ``window`` tokens.  A queue
+then gives out whole documents while its deficit lasts, and what is left of it, hundreds of tokens before a long
+document, carries over to the next round.  The documents so served are laid end to end, and the windows are cut from
+that stream, so a document is cut at ends of windows only, and what is carried passes from window to window and from
+partition to partition.
 
-The start in the queue is a two-level prefix sum: queues are cut into blocks by a hash of the document,
-blocks are summed, and rows are summed inside their block.  Each source whose quantum reaches one token of a
-window has a queue of its own; sources below that share one queue with their summed quantum, so there are at most
-``window + 1`` queues, whatever the number of sources.
+Nothing is packed in sequence.  A queue with quantum ``u`` has been given ``(r + 1) * u`` tokens by the end of round ``r``,
+so the document that ends at token ``e`` of its queue is served in round ``ceil(e / u) - 1``, whatever the other queues
+do.  Two prefix sums over narrow rows (no ids) give first ``e``, then the place in the stream ordered by round and
+queue: rows are range partitioned, summed inside their partition and moved by the sums of the partitions before.
 
-Full windows need no padding.  The last tokens, which cannot fill every queue's quantum, fill windows in
-queue order, and the rest of less than a window is cut into powers of two.
+Each source whose quantum reaches one token of a window has a queue of its own; sources below that share one queue with
+their summed quantum, so there are at most ``window + 1`` queues, whatever the number of sources.  A queue that runs
+dry leaves its place to the others in their proportions.
+
+Full windows need no padding; the rest of less than a window is cut into powers of two.
 
 Defined cases: null or empty text is a document of the end id alone; a null source is a source of its
-own; rows with equal or null ``doc_id`` are packed one by one; an empty table gives an empty result.
-Only ``doc_id``, ``text`` and ``source`` are read.
+own; rows with equal or null ``doc_id`` are packed one by one; an empty table gives an empty result; a share below 1e-8
+counts as none.  Only ``doc_id``, ``text`` and ``source`` are read.
 """
 
 from __future__ import annotations
@@ -27,130 +29,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidloom.llm.common import ready, write_table
+from evidloom.llm.common import delete_path, ready, spread, write_table
 from evidloom.llm.tokens import token_table
 
-# Fixed-point bits of a share; the products below stay in 64 bits up to MAX_TOKENS.
-BITS = 20
-MAX_TOKENS = 1 << 43
+LEAST_SHARE = 1e-8
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
                     ("offset", pa.int64())])
 
 
-class Mixture:
-    """Windows of a queue mixture: cumulated quanta, deficits carried, and the closing stretch.
-
-    A phase is a run of windows with fixed shares; it ends before a queue would be overdrawn.  The next
-    phase shares its quantum among the queues that still fill at least one token of a window.
-    """
+class Windows:
+    """Sequences cut from a stream of ``total`` tokens: full windows, then powers of two."""
 
-    def __init__(self, totals: list[int], window: int, shares: list[float] | None = None) -> None:
+    def __init__(self, total: int, window: int) -> None:
         if window < 1:
             raise ValueError("window must be positive")
-        self.window, self.total = window, sum(totals)
-        if self.total > MAX_TOKENS:
-            raise ValueError("pack at most 2^43 tokens at a time")
-        self.phases: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        self.used, self.mixed = np.zeros(len(totals), dtype=np.int64), 0
-        left = np.array(totals, dtype=np.int64)
-        wanted = np.array(totals if shares is None else shares, dtype=np.float64)
-        for _ in totals:
-            share = np.where(left > 0, wanted, 0.0)
-            share = np.where(share * window >= share.sum(), share, 0.0)
-            if not share.any():
-                break
-            edges = np.round(np.cumsum([0.0, *share]) / share.sum() * window * (1 << BITS)).astype(np.int64)
-            low, high = 0, int(left.sum()) // window
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if (_taken(edges, mid) <= left).all() else (low, mid - 1)
-            if low:
-                self.phases.append((self.mixed, low, edges, self.used.copy()))
-                self.mixed += low
-                self.used = self.used + _taken(edges, low)
-                left = left - _taken(edges, low)
-            # the queues that the next window would overdraw give way
-            wanted = np.where(_taken(edges, low + 1) - _taken(edges, low) > left, 0.0, wanted)
-        self.rest = np.concatenate([[0], np.cumsum(left)])
-        # by queue, the tokens used before each phase
-        self.before = np.array([p[3] for p in self.phases], dtype=np.int64).reshape(len(self.phases), len(totals)).T.copy()
-
-    def pieces(self, q: int, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sequence ids, offsets and starts in the document of tokens ``start`` onwards of queue ``q``."""
-        none = np.zeros(0, dtype=np.int64)
-        seq, off, at, stop = [none], [none], [none], start + length
-        # only phases that may hold some of these tokens
-        since = max(0, int(np.searchsorted(self.before[q], start, "right")) - 1)
-        until = int(np.searchsorted(self.before[q], stop, "left"))
-        for first, windows, edges, used in self.phases[since:until]:
-            share, base = int(edges[q + 1] - edges[q]), int(used[q])
-            if share == 0 or stop <= base:
-                continue
-            w = np.arange(max(0, ((max(start, base) - base) << BITS) // share - 2),
-                          min(windows, ((stop - base) << BITS) // share + 3) + 1, dtype=np.int64)
-            if len(w) < 2:
-                continue
-            low = (w * edges[q]) >> BITS
-            taken = base + ((w * edges[q + 1]) >> BITS) - low  # of this queue before window w
-            begin, end = np.maximum(taken[:-1], start), np.minimum(taken[1:], stop)
-            has = end > begin
-            seq.append(first + w[:-1][has])
-            off.append((low[1:] - low[:-1] + begin - taken[:-1])[has])
-            at.append(begin[has] - start)
-        if stop > self.used[q]:
-            begin = max(start, int(self.used[q]))
-            place = int(self.rest[q]) + begin - int(self.used[q])
-            cuts = np.array(self._closing(place, place + stop - begin), dtype=np.int64)
-            seq.append(cuts[:, 0])
-            off.append(cuts[:, 1])
-            at.append(cuts[:, 2] - place + begin - start)
-        return np.concatenate(seq), np.concatenate(off), np.concatenate(at)
-
-    def _closing(self, place: int, stop: int) -> list[tuple[int, int, int]]:
-        """(sequence, offset, place) of places in the closing stretch."""
-        full = int(self.rest[-1]) // self.window
-        out = []
-        while place < stop and place < full * self.window:
-            s = place // self.window
-            out.append((self.mixed + s, place - s * self.window, place))
-            place = min(stop, (s + 1) * self.window)
-        low, seq, left = full * self.window, self.mixed + full, int(self.rest[-1]) % self.window
-        while left and place < stop:
-            size = 1 << (left.bit_length() - 1)
-            if place < low + size:
-                out.append((seq, place - low, place))
-                place = min(stop, low + size)
-            low, seq, left = low + size, seq + 1, left - size
-        return out
-
-
-def _taken(edges: np.ndarray, w: int) -> np.ndarray:
-    """Tokens of every queue in the first ``w`` windows of a phase."""
-    at = (np.int64(w) * edges) >> BITS
-    return at[1:] - at[:-1]
+        self.window, self.full = window, total // window * window
+        edges, left = [self.full], total - self.full
+        while left:
+            edges.append(edges[-1] + (1 << (left.bit_length() - 1)))
+            left = total - edges[-1]
+        self.edges = np.array(edges, dtype=np.int64)
+
+    def pieces(self, place: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sequence ids, offsets and starts in the document of ``length`` tokens from ``place`` on."""
+        stop = place + length
+        ends = np.arange((place // self.window + 1) * self.window, min(stop, self.full + 1), self.window, dtype=np.int64)
+        closing = self.edges[(self.edges > max(place, self.full)) & (self.edges < stop)]
+        begin = np.concatenate([np.array([place], dtype=np.int64), ends, closing])
+        inside, last = begin < self.full, np.searchsorted(self.edges, begin, "right") - 1
+        return (np.where(inside, begin // self.window, self.full // self.window + last),
+                np.where(inside, begin % self.window, begin - self.edges[last]), begin - place)
+
+
+def prefix_sums(rows: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, str]:
+    """``rows`` with ``before``, the sum of ``n`` of all rows earlier in ``order``; and the path of the table behind it."""
+    names = [*rows.columns, "part", "inside"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            until = done + np.cumsum(n)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(until - n)], names=names)
+            done = int(until[-1]) if len(n) else done
+
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part int, inside long"
+    summed, path = write_table(ranged.mapInArrow(add, schema), "prefix_sums")
+    sums = summed.groupBy("part").agg(F.sum("n").alias("s"))
+    # one row a partition
+    earlier = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("earlier"))
+    return summed.join(F.broadcast(earlier), "part").select(
+        *rows.columns, (F.col("inside") + F.col("earlier")).alias("before")), path
 
 
 def mixture_pack(docs: DataFrame, json_path: str, ranks_path: str, end_id: int = 1, window: int = 2048,
-                 shares: dict[str | None, float] | None = None, block_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
+                 shares: dict[str | None, float] | None = None, part_rows: int = 1_000_000, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``shares`` are target proportions by source (the corpus' own by default); a queue that runs dry
     leaves its quantum to the others.  What they leave of 1 goes to the other sources by their tokens; sources without a
     share close the pack.  ``with_ids`` adds the piece's 16-bit ids.
     """
+    if shares and min(shares.values()) < 0:
+        raise ValueError("shares must not be negative")
     spark = docs.sparkSession
     ready(spark)
     rows = token_table(docs.select("doc_id", "text", "source"), json_path, ranks_path, end_id,
                        "doc_id", "source")
-    rows = rows.withColumn("hash", F.xxhash64("doc_id", F.octet_length("ids"), F.xxhash64("ids")))
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "n", F.xxhash64("ids"))).withColumn(
+        "row", F.monotonically_increasing_id())
     rows, _ = write_table(rows, "token_rows")
-    by_source = rows.groupBy("source").agg(F.sum("n").alias("n"))
-    total = int(by_source.agg(F.sum("n")).first()[0] or 0)
+    by_source = rows.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    total, count = (int(x or 0) for x in by_source.agg(F.sum("n"), F.sum("m")).first())
     whole, spare = 1.0, 1.0
     given = spark.createDataFrame(list((shares or {}).items()), "name string, share double")
     if shares:
@@ -160,54 +118,48 @@ def mixture_pack(docs: DataFrame, json_path: str, ranks_path: str, end_id: int =
     found = found.select("source", "n", F.coalesce("share", F.col("n") * spare / max(1, loose)).alias("share"))
     reaches = F.col("share") * window >= whole
     # at most ``window`` rows
-    large = {r["source"]: (int(r["n"]), r["share"]) for r in found.where(reaches).collect()}
-    names = sorted(large, key=lambda s: (s is not None, s))
-    totals = [large[s][0] for s in names]
-    others = total - sum(totals)
-    wanted = None if shares is None else [large[s][1] for s in names]
-    if names and shares is None and others * window < total:  # less than a token of each window: joins the last queue
-        pool, totals[-1] = len(names) - 1, totals[-1] + others
-    else:
-        pool, totals = len(names), totals + [others] * (others > 0)
-        if wanted is not None and others:
-            wanted.append(float(found.where(~reaches).agg(F.sum("share")).first()[0] or 0.0))
-    mixture = Mixture(totals, window, wanted)
-    queue = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "name string, number int")
-    blocks = max(1, -(-total // block_tokens))
-    rows = (
-        rows.join(F.broadcast(queue), F.col("source").eqNullSafe(F.col("name")), "left")
-        .select("doc_id", "ids", "n", "hash", F.coalesce("number", F.lit(pool)).alias("queue"),
-                F.pmod(F.shiftright("hash", 7), F.lit(blocks)).alias("block"))
-    )
-    sums = rows.groupBy("queue", "block").agg(F.sum("n").alias("s"))
-    before = F.sum("s").over(Window.partitionBy("queue").orderBy("block"))
-    sums = sums.select("queue", "block", (before - F.col("s")).alias("before"))
-    inside = Window.partitionBy("queue", "block").orderBy("doc_id", "hash").rowsBetween(
-        Window.unboundedPreceding, -1)
-    placed = (
-        rows.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(sums, ["queue", "block"])
-        .select("doc_id", "ids", "queue", (F.col("before") + F.col("inside")).alias("place"))
-    )
-    schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
+    large = sorted(found.where(reaches).collect(), key=lambda r: (r["source"] is not None, r["source"]))
+    others = found.where(~reaches).agg(F.sum("share")).first()[0] or 0.0
+    queues = [(int(r["n"]), r["share"]) for r in large] + [(total - sum(int(r["n"]) for r in large), others)]
+    # queues without a share follow after the rounds of the others
+    quanta = [window * share / whole if share >= LEAST_SHARE else 0.0 for _, share in queues]
+    rounds = max([int(np.ceil(n / u)) + 1 for (n, _), u in zip(queues, quanta, strict=True) if u], default=0)
+    base = np.cumsum([0, *(n for n, _ in queues)]).tolist()
+    parts = max(spread(spark), count // part_rows + 1)
+    known = [(r["source"], i, base[i], quanta[i] or float(window), 0 if quanta[i] else rounds) for i, r in enumerate(large)]
+    number = spark.createDataFrame(known, "name string, queue int, origin long, quantum double, since long")
+    pool = (len(large), base[len(large)], quanta[-1] or float(window), 0 if quanta[-1] else rounds)
+    queued = rows.join(F.broadcast(number), F.col("source").eqNullSafe(F.col("name")), "left").select(
+        "row", "n", "hash", *(F.coalesce(c, F.lit(v)).alias(c)
+                              for c, v in zip(("queue", "origin", "quantum", "since"), pool, strict=True)))
+    # the place of a document's end in its queue gives its round
+    in_queue, queue_path = prefix_sums(queued, ["queue", "hash", "row"], parts)
+    end = F.col("before") - F.col("origin") + F.col("n")
+    served = in_queue.select("row", "n", "queue", "hash", (F.col("since") + F.ceil(end / F.col("quantum")) - 1).alias("round"))
+    # documents of one queue and round keep their order
+    in_stream, _ = prefix_sums(served, ["round", "queue", "hash", "row"], parts)
+    delete_path(spark, queue_path)
+    placed = rows.select("row", "doc_id", "ids").join(
+        in_stream.select("row", F.col("before").alias("place")).hint("merge"), "row")
+    windows, schema = Windows(total, window), PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # small slices keep the pieces of a batch in bounded memory
             for lo in range(0, batch.num_rows, 256):
-                yield from _cut(batch.slice(lo, 256), mixture, schema)
+                yield from _cut(batch.slice(lo, 256), windows, schema)
 
     names_types = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(cut, names_types + (", ids binary" if with_ids else ""))
+    return placed.select("doc_id", "ids", "place").mapInArrow(cut, names_types + (", ids binary" if with_ids else ""))
 
 
-def _cut(batch: pa.RecordBatch, mixture: Mixture, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch, windows: Windows, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     out: dict[str, list] = {name: [] for name in schema.names}
-    docs, queues, places = (batch.column(c).to_pylist() for c in ("doc_id", "queue", "place"))
-    for doc, ids, q, place in zip(docs, batch.column("ids"), queues, places, strict=True):
+    docs, places = (batch.column(c).to_pylist() for c in ("doc_id", "place"))
+    for doc, ids, place in zip(docs, batch.column("ids"), places, strict=True):
         raw = np.frombuffer(ids.as_buffer(), dtype="<u2")
         wide = raw.astype("<u4").tobytes()
-        seq, off, at = mixture.pieces(q, place, len(raw))
+        seq, off, at = windows.pieces(place, len(raw))
         ends = np.append(at[1:], len(raw))
         out["doc_id"] += [doc] * len(seq)
         out["start"].append(at)
