@@ -17,23 +17,43 @@ from evidloom.sources import files as S
 from evidloom.streaming import flows as W
 
 
-FILES = 4
+BATCHES = 4
+ROWS_PER_FILE = 100_000
 
 
-def event_files(v: Inputs) -> DataFrame:
-    """The event table dealt over ``FILES`` files in order of time, as a stream of one file a micro-batch."""
+def event_files(v: Inputs, closed: bool = False) -> DataFrame:
+    """The event table as a stream of ``BATCHES`` micro-batches in order of time, each dealt over equally many files.
+
+    The number of files follows the number of rows, so that writing and reading a micro-batch is the work of many
+    tasks.  ``closed`` adds a file with one empty event, late enough for the watermark to pass all others.
+    """
     if not hasattr(v, "event_folder"):
         v.event_folder = new_table_path(v.spark, "event-files")
-        cuts = v("events").agg(F.percentile_approx("ts", [i / FILES for i in range(1, FILES)])).first()[0] or []
-        place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("ts"))) if cuts else F.lit(0)
+        events, ts = v("events"), F.col("ts")
+        found = events.agg(F.percentile_approx("ts", [i / BATCHES for i in range(1, BATCHES)]).alias("cuts"),
+                           F.count(F.lit(1)).alias("n")).first()
+        cuts = found.cuts or []
+        v.event_parts = max(1, -(-found.n // (BATCHES * ROWS_PER_FILE)))
         for i in range(len(cuts) + 1):
-            v("events").where(place == i).coalesce(1).write.mode("append").parquet(v.event_folder)
-    return W.event_stream(v.spark, v.event_folder, v("events").schema, files_per_batch=1)
-
-
-def stream_of(v: Inputs, view: str) -> DataFrame:
+            rows = events.where(ts > F.lit(cuts[i - 1])) if i else events
+            rows = rows.where(ts.isNull() | (ts <= F.lit(cuts[i]))) if i < len(cuts) else rows
+            rows.repartition(v.event_parts).write.mode("append").parquet(v.event_folder)
+            # a part without rows leaves no file, and a micro-batch must not reach into the next one
+            written = len(v.spark.read.schema(events.schema).parquet(v.event_folder).inputFiles())
+            for _ in range((i + 1) * v.event_parts - written):
+                events.limit(0).coalesce(1).write.mode("append").parquet(v.event_folder)
+        if closed and found.n:
+            end = F.max("ts") + F.expr(f"INTERVAL {W.LATENESS}") + F.expr("INTERVAL 1 SECOND")
+            kinds = {f.name: f.dataType for f in events.schema}
+            events.agg(end.alias("ts")).select(*[
+                (F.col(c) if c == "ts" else F.lit(None)).cast(kinds[c]).alias(c) for c in events.columns]).coalesce(1).write.mode(
+                "append").parquet(v.event_folder)
+    return W.event_stream(v.spark, v.event_folder, v("events").schema, files_per_batch=v.event_parts)
+
+
+def stream_of(v: Inputs, view: str, closed: bool = False) -> DataFrame:
     """A view over ``events`` as a stream of the same columns."""
-    source = event_files(v)
+    source = event_files(v, closed)
     chain = views.needed(views.spark_text(view)) + [view]
     source.createOrReplaceTempView("stream_events")
     for name in chain:
@@ -85,18 +105,18 @@ def e4(v):
 PASSED = "epoch_us(occurred_at) // 1000 <= (SELECT max(epoch_us(occurred_at)) // 1000 FROM v_lifecycle) - 600000"
 
 
-def _lifecycle(v):
-    """Rows that the stream gave out: all that its watermark has passed."""
-    rows = stream_of(v, "v_lifecycle").select(
+def _lifecycle(v, closed=False):
+    """Rows that the stream gave out: all that its watermark has passed, and with ``closed`` that is every row."""
+    rows = stream_of(v, "v_lifecycle", closed).select(
         "event_id", "analysis_id", F.col("occurred_at").cast("timestamp").alias("occurred_at"), "status")
     # the table covers less time than a finished analysis is kept
     return W.collect_to_table(W.lifecycle(rows, keep_ms=3_650 * W.DAY_MS), "lifecycle")
 
 
 @query("e5_lifecycle_machine", f"""
-SELECT t.event_id, t.analysis_id, t.status, t.previous, t.outcome FROM ({OQ.TRANSITIONS.strip()}) t JOIN v_lifecycle l USING (event_id) WHERE {PASSED}""")
+SELECT event_id, analysis_id, status, previous, outcome FROM ({OQ.TRANSITIONS.strip()})""")
 def e5(v):
-    return _lifecycle(v)
+    return _lifecycle(v, closed=True)
 
 
 @query("e5_rows_left_to_recovery", f"""

@@ -8,9 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidloom.operators import lifecycle as C
+from evidloom.plans import registry
+from evidloom.plans import streaming_queries as Q
 from evidloom.session import new_table_path
 from evidloom.streaming import flows as W
 
+registry.load_all()
+
 START = dt.datetime(2024, 1, 1)
 STATES = ["created", "validating", "parsing", "failed", "created", "completed", "validating", "validating"]
 
@@ -165,3 +169,30 @@ def test_feedback_keeps_one_small_row_a_key(spark, folder):
         W.feedback_intake(shaped(), path, mark)
         sizes.append(W.read_batches(spark, path, shaped().withColumn("priority_score", F.lit(0.0)).schema).count())
     assert sizes == [50, 50, 50, 50]
+
+
+def test_lifecycle_query_gives_out_every_event(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    got = registry.spark_callable("e5_lifecycle_machine")(spark, sf_dir)
+    assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(
+        r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
+
+
+@pytest.mark.parametrize("minutes", [1, 0])
+def test_event_files_are_dealt_over_equal_batches_in_order_of_time(spark, monkeypatch, minutes):
+    """Many files a micro-batch; equal times leave slices empty, and batches must not reach into each other."""
+    monkeypatch.setattr(Q, "ROWS_PER_FILE", 10)
+    sf_dir = new_table_path(spark, "tables")
+    rows = [(i, START + dt.timedelta(minutes=minutes * i), i % 5, "view", 1.0, "{}") for i in range(240)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(
+        f"{sf_dir}/events.parquet")
+    v, seen = registry.Inputs(spark, sf_dir), []
+    source = Q.event_files(v)
+    W.run(source.select("*", F.col("_metadata.file_path").alias("file")), lambda batch, _: seen.append(batch.collect()),
+          new_table_path(spark, "mark"))
+    assert sorted(r.event_id for part in seen for r in part) == list(range(240))
+    files = [len({r.file for r in part}) for part in seen if part]
+    assert min(files) > 1
+    ends = [(min(r.ts for r in part), max(r.ts for r in part)) for part in seen if part]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert len(spark.read.parquet(v.event_folder).inputFiles()) == Q.BATCHES * v.event_parts
