@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidloom.session import through_table
+
 ROWS_PER_RANGE = 1_000_000
 
 
@@ -117,8 +119,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
 
     Equal values are counted first.  A bounded sketch then gives ``splits`` cut points per key,
     the counted values are ranked inside each cut range, and range totals supply the offset, so
-    only ranks are exact-critical and the sketch quality does not affect the result.  ``splits`` follows
-    the number of rows unless it is given, so that a range stays a task's worth of values.
+    only ranks are exact-critical and the sketch quality does not affect the result.  The cut points are
+    written once: a sketch depends on the order in which parts are merged, and ranks and range totals must
+    see the same cuts.  ``splits`` follows the number of rows unless it is given, so that a range stays a
+    task's worth of values.
     """
     if splits is None:
         splits = max(64, -(-df.count() // ROWS_PER_RANGE))
@@ -129,10 +133,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
     )
     cuts = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     sketch_keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    sketch = counted.groupBy(*sketch_keys).agg(
+    sketch = through_table(counted.groupBy(*sketch_keys).agg(
         F.percentile_approx("__v", cuts, F.lit(max(1000, 10 * splits))).alias("__cuts"),
         F.sum("__n").alias("__total"),
-    )
+    ), "percentile-cuts")
     cond = F.lit(True)
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))

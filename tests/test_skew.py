@@ -68,3 +68,10 @@ def test_exact_percentiles(rows, splits):
 def test_exact_percentiles_without_keys(rows):
     r = skew.exact_percentiles(rows, [], "value", {"p95": .95}).first()
     assert r.p95 == pytest.approx(np.percentile([x.value for x in rows.collect()], 95))
+
+
+def test_percentile_cuts_are_written_once(rows):
+    """Ranks and range totals must not see two evaluations of a sketch, which may differ."""
+    for keys in (["key"], []):
+        plan = skew.exact_percentiles(rows, keys, "value", {"p50": .5})._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile_approx" not in plan
