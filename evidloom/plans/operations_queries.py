@@ -48,8 +48,8 @@ def s2(v):
     return back.withColumnRenamed("gold_citation_intents_json", "intents")
 
 
-def _papers(v):
-    return X.parse_papers(v("v_papers").select("path", "content"))
+def _papers(v, *tables):
+    return X.parse_papers(v("v_papers").select("path", "content"), tables or X.TABLES)
 
 
 @query("s4_paper_references", """
@@ -57,7 +57,7 @@ SELECT path, concat('b', path) AS xml_id, concat('[b', path, ']') AS label, conc
        '2020-05' AS year, concat('Journal ', path) AS venue, concat('10.1/', path) AS doi, CASE WHEN lang <> 'de' THEN '3,10.0,20.0' END AS coords
 FROM v_papers WHERE lang <> 'es'""")
 def s4a(v):
-    return X.references(_papers(v)).select(
+    return X.references(_papers(v, "refs")).select(
         "path", "xml_id", "label", "title", F.array_join("authors", "|").alias("authors"), "year", "venue",
         F.element_at("identifiers", "doi").alias("doi"), "coords")
 
@@ -66,13 +66,13 @@ def s4a(v):
 SELECT path, concat('[', path, ']') AS anchor_text, concat('b', path, '|c', path) AS targets, CASE WHEN lang <> 'de' THEN '3,10.0,20.0' END AS coords
 FROM v_papers WHERE lang <> 'es'""")
 def s4b(v):
-    return X.clusters(_papers(v)).select("path", "anchor_text", F.array_join("targets", "|").alias("targets"), "coords")
+    return X.clusters(_papers(v, "clusters")).select("path", "anchor_text", F.array_join("targets", "|").alias("targets"), "coords")
 
 
 @query("s4_paper_sections", """
 SELECT path, concat('sec', path) AS xml_id, concat('Part ', path) AS head, md5(concat('Part ', path, text, ' [', path, '] end.')) AS text_hash FROM v_papers WHERE lang <> 'es'""")
 def s4c(v):
-    return X.sections(_papers(v)).select("path", "xml_id", "head", F.md5("text").alias("text_hash"))
+    return X.sections(_papers(v, "sections")).select("path", "xml_id", "head", F.md5("text").alias("text_hash"))
 
 
 _COUNTERS = """

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Bytes of a batch that a Python worker takes at once: texts, blocks and vectors are wide rows, and a batch of them
+# stands in memory several times.
+BATCH_BYTES = 8 << 20
+
 # Row bound behind every explicit broadcast of a data-dependent side.  With the narrow rows that
 # are broadcast here (ids, terms, counts) this stays in the tens of megabytes.
 BROADCAST_ROWS = 200_000
@@ -36,6 +40,7 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         # the cluster default means 200 state stores per stateful operator on one machine
