@@ -294,3 +294,40 @@ def test_refused_moves_leave_the_state(spark):
     for size in ("hour", "minute"):
         got = C.transition_check(history, "analysis_id", ["occurred_at", "event_id"], size)
         assert {(r.event_id, r.previous, r.outcome) for r in got.collect()} == want
+
+
+def test_papers_are_given_out_in_small_parts(monkeypatch):
+    """A batch of many papers must not stand in memory as one list of parsed rows; unasked tables stay empty."""
+    import pyarrow as pa
+
+    from evidloom.sources import papers as X
+
+    monkeypatch.setattr(X, "OUT_BYTES", 600)
+    tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>H</head><p>{}</p></div></body></text></TEI>'
+    content = [tei.format(i).encode() for i in range(40)] + [None]
+    batch = pa.RecordBatch.from_pylist([{"path": str(i), "content": c} for i, c in enumerate(content)])
+    kinds = pa.schema([("path", pa.string()), ("error", pa.string()), ("refs", pa.list_(pa.string())),
+                       ("clusters", pa.list_(pa.string())), ("sections", pa.list_(pa.struct([("text", pa.string())])))])
+    parts = list(X._rows(iter([batch]), kinds, ("refs", "sections")))
+    rows = [r for part in parts for r in part.to_pylist()]
+    assert [r["path"] for r in rows] == [str(i) for i in range(41)]
+    assert max(part.num_rows for part in parts) <= 6
+    assert [r["sections"] for r in rows[:40]] == [[{"text": f"H{i}"}] for i in range(40)] and rows[40]["error"] == "ParseError"
+    assert all(r["sections"] == [] for part in X._rows(iter([batch]), kinds, ("refs",)) for r in part.to_pylist())
+
+
+def test_case_errors_count_ids_without_joining_them(spark):
+    cases = spark.createDataFrame(
+        [("a", ["s1"]), ("b", []), ("b", []), ("c", ["s1"]), (None, [])], "case_id string, span_ids array<string>").select(
+        "case_id", F.lit("test").alias("split"), F.lit("contradicts").alias("relation"), F.lit("abstract_only").alias("access"),
+        "span_ids", F.array(F.lit("background")).alias("citation_intents"), F.lit("x").alias("abstention_code"))
+    predictions = spark.createDataFrame(
+        [("a", "contradicts", ["s2"], ["s1"]), ("b", "odd", [], []), ("d", "contradicts", ["s1"], []), (None, "contradicts", [], []),
+         ("d", "contradicts", [], [])],
+        "case_id string, relation string, span_ids array<string>, statement_span_ids array<string>")
+    found = E.case_errors(cases, predictions)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([
+        ("a", "unknown_predicted_span"), ("b", "unknown_predicted_relation"), ("b", "duplicate_case"), ("c", "missing_prediction"),
+        ("d", "unknown_predicted_span"), ("d", "extra_prediction"), ("d", "duplicate_prediction"), (None, "missing_prediction"), (None, "extra_prediction")], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 1
