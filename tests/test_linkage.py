@@ -124,6 +124,26 @@ def test_title_search_has_no_cut(spark):
             assert sorted(got.get((i, p), [])) == [(n, wid, -s) for n, (s, _, wid) in enumerate(best, 1)], (i, p)
 
 
+def test_titles_meet_in_blocks(spark, monkeypatch):
+    """Several blocks on both sides find what all pairs hold, and give out no more than the best of each block."""
+    monkeypatch.setattr(R, "REF_CHARS", 400)
+    monkeypatch.setattr(R, "WORK_CHARS", 3_000)
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abdeginorstu", k=rng.randint(2, 7))) for _ in range(60)] + ["\U0001d4d0\U0001d4d1", "über"]
+    titles = sorted({" ".join(rng.choices(pool, k=rng.randint(1, 8))) for _ in range(330)})
+    refs, works = list(enumerate(titles[::7])), [(i, "abc"[i % 3], t) for i, t in enumerate(titles)]
+    found = R.similar_titles(spark.createDataFrame(refs, "rid long, t string"),
+                             spark.createDataFrame(works, "wid long, provider string, t string"), 2).collect()
+    got = {}
+    for x in found:
+        got.setdefault((x.rid, x.provider), []).append((-x.similarity, x.wid))
+    for i, t in refs:
+        for p in "abc":
+            sims = sorted((-round(len(grams(t) & grams(u)) / len(grams(t) | grams(u)), 6), j) for j, q, u in works if q == p and grams(t) & grams(u))
+            assert sorted(got[i, p])[:2] == sims[:2], (t, p)
+    assert len(found) < 0.5 * sum(bool(grams(t) & grams(u)) for _, t in refs for _, _, u in works)
+
+
 def test_lookup_takes_the_first_identifier_only(spark):
     r = spark.createDataFrame(
         [(1, "t", "10.1/x", "2101.1", "W9"), (2, "t", "10.1/x", "2101.1", "nope"), (3, "t", None, "2101.1", None), (4, "t", "", "2101.1", "")],
