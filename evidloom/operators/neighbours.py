@@ -23,6 +23,17 @@ from evidloom.session import through_table
 FIT_ROWS = 20_000
 MOST_LISTS = 4_096
 PART_ROWS = 4_096
+NEAR_ROWS = 1_024
+
+
+def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centroid of every row, and the product with it; ``NEAR_ROWS`` rows at a time, since the
+    products of a whole batch grow with the number of lists."""
+    own, most = np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
+    for lo in range(0, len(vectors), NEAR_ROWS):
+        near = vectors[lo:lo + NEAR_ROWS] @ centroids.T
+        own[lo:lo + NEAR_ROWS], most[lo:lo + NEAR_ROWS] = near.argmax(axis=1), near.max(axis=1)
+    return own, most
 
 
 def fit_centroids(sample: np.ndarray, lists: int, steps: int = 12, seed: int = 7) -> np.ndarray:
@@ -30,14 +41,13 @@ def fit_centroids(sample: np.ndarray, lists: int, steps: int = 12, seed: int = 7
     rng = np.random.default_rng(seed)
     centroids = sample[rng.choice(len(sample), size=min(lists, len(sample)), replace=False)]
     for _ in range(steps):
-        near = sample @ centroids.T
-        own = near.argmax(axis=1)
+        own, most = nearest(sample, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, sample)
         length = np.sqrt((sums * sums).sum(axis=1))
         empty = np.flatnonzero(length == 0)
         if len(empty):
-            worst = near.max(axis=1).argsort()[:len(empty)]
+            worst = most.argsort()[:len(empty)]
             sums[empty[:len(worst)]], length[empty[:len(worst)]] = sample[worst], 1.0
         centroids = sums / np.where(length == 0, 1.0, length)[:, None]
     return centroids
@@ -68,7 +78,7 @@ class NeighbourIndex:
 
         def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = (unit_rows(batch.column("vector")) @ shared.value.T).argmax(axis=1) if batch.num_rows else []
+                own = nearest(unit_rows(batch.column("vector")), shared.value)[0] if batch.num_rows else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.int32()), *(batch.column(c) for c in ("vkey", "chunk_id", "vector"))],
                     names=["list", "vkey", "chunk_id", "vector"])

@@ -282,3 +282,20 @@ def test_embed_function_is_a_parameter(spark):
     lengths = lambda texts: np.array([[len(t), t.count("b")] for t in texts], dtype=float)
     got = R.vector_plus_lexical(chunks, queries, embed=lengths).collect()
     assert [(r.chunk_id, r.score) for r in got] == [(2, 0.5), (1, round(0.5 * round(1 / math.sqrt(2), 6), 6))]
+
+
+def test_products_with_all_lists_are_cut(spark):
+    """Filing and fitting hold the products of few rows at a time, however many lists there are."""
+    import tracemalloc
+
+    from evidloom.operators import neighbours as N
+
+    vectors = np.random.default_rng(3).normal(size=(10_000, 64))
+    vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    tracemalloc.start()
+    centroids = N.fit_centroids(vectors, N.MOST_LISTS, steps=1)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    own, most = N.nearest(vectors[:3_000], centroids)
+    whole = vectors[:3_000] @ centroids.T
+    assert np.allclose(whole[np.arange(3_000), own], whole.max(axis=1)) and np.allclose(most, whole.max(axis=1))
